@@ -17,6 +17,7 @@ from tidewatch.operators.detectors.quality import detect_quality
 from tidewatch.operators.detectors.timeliness import detect_timeliness
 from tidewatch.operators.detectors.volume import detect_volume, mix_findings
 from tidewatch.operators.history import mark_excluded, with_arrival_profile, with_previous_delivery, with_reference
+from tidewatch.session import settle
 
 KEY = ["institution", "slot_key", "business_date"]
 
@@ -80,7 +81,7 @@ def evaluate(
 ) -> DataFrame:
     """Decisions for every occurrence that is due: future windows without files are left out."""
     ready = F.col("window_start_utc").isNull() | (F.col("window_start_utc") <= now) | (F.col("load_count") > 0)
-    learned = learn(attach_spec(occ.filter(ready), contracts), labels, depth)
+    learned = settle(learn(attach_spec(occ.filter(ready), contracts), labels, depth), "learned")
     return ENGINES[engine](learned, now)
 
 

@@ -14,6 +14,7 @@ from tidewatch.operators.contracts import contract_validity
 from tidewatch.operators.evaluate import KEY, evaluate
 from tidewatch.operators.metrics import build_occurrences
 from tidewatch.operators.schedule import expand_schedule
+from tidewatch.session import settle
 
 SPILL = (fixed.LATE_LOOKBACK_DAYS, 2)
 MATCH_PAD = timedelta(days=fixed.LATE_LOOKBACK_DAYS + 1)
@@ -36,8 +37,9 @@ def replay_occurrences(
     if not use_hints and "slot_hint" in arrived.columns:
         arrived = arrived.drop("slot_hint")
     validity = contract_validity(contracts)
-    cand = expand_schedule(validity, cal, first_day - MATCH_PAD, end + MATCH_PAD, SPILL)
-    assigned = assign_loads(arrived, cand, validity)
+    cand = settle(expand_schedule(validity, cal, first_day - MATCH_PAD, end + MATCH_PAD, SPILL), "candidates")
+    # Matching is the costly step and several branches read it.
+    assigned = settle(assign_loads(arrived, cand, validity), "assigned")
     expected = expand_schedule(validity, cal, first_day, end)
     return build_occurrences(expected, assigned, cand), assigned
 
@@ -56,7 +58,7 @@ def replay(
 ) -> DataFrame:
     """Decisions with business_date in [start, end]; earlier loads from ``first_day`` on only warm up history."""
     occ, _ = replay_occurrences(loads, contracts, cal, first_day or start, end, now, use_hints)
-    out = evaluate(occ, contracts, F.lit(now), labels, engine, history_depth(contracts))
+    out = evaluate(settle(occ, "occurrences"), contracts, F.lit(now), labels, engine, history_depth(contracts))
     return out.filter(F.col("business_date").between(F.lit(start), F.lit(end)))
 
 
@@ -128,8 +130,8 @@ def run_backtest(
 ) -> dict[str, DataFrame]:
     """candidate and current summaries, verdict coverage and changed occurrences. Slot hints are not used."""
     args = {"labels": labels, "use_hints": False, "first_day": first_day}
-    cand = alerts(replay(loads, candidate, cal, start, end, now, **args))
-    cur = alerts(replay(loads, current, cal, start, end, now, **args))
+    cand = settle(alerts(replay(loads, candidate, cal, start, end, now, **args)), "alerts")
+    cur = settle(alerts(replay(loads, current, cal, start, end, now, **args)), "alerts")
     return {
         "candidate": backtest_summary(cand),
         "current": backtest_summary(cur),

@@ -128,14 +128,14 @@ def ship_loads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ship_contracts(spark: SparkSession, sf: str, record_sensitivity: str = "MEDIUM", cap: float = 250000.0) -> DataFrame:
+def ship_contracts(spark: SparkSession, sf: str, sensitivity: str = "MEDIUM", cap: float = 250000.0) -> DataFrame:
     slot = (
         f"named_struct('key', '{SHIP_SLOT}', 'label', 'Haftada iki', 'cadence', 'WEEKLY', 'weekdays', array(1, 4), "
         "'month_days', cast(null as array<int>), 'last_business_day', false, 'holiday_shift', 'NONE', "
         "'window_start_min', 360, 'deadline_min', 600, 'grace_minutes', 0)"
     )
     watches = (
-        f"array(named_struct('metric', 'record_count', 'sensitivity', '{record_sensitivity}', 'direction', 'BOTH'), "
+        f"array(named_struct('metric', 'avg_amount', 'sensitivity', '{sensitivity}', 'direction', 'BOTH'), "
         "named_struct('metric', 'total_amount', 'sensitivity', 'MEDIUM', 'direction', 'HIGH_ONLY'))"
     )
     limits = f"array(named_struct('id', 'cap', 'metric', 'total_amount', 'min', 1.0D, 'max', {cap}D, 'severity', 'WARNING', 'note', 'tavan'))"

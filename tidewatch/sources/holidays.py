@@ -23,10 +23,10 @@ def build_holidays(yearly: DataFrame, movable: DataFrame, years: DataFrame, code
     a full day wins over a half day.
     """
     tagged = yearly.withColumn("ord", F.col("month") * 100 + F.col("dom"))
-    # Every yearly holiday occurs in every year: the list travels as an array, no join is needed.
+    # Every yearly holiday occurs in every year: the list is one value, no join is needed.
     listed = tagged.agg(F.array_sort(F.collect_list(F.struct("ord", "month", "dom", "name", "is_half_day"))).alias("hs"))
     y = (
-        years.join(listed)
+        years.withColumn("hs", listed.scalar())
         .select("year", F.explode("hs").alias("h"))
         .select(F.make_date("year", "h.month", "h.dom").alias("day"), "h.ord", "h.name", "h.is_half_day")
     )
