@@ -639,20 +639,10 @@ def shadow_joined(spark: SparkSession, sf: str) -> DataFrame:
     return gov.shadow_rows(shadow(spark, sf), champ, verdicts, D.ship_truths(expected(spark, sf), nations), F.lit(D.NOW))
 
 
-@query(
-    "shadow_only_challenger",
-    f"WITH RECURSIVE {SHADOW}, o AS (SELECT *, row_number() OVER (PARTITION BY challenger ORDER BY bd DESC, institution) AS rn FROM chall WHERE chall AND NOT champ) "
-    "SELECT challenger, institution, bd AS business_date, 'MIX_SHIFT' AS codes FROM o WHERE rn <= 25",
-)
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows = gov.only_challenger(shadow_joined(spark, sf))
-    return rows.select("challenger", *OCC, F.array_join("codes", ",").alias("codes"))
-
-
 @query(
     "institution_series",
     f"WITH RECURSIVE {FOUND} SELECT a.bd AS business_date, t.status, round(a.avg_amount, 6) AS observed, round(b.center, 6) AS center_log, b.institution IS NULL AS learning, "
-    "coalesce(a.excluded, false) AS excluded FROM ship_all a JOIN tl t ON t.institution = a.institution AND t.bd = a.bd "
+    "coalesce(a.excluded, a.h % 101 = 0) AS excluded FROM ship_all a JOIN tl t ON t.institution = a.institution AND t.bd = a.bd "
     "LEFT JOIN bl b ON b.institution = a.institution AND b.bd = a.bd AND b.metric = 'avg_amount' WHERE a.institution = 'NATION_3' AND a.bd >= DATE '2001-11-12' - 3000",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
