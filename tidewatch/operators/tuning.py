@@ -59,7 +59,7 @@ def tuning_groups(resolved: DataFrame) -> DataFrame:
 
 
 def suggest_tuning(contracts: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(institution, key, field, old_value, new_value, false_alarms, confirmed) for the contracts in force."""
+    """(institution, family, key, field, old_value, new_value, false_alarms, confirmed) for the contracts in force."""
     c = contracts.select("institution", "slots", F.col("metrics").alias("watches"), "quality")
     g = tuning_groups(resolved).join(c, "institution")
     watch = F.get(F.filter("watches", lambda w: w["metric"] == F.col("sub")), F.lit(0))
@@ -90,7 +90,7 @@ def suggest_tuning(contracts: DataFrame, resolved: DataFrame) -> DataFrame:
     return (
         g.withColumn("s", s)
         .filter("s is not null")
-        .select("institution", "s.*", "false_alarms", "confirmed")
+        .select("institution", "family", "s.*", "false_alarms", "confirmed")
     )
 
 

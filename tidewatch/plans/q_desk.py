@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +57,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 AUDIT_SQL = f"""{INC},
-ev AS (SELECT k AS id, 'incident' AS entity_type, nation AS entity_id, od + to_minutes(k % 1440) AS at, 'u' || (k % 7) AS actor, 'incident.' || lower(status) AS action,
+ev AS (SELECT k AS id, 'incident' AS entity_type, nation AS entity_id, od + to_minutes(k % 1440) AS happened, 'u' || (k % 7) AS actor, 'incident.' || lower(status) AS action,
    '{{"amount":' || CAST(floor(o_totalprice) AS BIGINT) || '}}' AS details, k // 4096 AS block FROM desk_i0),
-body AS (SELECT *, '{{"action":"' || action || '","actor":"' || actor || '","at":"' || strftime(at, '%Y-%m-%dT%H:%M:%S.000000') || '","details":"' || replace(details, '"', '\\"')
+body AS (SELECT *, '{{"action":"' || action || '","actor":"' || actor || '","at":"' || strftime(happened, '%Y-%m-%dT%H:%M:%S.000000') || '","details":"' || replace(details, '"', '\\"')
    || '","entity_id":"' || entity_id || '","entity_type":"incident"}}' AS body, row_number() OVER (PARTITION BY entity_id, block ORDER BY id) AS i FROM ev),
 chain AS (SELECT id, entity_id, block, i, CAST(NULL AS VARCHAR) AS prev_hash, sha256('|' || body) AS row_hash FROM body WHERE i = 1
    UNION ALL SELECT b.id, b.entity_id, b.block, b.i, c.row_hash, sha256(c.row_hash || '|' || b.body) FROM chain c JOIN body b ON b.entity_id = c.entity_id AND b.block = c.block AND b.i = c.i + 1)"""
@@ -127,8 +127,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {OCC} SELECT institution, business_date, status FROM desk_occ WHERE status IN ('PENDING', 'AT_RISK') AND expected AND window_start_utc <= TIMESTAMP '2000-06-01 07:00:00'",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    from datetime import datetime
-
     return rm.open_occurrences(occ(spark, sf), F.lit(datetime(2000, 6, 1, 7))).select("institution", "business_date", "status")
 
 
@@ -183,7 +181,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "institutions_health",
-    f"WITH {INC}, {OCC[1:]}, {S.INSTITUTIONS} SELECT i.institution, i.tier::INTEGER AS tier, (SELECT round(count(*) FILTER (status = 'RECEIVED') / count(*), 4) FROM desk_occ o WHERE o.institution = i.institution "
+    f"WITH {INC}, {OCC[1:]}, {S.INSTITUTIONS} SELECT i.institution, i.tier::INTEGER AS tier, (SELECT round(count(*) FILTER (status = 'RECEIVED') / nullif(count(*), 0), 4) FROM desk_occ o WHERE o.institution = i.institution "
     f"AND expected AND deadline_utc BETWEEN {NOW} - INTERVAL 30 DAY AND {NOW}) AS on_time_rate_30d, (SELECT count(*) FROM desk_occ o WHERE o.institution = i.institution AND expected AND status = 'LATE' "
     f"AND deadline_utc BETWEEN {NOW} - INTERVAL 30 DAY AND {NOW}) AS late_30d, (SELECT count(*) FROM desk_inc x WHERE x.institution = i.institution AND x.status <> 'RESOLVED') AS open_incidents, "
     "(SELECT epoch(max(first_received_at))::BIGINT FROM desk_occ o WHERE o.institution = i.institution) AS last_delivery, "
@@ -472,15 +470,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 # --- outages, notifications, briefs -------------------------------------------------------------------------
 
 
+HIT = """hit AS (SELECT institution, business_date FROM desk_occ WHERE expected AND business_date = DATE '1998-03-06' AND (k % 3 <> 0 OR status = 'MISSING')),
+due AS (SELECT count(*) AS n FROM desk_occ WHERE expected AND business_date = DATE '1998-03-06')"""
+
+
 @query(
     "detect_systemic",
-    f"WITH {OCC} SELECT count(*) AS due, count(*) FILTER (status = 'MISSING') AS missing FROM desk_occ WHERE expected AND deadline_utc BETWEEN TIMESTAMP '1998-05-20 09:15:00' AND TIMESTAMP '1998-05-20 10:45:00' "
-    "HAVING count(*) FILTER (status = 'MISSING') >= 3 AND count(*) FILTER (status = 'MISSING') / greatest(count(*), 1) >= 0.5",
+    f"WITH {OCC}, {HIT} SELECT any_value(due.n) AS due, count(*) AS missing FROM hit, due HAVING count(*) >= 3 AND count(*) / any_value(due.n) >= 0.5",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    from datetime import datetime
-
-    return I.detect_systemic(occ(spark, sf), F.lit(datetime(1998, 5, 20, 10, 45))).select("due", "missing")
+    o, at = outage(spark, sf)
+    return I.detect_systemic(o, at).select("due", "missing")
 
 
 @query(
@@ -493,24 +493,22 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return I.scan_systemic(occ(spark, sf)).select(F.unix_timestamp("at").alias("at"), "due", "missing")
 
 
-def outage(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The day's occurrences as an outage leaves them: two of three are missing."""
-    o = D.desk_occurrences(spark, sf).join(_keys(spark, sf), ["institution", "business_date"])
+def outage(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
+    """The occurrences as a broad outage leaves them (two of three are missing), and the instant to look at them."""
+    o = occ(spark, sf).join(_keys(spark, sf), ["institution", "business_date"])
     hit = F.when(F.col("expected") & (F.col("k") % 3 != 0), "MISSING").otherwise(F.col("status"))
-    o = o.withColumn("status", hit)
-    at = F.lit(D.DESK_NOW.replace(year=1998, month=5, day=20, hour=10, minute=45))
-    return I.group_systemic(I.detect_systemic(o, at), inc(spark, sf), o, at)
+    return o.withColumn("status", hit), F.lit(datetime(1998, 3, 6, 10, 45))
 
 
 @query(
     "group_systemic",
-    f"WITH {INC}, {OCC[1:]}, hit AS (SELECT institution, business_date FROM desk_occ WHERE expected AND business_date = DATE '1998-05-20' AND (k % 3 <> 0 OR status = 'MISSING')), "
-    "sig AS (SELECT (SELECT count(*) FROM hit) >= 3 AND (SELECT count(*) FROM hit) >= 0.5 * (SELECT count(*) FROM desk_occ WHERE expected AND business_date = DATE '1998-05-20') AS s) "
-    "SELECT i.incident_id, CASE i.priority WHEN 'P1' THEN 'P2' WHEN 'P2' THEN 'P3' ELSE 'P4' END AS priority, 'systemic:1998-05-20' AS systemic_parent FROM desk_inc i JOIN hit h USING (institution, business_date), sig "
-    "WHERE s AND i.status <> 'RESOLVED' AND i.parent_id IS NULL",
+    f"WITH {INC}, {OCC[1:]}, {HIT}, sig AS (SELECT (SELECT count(*) FROM hit) >= 3 AND (SELECT count(*) FROM hit) >= 0.5 * n AS s FROM due) "
+    "SELECT i.incident_id, CASE i.priority WHEN 'P1' THEN 'P2' WHEN 'P2' THEN 'P3' ELSE 'P4' END AS priority, 'systemic:1998-03-06' AS systemic_parent "
+    "FROM desk_inc i JOIN hit h USING (institution, business_date), sig WHERE s AND i.status <> 'RESOLVED' AND i.parent_id IS NULL",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    _, linked = outage(spark, sf)
+    o, at = outage(spark, sf)
+    _, linked = I.group_systemic(I.detect_systemic(o, at), inc(spark, sf), o, at)
     return linked.filter("linked").select("incident_id", "priority", "systemic_parent")
 
 
@@ -627,10 +625,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         (600 + k % 400).cast("int").alias("arrived_min"),
     )
     s = tuning.suggest_tuning(D.ship_contracts(spark, sf), resolved)
-    g = tuning.tuning_groups(resolved).select("institution", "family", "sub", "false_alarms", "confirmed")
-    key = F.when(F.col("family") == "VOLUME", F.concat(F.lit("volume:"), "sub")).otherwise(F.concat(F.lit("deadline:"), "sub"))
-    out = s.join(g.withColumn("key", key), ["institution", "key", "false_alarms", "confirmed"])
-    return out.filter("family in ('VOLUME', 'LATE_DELIVERY', 'DELIVERY_AT_RISK')").select("institution", "key", "family", "new_value", "false_alarms", "confirmed").distinct()
+    return s.filter("family in ('VOLUME', 'LATE_DELIVERY', 'DELIVERY_AT_RISK')").select("institution", "key", "family", "new_value", "false_alarms", "confirmed")
 
 
 # --- result tables ------------------------------------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -28,19 +27,24 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+_OWN: dict[str, str] = {}  # application id -> folder, where the cluster names none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A folder of this process's own is taken only where the setting is absent (tests on one machine).
+    A folder of this process's own is taken only where the setting is absent and all tasks run on this
+    machine (tests).
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
-        own = tempfile.mkdtemp(prefix=f"tidewatch-{os.getpid()}-")
-        spark.conf.set("spark.checkpoint.dir", own)
-        return own
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="tidewatch-")
+    return _OWN[app]
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:

@@ -17,11 +17,12 @@ def summarize_records(
     """Counts, exact sums and an order-free content hash per file.
 
     A first pass groups by (file, customer, record key): a file that holds a third of all records is
-    spread over every task there, and the second pass combines partial sums. Distinct customers and
-    distinct record keys are then counted by Spark's two-phase distinct aggregation on the smaller rows.
+    spread over every task there, and the later passes combine partial sums. Distinct customers and
+    distinct record keys are counted on the smaller rows.
     """
     amt = F.col(amount).cast("decimal(20,2)")
-    digest = F.md5((F.col(row_hash) if row_hash else F.concat_ws("|", *[F.col(c).cast("string") for c in [customer, *record_key]], amt.cast("string"))).cast("binary"))
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in [customer, *record_key]], amt.cast("string"))
+    digest = F.md5((F.col(row_hash) if row_hash else text).cast("binary"))
     half = lambda start: F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)")
     rec = F.concat_ws("|", *[F.col(c).cast("string") for c in record_key])
     pre = (
@@ -37,22 +38,37 @@ def summarize_records(
             F.sum("_h2").alias("h2"),
         )
     )
-    return (
-        pre.groupBy(*keys)
-        .agg(
-            F.sum("n").alias("record_count"),
-            F.sum("s").cast("decimal(20,2)").alias("total_amount"),
-            F.count_distinct("_cust").alias("customer_count"),
-            F.sum("z").alias("zero_amount_count"),
-            F.sum("g").alias("negative_amount_count"),
-            (F.sum("n") - F.count_distinct("_rec")).alias("duplicate_record_count"),
-            F.max("m").cast("decimal(20,2)").alias("max_amount"),
-            F.sum("h1").alias("_h1"),
-            F.sum("h2").alias("_h2"),
+    sums = {
+        "record_count": F.sum("n"),
+        "total_amount": F.sum("s").cast("decimal(20,2)"),
+        "zero_amount_count": F.sum("z"),
+        "negative_amount_count": F.sum("g"),
+        "max_amount": F.max("m").cast("decimal(20,2)"),
+        "_h1": F.sum("h1"),
+        "_h2": F.sum("h2"),
+    }
+    if customer in record_key:
+        # A record key then belongs to one customer, so both distinct counts are plain counts of groups.
+        per_customer = pre.groupBy(*keys, "_cust").agg(
+            *[f(c).alias(c) for c, f in (("n", F.sum), ("s", F.sum), ("z", F.sum), ("g", F.sum), ("m", F.max), ("h1", F.sum), ("h2", F.sum))],
+            F.count("*").alias("r"),
+        )
+        files = per_customer.groupBy(*keys).agg(
+            *[c.alias(n) for n, c in sums.items()], F.count("_cust").alias("customer_count"), F.sum("r").alias("_distinct")
         )
-        .withColumn(
-            "content_hash",
-            F.md5(F.concat_ws("|", F.col("record_count").cast("string"), F.col("_h1").cast("string"), F.col("_h2").cast("string")).cast("binary")),
+    else:
+        files = pre.groupBy(*keys).agg(
+            *[c.alias(n) for n, c in sums.items()], F.count_distinct("_cust").alias("customer_count"), F.count_distinct("_rec").alias("_distinct")
         )
-        .drop("_h1", "_h2")
+    digest_all = F.concat_ws("|", F.col("record_count").cast("string"), F.col("_h1").cast("string"), F.col("_h2").cast("string"))
+    return files.select(
+        *keys,
+        "record_count",
+        "total_amount",
+        "customer_count",
+        "zero_amount_count",
+        "negative_amount_count",
+        (F.col("record_count") - F.col("_distinct")).alias("duplicate_record_count"),
+        "max_amount",
+        F.md5(digest_all.cast("binary")).alias("content_hash"),
     )
