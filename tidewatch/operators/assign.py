@@ -24,10 +24,11 @@ from pyspark.sql import Window as W
 
 from tidewatch import fixed
 from tidewatch.functions.scalar import local_date
-from tidewatch.session import spread
+from tidewatch.session import settle, spread
 
 SALTS = 64
-FILLS = "institution STRING, load_id STRING, slot_key STRING, business_date DATE, reason STRING, received_at TIMESTAMP"
+FILLS = "institution STRING, load_id STRING, slot_key STRING, business_date DATE, reason STRING, received_at TIMESTAMP, day DATE"
+LIMIT_BEFORE_SHUFFLE = 1000  # below this, Spark cuts each input partition before it shuffles
 
 
 def candidate_windows(candidates: DataFrame) -> DataFrame:
@@ -67,7 +68,13 @@ def with_contract(loads: DataFrame, validity: DataFrame) -> DataFrame:
     ).drop("slot_keys")
 
 
-def _leaders(placed: DataFrame) -> DataFrame:
+def _leaders(placed: DataFrame, most: int) -> DataFrame:
+    """The first k files of each class, k being the number of candidate deliveries around its day.
+
+    ``most`` is the largest k of any contract. As a literal it lets Spark cut every input partition to
+    ``most`` rows per class before the shuffle, so files that cannot be leaders never travel; the salt
+    spreads what is left of a hot class over many tasks.
+    """
     t = F.col("received_at")
     today = F.filter("win", lambda c: c["bd"] == F.col("day"))
     phase = F.size(F.filter(today, lambda c: c["ws"] <= t)) * 1000 + F.size(F.filter(today, lambda c: c["dl"] < t))
@@ -79,10 +86,11 @@ def _leaders(placed: DataFrame) -> DataFrame:
     order = [F.col("received_at"), F.col("load_id")]
     first = W.partitionBy(*cls, "salt").orderBy(*order)
     second = W.partitionBy(*cls).orderBy(*order)
+    limit = F.lit(most) if most < LIMIT_BEFORE_SHUFFLE else F.col("k")
     return (
         rows.withColumn("salt", salt)
         .withColumn("rn", F.row_number().over(first))
-        .filter("rn <= k")
+        .filter(F.col("rn") <= limit)
         .withColumn("rn", F.row_number().over(second))
         .filter("rn <= k")
         .drop("salt", "rn", "phase", "k")
@@ -114,7 +122,7 @@ def _walk(leaders: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
                 vacant = [c for c in reachable if c[:2] not in filled]
                 if vacant:
                     pick = (max(vacant, key=lambda c: c[1]), "HINT")
-                    out.append((load_id, *pick[0][:2], pick[1], t))
+                    out.append((load_id, *pick[0][:2], pick[1], t, day))
                     filled.add(pick[0][:2])
                 continue
         vacant = [c for c in today if c[:2] not in filled]
@@ -136,18 +144,18 @@ def _walk(leaders: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
             elif ahead:
                 pick = (ahead[0], "EARLY")
         if pick:
-            out.append((load_id, *pick[0][:2], pick[1], t))
+            out.append((load_id, *pick[0][:2], pick[1], t, day))
             filled.add(pick[0][:2])
-    return pd.DataFrame(out, columns=["load_id", "slot_key", "business_date", "reason", "received_at"])
+    return pd.DataFrame(out, columns=["load_id", "slot_key", "business_date", "reason", "received_at", "day"])
 
 
-def find_fills(placed: DataFrame, candidates: DataFrame) -> DataFrame:
+def find_fills(placed: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
     def per_sender(key, left, right):  # noqa: ANN001, ANN202
         fills = _walk(left, right)
         fills.insert(0, "institution", key[0])
         return fills
 
-    lead = _leaders(placed)
+    lead = _leaders(placed, most)
     names = ["institution", "version", "slot_key", "business_date", "window_start_utc", "deadline_utc", "cadence"]
     cand = candidates.select(*[F.col(c).alias(f"c_{c}") for c in names])
     return (
@@ -163,13 +171,25 @@ def assign_loads(loads: DataFrame, candidates: DataFrame, validity: DataFrame) -
 
     ``candidates``: ``expand_schedule(..., spill_days=(4, 2))`` of the versions in ``validity``.
     """
-    placed = with_contract(loads, validity).join(candidate_windows(candidates), ["institution", "version", "day"], "left")
-    fills = find_fills(placed, candidates)
-    by_day = fills.groupBy("institution", F.col("business_date").alias("day")).agg(
+    days = candidate_windows(candidates)
+    key = ["institution", "version", "day"]
+    dated = with_contract(loads, validity)
+    most = (fixed.LATE_LOOKBACK_DAYS + 2) * int(validity.agg(F.max(F.size("slots"))).first()[0] or 0)
+    fills = settle(find_fills(dated.join(days, key), candidates, most), "fills")
+    # Everything a file needs to know about its day meets it in one join on (institution, version, day):
+    # the candidate deliveries, when today's were filled, and which files of the day filled something.
+    # The lists are bounded by the sender's slots; a hot day is split by the adaptive skew join.
+    of_today = fills.groupBy("institution", F.col("business_date").alias("day")).agg(
         F.collect_list(F.struct("slot_key", "received_at", "load_id")).alias("day_fills")
     )
-    filler = fills.select("institution", "load_id", F.col("slot_key").alias("f_slot"), F.col("business_date").alias("f_bd"), F.col("reason").alias("f_reason"))
-    rows = placed.join(by_day, ["institution", "day"], "left").join(filler, ["institution", "load_id"], "left")
+    by_file = fills.groupBy("institution", "day").agg(
+        F.map_from_entries(F.collect_list(F.struct("load_id", F.struct("slot_key", "business_date", "reason")))).alias("fillers")
+    )
+    lookup = days.join(of_today, ["institution", "day"], "left").join(by_file, ["institution", "day"], "left")
+    mine = F.try_element_at("fillers", F.col("load_id"))
+    rows = dated.join(lookup, key, "left").withColumns(
+        {"f_slot": mine["slot_key"], "f_bd": mine["business_date"], "f_reason": mine["reason"]}
+    )
 
     t, me, d = F.col("received_at"), F.col("load_id"), F.col("day")
 
