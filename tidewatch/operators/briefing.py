@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch import fixed
 from tidewatch.functions.scalar import money, num
 from tidewatch.operators.evaluate import KEY
-from tidewatch.sources.loads import recent_first
 
 RECENT_DAYS, RECENT_ROWS = 30, 10
 
@@ -68,18 +68,11 @@ def tidy(v: Column) -> Column:
     )
 
 
-def recent_deliveries(occ: DataFrame, targets: DataFrame, days: int = RECENT_DAYS, n: int = RECENT_ROWS) -> DataFrame:
-    """Up to ``n`` newest earlier occurrences of the same slot within ``days`` days of each target."""
-    t = targets.select(*KEY).distinct().withColumnsRenamed({"business_date": "target_date"})
-    near = occ.select(*KEY, "status", "max_severity").join(t, ["institution", "slot_key"])
-    near = near.filter((F.col("business_date") < F.col("target_date")) & (F.col("business_date") >= F.date_sub("target_date", days)))
-    return recent_first(near, ["institution", "slot_key", "target_date"], [F.desc("business_date")], n)
-
-
-def recent_by_frame(occ: DataFrame, days: int = RECENT_DAYS, n: int = RECENT_ROWS) -> DataFrame:
-    """The same for every occurrence at once, by a window over its slot's days instead of a self join."""
-    from pyspark.sql import Window as W
+def recent_deliveries(occ: DataFrame, days: int = RECENT_DAYS, n: int = RECENT_ROWS) -> DataFrame:
+    """Adds recent: up to ``n`` newest earlier occurrences of the same slot within ``days`` days.
 
+    A window over the slot's days serves every occurrence in one pass; no pairs are formed.
+    """
     w = W.partitionBy("institution", "slot_key").orderBy(F.unix_date("business_date")).rangeBetween(-days, -1)
     rows = F.collect_list(F.struct("business_date", "status", "max_severity")).over(w)
     return occ.withColumn("recent", F.slice(F.reverse(rows), 1, n))
@@ -87,7 +80,7 @@ def recent_by_frame(occ: DataFrame, days: int = RECENT_DAYS, n: int = RECENT_ROW
 
 def brief_facts(incidents: DataFrame, occ: DataFrame, institutions: DataFrame) -> DataFrame:
     """(incident_id, facts): the facts a brief may use, as JSON with tidied numbers."""
-    o = recent_by_frame(occ).select(*KEY, F.col("status").alias("occ_status"), "load_count", "total_amount", "recent")
+    o = recent_deliveries(occ).select(*KEY, F.col("status").alias("occ_status"), "load_count", "total_amount", "recent")
     j = incidents.join(o, KEY, "left").join(institutions.select("institution", "sector", "tier"), "institution", "left")
     facts = F.to_json(
         F.struct(

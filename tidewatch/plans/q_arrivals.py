@@ -167,7 +167,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "pipeline_health",
+    "backlog_health",
     f"WITH {S.ARRIVALS} SELECT count(*) AS unassigned, coalesce(epoch(TIMESTAMP '2024-02-05 12:00:00')::BIGINT - epoch(date_trunc('second', min(received_at)))::BIGINT, 0) AS oldest_age_seconds "
     "FROM arr WHERE institution IN ('S0', 'S1')",
 )

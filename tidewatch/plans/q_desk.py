@@ -574,7 +574,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     targets = inc(spark, sf).filter("status = 'OPEN' and institution is not null").select(*KEY).distinct()
-    r = briefing.recent_by_frame(occ(spark, sf)).join(targets, KEY, "left_semi")
+    r = briefing.recent_deliveries(occ(spark, sf)).join(targets, KEY, "left_semi")
     r = r.select("institution", F.col("business_date").alias("target_date"), F.explode("recent").alias("r"))
     return r.select("institution", "target_date", "r.business_date", "r.status")
 

@@ -400,11 +400,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return f.select(*OCC, "metric", F.round("score", 5).alias("score"))
 
 
-@query("run_challengers")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    return shadow(spark, sf).select(*OCC, "challenger", "status", F.array_join("codes", ",").alias("codes"), "max_severity")
-
-
 def shadow(spark: SparkSession, sf: str) -> DataFrame:
     from tidewatch.operators.replay import alert_codes
 
@@ -613,6 +608,18 @@ chall AS (SELECT c.*, v.name AS challenger, c.champ OR EXISTS (SELECT 1 FROM mx
    AND (v.name = 'mix-shift-v1' OR mx.metric = 'records_per_customer')) AS chall FROM champ c, (VALUES ('mix-shift-v1'), ('mix-shift-v2')) v(name))"""
 
 
+@query(
+    "run_challengers",
+    f"WITH RECURSIVE {SHADOW}, c AS (SELECT 'mix-shift-v1' AS challenger, institution, bd, code, r FROM ranked UNION ALL SELECT 'mix-shift-v2', institution, bd, code, r FROM ranked "
+    "UNION ALL SELECT 'mix-shift-v1', institution, bd, 'MIX_SHIFT', 2 FROM mx UNION ALL SELECT 'mix-shift-v2', institution, bd, 'MIX_SHIFT', 2 FROM mx WHERE metric = 'records_per_customer') "
+    "SELECT t.institution, t.bd AS business_date, v.name AS challenger, t.status, coalesce(string_agg(DISTINCT c.code, ',' ORDER BY c.code) FILTER (c.r >= 2), '') AS codes, "
+    "CASE max(c.r) WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'WARNING' WHEN 1 THEN 'INFO' END AS max_severity FROM tl t CROSS JOIN (VALUES ('mix-shift-v1'), ('mix-shift-v2')) v(name) "
+    "LEFT JOIN c ON c.institution = t.institution AND c.bd = t.bd AND c.challenger = v.name GROUP BY t.institution, t.bd, v.name, t.status",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return shadow(spark, sf).select(*OCC, "challenger", "status", F.array_join("codes", ",").alias("codes"), "max_severity")
+
+
 @query(
     "shadow_report",
     f"WITH RECURSIVE {SHADOW}, {TRUTH}, tr AS (SELECT DISTINCT institution, bd FROM truth), s AS (SELECT c.*, t.bd IS NOT NULL AS t, c.h % 5 = 0 AS tp, c.h % 5 = 1 AS fp "

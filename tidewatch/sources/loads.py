@@ -6,7 +6,6 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidewatch import schemas
 
@@ -136,9 +135,3 @@ def materialize(expected: DataFrame, existing: DataFrame, institutions: DataFram
         .join(existing.select(*KEY), KEY, "left_anti")
         .select(*KEY, "window_start_utc", "deadline_utc", F.lit(True).alias("expected"), F.lit("PENDING").alias("status"))
     )
-
-
-def recent_first(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows per key; a literal bound lets Spark limit each partition before the shuffle."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
