@@ -9,7 +9,7 @@ desk: orders are incidents, and customers' nations are the institutions they bel
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from tidewatch.sources.holidays import build_holidays, fixed_holidays, movable_h
 from tidewatch.sources.records import summarize_records
 
 FIRST_DAY, START, END = date(1995, 1, 1), date(1995, 3, 1), date(2001, 11, 12)
-NOW = datetime(2001, 12, 1, 12, 0)
+NOW = datetime(2001, 12, 1, 12, 0, tzinfo=UTC)
 SHIP_SLOT = "twice"
 
 
@@ -243,7 +243,7 @@ def arrival_contracts(senders: DataFrame) -> DataFrame:
 
 # --- desk --------------------------------------------------------------------------------------------
 
-DESK_NOW = datetime(2001, 8, 1, 12, 0)
+DESK_NOW = datetime(2001, 8, 1, 12, 0, tzinfo=UTC)
 
 
 def pick(key: Column, values: list) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from tidewatch.plans.registry import query, stored
 from tidewatch.sources import loads as src
 
 FROM, TO = date(2023, 12, 20), date(2024, 2, 5)
-NOW = datetime(2024, 2, 5, 12)
+NOW = datetime(2024, 2, 5, 12, tzinfo=UTC)
 
 
 def cal(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +76,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("load_facts", f"WITH {S.ARRIVALS} SELECT load_id, k AS record_count, round(value, 2) AS total_amount FROM arr WHERE institution = 'S3' AND received_at >= TIMESTAMP '2024-01-20'")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    f = src.load_facts(arr(spark, sf), datetime(2024, 1, 20), "S3")
+    f = src.load_facts(arr(spark, sf), datetime(2024, 1, 20, tzinfo=UTC), "S3")
     return f.select("load_id", "record_count", F.col("total_amount").cast("double").alias("total_amount"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,7 +127,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {OCC} SELECT institution, business_date, status FROM desk_occ WHERE status IN ('PENDING', 'AT_RISK') AND expected AND window_start_utc <= TIMESTAMP '2000-06-01 07:00:00'",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rm.open_occurrences(occ(spark, sf), F.lit(datetime(2000, 6, 1, 7))).select("institution", "business_date", "status")
+    return rm.open_occurrences(occ(spark, sf), F.lit(datetime(2000, 6, 1, 7, tzinfo=UTC))).select("institution", "business_date", "status")
 
 
 @query("open_by_priority", f"WITH {INC} SELECT priority, count(*) AS n FROM desk_inc WHERE status <> 'RESOLVED' GROUP BY 1")
@@ -497,7 +497,7 @@ def outage(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
     """The occurrences as a broad outage leaves them (two of three are missing), and the instant to look at them."""
     o = occ(spark, sf).join(_keys(spark, sf), ["institution", "business_date"])
     hit = F.when(F.col("expected") & (F.col("k") % 3 != 0), "MISSING").otherwise(F.col("status"))
-    return o.withColumn("status", hit), F.lit(datetime(1998, 3, 6, 10, 45))
+    return o.withColumn("status", hit), F.lit(datetime(1998, 3, 6, 10, 45, tzinfo=UTC))
 
 
 @query(
