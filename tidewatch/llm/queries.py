@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, packing, topk
+from tidewatch.llm import bpe, packing, pii, simhash, topk, toxicity, warc
 from tidewatch.llm.common import same_session_zone, table
+from tidewatch.session import settle
 
 QUERIES = {}
 ORACLES = {}
@@ -48,3 +49,42 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     file = public_tokenizers.path("byte_bpe_50k.json")
     back = bpe.decode(bpe.encode(table(spark, sf, "documents"), file), file)
     return bpe.digests(back)
+
+
+@query
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    index = warc.write_archives(warc.plan(table(spark, sf, "pages")))
+    return warc.read_records(index, payload=False).drop("url")
+
+
+ORACLES["op5_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query
+def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Also within_radius: how many other fingerprints lie within the radius, for ids divisible by 50."""
+    found = settle(simhash.compare_edited(table(spark, sf, "documents")), "op9")
+    asked = found.where(F.col("doc_id") % 50 == 0)
+    near = simhash.within_radius(asked, found).where("distance > 0").groupBy("query").agg(F.count("*").alias("others"))
+    counted = asked.select("doc_id", F.col("fingerprint").alias("query")).join(near, "query", "left").select("doc_id", F.coalesce("others", F.lit(0)).alias("within_radius"))
+    return found.join(counted.dropDuplicates(["doc_id"]), "doc_id", "left")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels")))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digests(pii.find_spans(table(spark, sf, "documents")))
