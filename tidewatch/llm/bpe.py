@@ -20,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import documents, map_arrow
+from tidewatch.llm.common import documents, map_arrow, process_cache
 
 #: Fixed value: the split of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -115,8 +115,9 @@ def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_co
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = BytePairs(tokenizer_file)
-        known: dict[str | int, bytes] = {}
+        held = process_cache(f"pairs of {tokenizer_file}")
+        pairs = held.setdefault("pairs", None) or BytePairs(tokenizer_file)
+        held["pairs"], known = pairs, held.setdefault("known", {})
         for batch in batches:
             texts = [pairs.pieces(t or "") for t in batch.column(1).to_pylist()]
             if len(known) > CACHE_WORDS:

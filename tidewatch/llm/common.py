@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,8 +31,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def rows_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+def process_cache(name: str) -> dict:
+    """A dictionary that lives as long as the Python worker, for results that depend on their key alone.
+
+    Tasks come by value, so their modules' globals are new in each; a worker that serves many tasks keeps this.
+    """
+    holder = sys.modules.setdefault("_tidewatch_process_cache", types.ModuleType("_tidewatch_process_cache"))
+    return holder.__dict__.setdefault(name, {})
 
 
 def partitions(df: DataFrame) -> int:

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import documents, map_arrow
+from tidewatch.llm.common import documents, map_arrow, process_cache
 from tidewatch.session import settle
 
 CAPACITY = 2048
 GROUP = 8192
-CACHE_WORDS = 300_000  # ids of words are remembered up to this number, then forgotten
+CACHE_WORDS = 500_000  # ids of words are remembered up to this number, then forgotten
 
 
 class RoomTree:
@@ -121,6 +121,61 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     return done.select(*names, (F.shiftleft(F.col("__group"), 24) + F.col("__bin")).alias("sequence_id"), F.col("__at").alias("offset"))
 
 
+class WordEncoder:
+    """Ids of single words by the tokenizers library, remembered by the Python worker.
+
+    Words of letters only are one word to the tokenizer, so many are encoded as one text and parted at the
+    tokens that end a word; a comma or full stop after an ASCII letter is a word of its own. All else is encoded alone.
+    """
+
+    def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        held = process_cache(f"words of {tokenizer_file}")
+        if "tokenizer" not in held:
+            held["tokenizer"] = Tokenizer.from_file(tokenizer_file)
+            vocab = held["tokenizer"].get_vocab()
+            held["ends"] = np.zeros(max(vocab.values()) + 1, bool)
+            held["ends"][[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+            held["known"] = {}
+        self.tokenizer, self.ends, self.known = held["tokenizer"], held["ends"], held["known"]
+
+    def words(self, text: str) -> list[bytes]:
+        """Words between ASCII white space, ASCII letters in lower case (the tokenizer does so itself)."""
+        raw = text.encode()
+        return (raw if b"<|" in raw else raw.lower()).split()
+
+    def learn(self, words: set[bytes]) -> None:
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = words - known.keys()
+        marked = [w for w in new if w[-1:] in b",." and w[-2:-1].isalpha()]
+        plain = (new.difference(marked) | {w[:-1] for w in marked} | {b",", b"."}) - known.keys() if marked else new
+        letters, rest = [], []
+        for w in plain:
+            text = w.decode()
+            (letters if text.isalpha() and text.lower().isalpha() else rest).append((w, text))
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(part):
+                rest += part
+                continue
+            raw, begin = ids.tobytes(), 0
+            for (w, _), stop in zip(part, stops, strict=True):
+                known[w] = raw[4 * begin : 4 * stop]
+                begin = stop
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+
+
 def pieces_of(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids): token ids as unsigned little-endian 32-bit binary, cut at ``capacity``.
 
@@ -131,20 +186,11 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
     end = separator.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        known: dict[bytes, bytes] = {}
+        encoder = WordEncoder(tokenizer_file)
+        known = encoder.known
         for batch in batches:
-            texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = list({w for words in texts for w in words} - known.keys())
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            texts = [encoder.words(t or "") for t in batch.column(1).to_pylist()]
+            encoder.learn({w for words in texts for w in words})
             out: list[list] = [[], [], [], [], []]
             size = 0
             for doc_id, words in zip(batch.column(0).to_pylist(), texts, strict=True):
