@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import sys
 import types
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Documents in one Arrow batch, so that a batch of very long texts still fits beside a task's other memory.
 BATCH_ROWS = 500
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,9 +28,32 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with small batches."""
+    """``mapInArrow`` with small batches: few rows, and few bytes unless one row is large.
+
+    Workers are used again and several may idle beside a busy one, so each gives its free memory back at the end.
+    """
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo: list[pa.RecordBatch] = []
+        for batch in batches:
+            todo.append(batch)
+            while todo:
+                b = todo.pop()
+                if b.nbytes > BATCH_BYTES and b.num_rows > 1:
+                    half = b.num_rows // 2
+                    todo += [b.slice(half), b.slice(0, half)]
+                else:
+                    yield b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(small(batches))
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def process_cache(name: str) -> dict:
@@ -53,8 +78,41 @@ BLOOM_PARTS = 16
 _BLOOM_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _bits_of(keys: np.ndarray) -> list[np.ndarray]:
-    return [mix64(keys.astype(np.uint64) ^ np.uint64(s)) & np.uint64(BLOOM_BITS - 1) for s in _BLOOM_SALTS]
+def _bits_of(keys: np.ndarray, size: int = BLOOM_BITS) -> list[np.ndarray]:
+    return [mix64(keys.astype(np.uint64) ^ np.uint64(s)) & np.uint64(size - 1) for s in _BLOOM_SALTS]
+
+
+def bits_set(keys: np.ndarray, size: int) -> np.ndarray:
+    """A packed bit set of ``size`` bits that holds the keys."""
+    bits = np.zeros(size, bool)
+    for at in _bits_of(keys, size):
+        bits[at] = True
+    return np.packbits(bits)
+
+
+def bits_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for at in _bits_of(keys, 8 * len(bits)):
+        out &= (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+    return out
+
+
+def either_bits(rows: DataFrame, size: int) -> np.ndarray:
+    """The union of packed bit sets given as rows (part int, bits binary) of BLOOM_PARTS parts each."""
+
+    def either(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for b in parts:
+            for part, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                now = np.frombuffer(bits, np.uint8)
+                out[part] = out[part] | now if part in out else now
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], ["part", "bits"])
+
+    whole = np.zeros((BLOOM_PARTS, size // 8 // BLOOM_PARTS), np.uint8)
+    for r in rows.repartition(BLOOM_PARTS, "part").mapInArrow(either, "part int, bits binary").collect():
+        whole[r.part] |= np.frombuffer(bytes(r.bits), np.uint8)
+    return whole.reshape(-1)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -74,68 +132,52 @@ def key_filter(keys: DataFrame, col: str) -> Callable[[F.Column], F.Column]:
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS, bool)
+        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
         for b in batches:
-            for at in _bits_of(b.column(0).drop_null().to_numpy(zero_copy_only=False)):
-                bits[at] = True
-        packed = np.packbits(bits).reshape(BLOOM_PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOOM_PARTS), pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary())], ["part", "bits"])
+            bits |= bits_set(b.column(0).drop_null().to_numpy(zero_copy_only=False), BLOOM_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOOM_PARTS), pa.int32()), pa.array([p.tobytes() for p in bits.reshape(BLOOM_PARTS, -1)], pa.binary())], ["part", "bits"])
 
-    def either(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, np.ndarray] = {}
-        for b in parts:
-            for part, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                now = np.frombuffer(bits, np.uint8)
-                out[part] = out[part] | now if part in out else now
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], ["part", "bits"])
-
-    parts = keys.select(F.col(col).cast("long")).mapInArrow(build, "part int, bits binary")
-    # or-ed in two steps: a salted one, then one row set per part
-    for _ in range(2):
-        parts = parts.repartition(BLOOM_PARTS, "part").mapInArrow(either, "part int, bits binary")
-    got = {r.part: r.bits for r in parts.collect()}
-    width = BLOOM_BITS // 8 // BLOOM_PARTS
-    shared = keys.sparkSession.sparkContext.broadcast(b"".join(bytes(got.get(p, bytes(width))) for p in range(BLOOM_PARTS)))
+    spark = keys.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    shared = spark.sparkContext.broadcast(either_bits(keys.select(F.col(col).cast("long")).mapInArrow(build, "part int, bits binary"), BLOOM_BITS).tobytes())
 
     @F.pandas_udf("boolean")
     def may_hold(values):  # type: ignore[no-untyped-def]
         import pandas as pd
 
-        bits = np.frombuffer(shared.value, np.uint8)
-        known = values.notna().to_numpy()
-        hit = known.copy()
-        for at in _bits_of(values.fillna(0).to_numpy().astype(np.int64)):
-            hit &= (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
-        return pd.Series(hit)
+        hit = bits_hold(np.frombuffer(shared.value, np.uint8), values.fillna(0).to_numpy().astype(np.int64))
+        return pd.Series(hit & values.notna().to_numpy())
 
     return may_hold
 
 
 def counted(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
-    """How often each value of ``hashes`` mod 2**bits occurs in all rows: a table of fixed size, summed by part."""
+    """About how often each value of ``hashes`` mod 2**bits occurs in all rows: a table of fixed size, summed by part.
+
+    A task counts up to 255 a value, which keeps the tables small; sums of one are exact.
+    """
     size, parts = 1 << bits, 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.int32)
         for b in batches:
-            total += np.bincount((hashes(b) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([p.tobytes() for p in np.minimum(total, 2**31 - 1).astype("<i4").reshape(parts, -1)], pa.binary())], ["part", "counts"])
+            np.add.at(total, (hashes(b) & np.uint64(size - 1)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([p.tobytes() for p in np.minimum(total, 255).astype(np.uint8).reshape(parts, -1)], pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                now = np.frombuffer(counts, "<i4").astype(np.int64)
+                now = np.frombuffer(counts, np.uint8).astype(np.int32)
                 out[part] = out[part] + now if part in out else now
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype("<i4").tobytes() for x in out.values()], pa.binary())], ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.astype("<i4").tobytes() for x in out.values()], pa.binary())], ["part", "counts"])
 
     rows = map_arrow(df, count, "part int, counts binary").repartition(parts, "part").mapInArrow(add, "part int, counts binary").collect()
-    whole = np.zeros((parts, size // parts), np.int64)
+    whole = np.zeros((parts, size // parts), np.int32)
     for r in rows:
         whole[r.part] += np.frombuffer(bytes(r.counts), "<i4")
-    return np.minimum(whole.reshape(-1), 2**31 - 1).astype(np.int32)
+    return whole.reshape(-1)
 
 
 def same_session_zone(fn: Callable) -> Callable:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, packing, pii, simhash, substring, topk, toxicity, warc
+from tidewatch.llm import bpe, ngram_join, packing, pii, simhash, substring, topk, toxicity, warc
 from tidewatch.llm.common import same_session_zone, table
 from tidewatch.session import settle
 
@@ -95,3 +95,8 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     kept = substring.remove_repeats(docs, substring.repeated_spans(docs))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op8_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf, "documents"))
