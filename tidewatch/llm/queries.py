@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, ngram_join, packing, pii, simhash, substring, topk, toxicity, warc
+from tidewatch.llm import bpe, line_dedup, ngram_join, packing, pii, simhash, substring, topk, toxicity, warc
 from tidewatch.llm.common import same_session_zone, table
 from tidewatch.session import settle
 
@@ -100,3 +100,11 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf, "documents"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every document, how many go as similar to earlier ones, and a digest of the rest."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    kept = line_dedup.drop_lines(docs, line_dedup.removed_lines(docs), number_col="n_removed")
+    return kept.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -35,7 +35,7 @@ from tidewatch.session import settle
 WINDOW = 50
 PREFIX = 10
 GROUP = 4096  # segments of one prefix that one tree may hold
-CHUNK = 16_384  # segments sorted at once
+CHUNK = 4_096  # segments sorted at once
 _NEVER = np.uint64(2**64 - 1)
 
 
