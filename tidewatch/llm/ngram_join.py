@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import setjoin
@@ -134,3 +134,23 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin.PE
     """(doc_id, n_shingles, component_id): the smallest id that each document reaches by links, itself included."""
     placed, found = links_and_profiles(docs, k, percent, id_col, text_col)
     return placed.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin.PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id; of rows that repeat the id, one.
+
+    Documents without words and rows with a null id all stay. Columns do not change.
+    """
+    placed, found = links_and_profiles(docs, k, percent, id_col, text_col)
+    gone = placed.where("n > 0").join(found, "node", "left").where("doc_id <> coalesce(component, node)").select(F.col("doc_id").alias("__id")).distinct()
+    gone = settle(gone, "ngram-gone")
+    repeated = settle(placed.where("n > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("m")).where("m > 1").select("__id"), "ngram-repeated").join(gone, "__id", "left_anti")
+    may = key_filter(gone.union(repeated), "__id")
+    marked = docs.withColumn("__may", F.coalesce(may(F.col(id_col).cast("long")), F.lit(False)))
+    alone, rest = marked.where(~F.col("__may")).drop("__may"), marked.where("__may").drop("__may")
+    own = F.col(id_col).cast("long") == F.col("__id")
+    kept = rest.join(gone, own, "left_anti")
+    blank = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    twice = kept.join(repeated, own, "left_semi")
+    one = twice.where(~blank).withColumn("__first", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where("__first = 1").drop("__first")
+    return alone.unionByName(kept.join(repeated, own, "left_anti")).unionByName(twice.where(blank)).unionByName(one)
