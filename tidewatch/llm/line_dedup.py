@@ -1,16 +1,16 @@
 """Line dedup: an exact set-similarity join of lines by their words.
 
 A line's set holds its distinct words, A-Z in lower case. Words are ordered by rarity; two lines are compared if they share
-one of their first words (prefix filter), their sizes allow the similarity (length filter), and what follows the shared word
-in both still allows it (positional filter). The Jaccard similarity of the whole sets decides. A line that is similar
-to an earlier line, by (id, place in the text), is removed; lines are judged on the input, not on what is left.
+one of their first words (prefix filter), their sizes allow the similarity (length filter), what precedes and follows the
+shared word in both still allows it (positional filter), and so do their parity bitmaps. The Jaccard similarity of the
+whole sets decides. A line that is similar to an earlier line, by (id, number in the text), is removed; lines are judged
+on the input, not on what is left.
 
-Equal sets are collapsed first: all but the earliest occurrence go. Of the others each needs one similar earlier set, so
-candidates are first the earliest set of each list, then its first few, then, for sets without a match so far, all
-earlier sets of their lists, without any bound.
+Of equal sets all but the earliest go, without a comparison. The others need one similar earlier set each, so at most
+``FEW`` candidates of a shared word are verified first; lines that had more of them and no match meet all the rest.
 
 Lines end at line feeds. Lines of fewer than ``least`` words stay and match nothing, as do lines of rows with a null id;
-null texts stay null. Rows that share an id are ordered by a hash of their text; equal rows are one row. Nothing else of a row
+null texts stay null. Lines with equal number of rows that repeat an id do not remove each other. Nothing else of a row
 changes, and an empty table gives no rows.
 """
 
@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import setjoin
-from tidewatch.llm.common import counted, documents, key_filter, map_arrow, partitions
+from tidewatch.llm.common import BLOOM_BITS, BLOOM_PARTS, bits_hold, bits_set, counted, documents, either_bits, key_filter, map_arrow, mix64, partitions
 from tidewatch.llm.words import Words
 from tidewatch.session import settle
 
 LEAST = 5  # words
 RARITY_BITS = 22
-FEW = 8
+FEW = 16
+BITMAP = 128  # bits
+FLUSH = 2_000_000  # postings a task holds
+PAIRS = 1_000_000  # pairs compared at once
 
 
 class Lines:
@@ -52,87 +55,212 @@ class Lines:
         self.line = (line[long][begin] - feeds[words.offsets[:-1]][self.doc] - self.doc).astype(np.int32)
 
 
-def _overlap_possible(percent: int) -> F.Column:
-    """Positional filter on places p, q of a shared word in sets of n and m words."""
-    most = F.least("p", "q") + 1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1)
-    return most * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-
-
-def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bitmaps(sets: setjoin.OrderedSets) -> np.ndarray:
+    """Parity of each set's tokens over BITMAP places, as rows of 64-bit integers."""
+    n, words = len(sets.size), BITMAP // 64
+    place = (sets.token >> np.uint64(57)).astype(np.int64)  # 7 bits
+    odd = np.bincount(sets.owner * BITMAP + place, minlength=n * BITMAP).reshape(n, BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view("<u8").reshape(n, words)
+
+
+RECORD = np.dtype([("token", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("p", "<i4")])
+
+
+def candidates(postings: np.ndarray, percent: int, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (later, earlier) of sets that share a token and pass the filters, and which later ones have more.
+
+    Each later row takes its earliest ``few`` candidates of a token; None takes all.
+    """
+    postings = postings[np.lexsort((postings["line"], postings["doc"], postings["token"]))]
+    token = postings["token"]
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    length = np.diff(np.concatenate([starts, [len(token)]]))
+    start = np.repeat(starts, length)
+    rank = np.arange(len(token)) - start
+    found = np.zeros(len(token), np.int64)
+    later, earlier = [], []
+    at, step = 0, 64
+    active = np.flatnonzero(rank > 0)
+    while len(active):
+        width = np.minimum(rank[active] - at, step)
+        ends = np.cumsum(width)
+        cut = 0
+        while cut < len(active):
+            base = ends[cut - 1] if cut else 0
+            to = max(cut + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
+            rows, w = active[cut:to], width[cut:to]
+            a = np.repeat(rows, w)
+            b = start[a] + at + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+            r, s = postings[a], postings[b]
+            both = r["n"] + s["n"]
+            least = -(-both * percent // (100 + percent))
+            good = np.minimum(r["n"], s["n"]) * 100 >= np.maximum(r["n"], s["n"]) * percent
+            good &= np.minimum(r["p"], s["p"]) + 1 + np.minimum(r["n"] - r["p"], s["n"] - s["p"]) - 1 >= least
+            good &= np.bitwise_count(r["x"] ^ s["x"]).astype(np.int32) + np.bitwise_count(r["y"] ^ s["y"]) <= both - 2 * least
+            good &= (r["doc"] != s["doc"]) | (r["line"] != s["line"])
+            a, b = a[good], b[good]
+            if few is not None and len(a):
+                fresh = np.concatenate([[True], a[1:] != a[:-1]])
+                order = np.arange(len(a)) - np.repeat(np.flatnonzero(fresh), np.diff(np.concatenate([np.flatnonzero(fresh), [len(a)]])))
+                keep = found[a] + order < few
+                found += np.bincount(a, minlength=len(found))
+                a, b = a[keep], b[keep]
+            later.append(a)
+            earlier.append(b)
+            cut = to
+        at += step
+        active = active[(rank[active] > at) & ((found[active] < few) if few is not None else True)]
+    a = np.concatenate(later) if later else np.zeros(0, np.int64)
+    b = np.concatenate(earlier) if earlier else np.zeros(0, np.int64)
+    more = found[a] >= few if few is not None else np.zeros(len(a), bool)
+    return postings[a], postings[b], more
+
+
+def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray, few: int | None = FEW, seekers: bytes | None = None) -> DataFrame:
+    """(a struct, b struct, more) of lines by (doc_id, line); a is later. ``seekers`` bounds a to a bit set of lines."""
+    spark, n = own.sparkSession, partitions(own)
+    shared = spark.sparkContext.broadcast((rarity, seekers))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        count = 0
+
+        def out() -> pa.RecordBatch:
+            one, two, doc, line, records, size = (np.concatenate([h[k] for h in held]) for k in range(6))
+            first = np.concatenate([[0], np.cumsum(size)])
+            # of equal sets the earliest
+            order = np.lexsort((line, doc, two, one))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+            keep = np.zeros(len(order), bool)
+            keep[order[fresh]] = True
+            records = records[np.repeat(keep, size)]
+            block = ((records["token"] >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            cuts = np.searchsorted(block[order], np.arange(n + 1))
+            parts = [(k, order[x:y]) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+            # column by column, which compresses better
+            packed = [b"".join(np.ascontiguousarray(records[name][i]).tobytes() for name in RECORD.names) for _, i in parts]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(packed, pa.binary())], ["block", "postings"])
+
+        for b in batches:
+            found = Lines(b.column(2), least)
+            sets = setjoin.OrderedSets(found.owner, found.token, found.n, shared.value[0], percent)
+            doc = b.column(0).take(pa.array(found.doc)).to_numpy()
+            # a count of one means that no other line holds the token
+            i = np.flatnonzero(sets.in_prefix & (sets.count > 1))
+            o = sets.owner[i]
+            records = np.zeros(len(i), RECORD)
+            maps = bitmaps(sets)
+            for name, value in (("token", sets.token[i]), ("x", maps[o, 0]), ("y", maps[o, 1]), ("doc", doc[o]), ("line", found.line[o]), ("n", sets.size[o]), ("p", sets.place[i])):
+                records[name] = value
+            held.append((sets.keys[0], sets.keys[1], doc, found.line, records, np.bincount(o, minlength=found.n)))
+            count += len(i)
+            if count > FLUSH:
+                yield out()
+                held, count = [], 0
+        if held:
+            yield out()
+
+    def meet(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in blocks:
+            for raw in b.column(1).to_pylist():
+                rows, at = np.zeros(len(raw) // RECORD.itemsize, RECORD), 0
+                for name in RECORD.names:
+                    kind = RECORD[name]
+                    rows[name] = np.frombuffer(raw, kind, len(rows), at)
+                    at += kind.itemsize * len(rows)
+                held.append(rows)
+        if not held:
+            return
+        a, b, more = candidates(np.concatenate(held), percent, few)
+        if shared.value[1] is not None:
+            keep = bits_hold(np.frombuffer(shared.value[1], np.uint8), _line_key(a["doc"], a["line"]))
+            a, b, more = a[keep], b[keep], more[keep]
+        for at in range(0, max(len(a), 1), 100_000):
+            cut = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (a["doc"][cut], a["line"][cut], b["doc"][cut], b["line"][cut], more[cut])], ["ad", "al", "bd", "bl", "more"])
+
+    dealt = map_arrow(own, send, "block int, postings binary").repartition(n, "block")
+    found = dealt.mapInArrow(meet, "ad long, al int, bd long, bl int, more boolean")
+    node = lambda d, x: F.struct(F.col(d).alias("doc_id"), F.col(x).alias("line"))
+    return found.groupBy("ad", "al", "bd", "bl").agg(F.max("more").alias("more")).select(node("ad", "al").alias("a"), node("bd", "bl").alias("b"), "more")
+
+
+def _line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix64(doc.astype(np.uint64)) + line.astype(np.uint64)
+
+
+def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PERCENT, few: int = FEW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, thash, lines): numbers, from 0, of the lines to remove from the text with that xxhash64."""
     own = documents(docs, id_col, text_col).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("thash"), "text")
+    rarity = counted(own, lambda b: Lines(b.column(2), least).token, RARITY_BITS)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = Lines(b.column(2), least)
+            sets = setjoin.OrderedSets(found.owner, found.token, found.n, None)
+            take = pa.array(found.doc)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(found.line), *(pa.array(x.view(np.int64)) for x in sets.keys)], ["doc_id", "thash", "line", "one", "two"])
+
+    every = settle(map_arrow(own, keys, "doc_id long, thash long, line int, one long, two long"), "line-keys")
 
-    def tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
-        found = Lines(b.column(2), least)
-        return found.owner, found.token, found.n
-
-    def named(b: pa.RecordBatch) -> list[pa.Array]:
-        found = Lines(b.column(2), least)
-        take = pa.array(found.doc)
-        return [b.column(0).take(take), b.column(1).take(take), pa.array(found.line)]
-
-    rarity = counted(own, lambda b: tokens(b)[1], RARITY_BITS)
-    filled = setjoin.repeated_tokens(own, tokens, rarity, percent)
-    every = settle(setjoin.profiles(own, tokens, rarity, filled, "doc_id long, thash long, line int", named, percent), "line-profiles")
-
-    # Distinct sets, numbered in the order of their earliest line.
-    spot = F.struct("doc_id", "thash", "line")
-    order = ["first.doc_id", "first.thash", "first.line"]
-    earliest = every.groupBy("one", "two").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
-    numbered = earliest.repartitionByRange(partitions(own), *order).sortWithinPartitions(*order)
-    sets = settle(numbered.withColumn("node", F.monotonically_increasing_id()), "line-sets")
-    firsts = every.where(F.size("tokens") > 0).join(sets.select("one", "two", "first", "node"), ["one", "two"]).where(spot == F.col("first"))
-    zipped = F.explode(F.arrays_zip("tokens", "places")).alias("x")
-    lists = settle(firsts.select("node", F.col("n").cast("int").alias("n"), zipped).select("node", "n", F.col("x.tokens").alias("token"), F.col("x.places").alias("p")).distinct(), "line-lists")
-
-    def paired(seekers: DataFrame, others: DataFrame) -> DataFrame:
-        met = seekers.join(others.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q")), "token")
-        good = (F.col("node") > F.col("b")) & setjoin.large_enough("n", "m", percent) & _overlap_possible(percent)
-        return met.where(good).select(F.col("node").alias("a"), "b").distinct()
-
-    def contents(pairs: DataFrame) -> DataFrame:
-        """(node, tokens) of the sets in the pairs, from their texts."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        places = sets.join(nodes, "node").select("node", "first.*").groupBy("doc_id", "thash").agg(F.collect_list(F.struct("line", "node")).alias("wanted"))
+    def matched(pairs: DataFrame) -> DataFrame:
+        """(doc_id, line) of the pairs' later lines that are similar to the earlier one."""
+        places = pairs.select("a.*").union(pairs.select("b.*")).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
         places = settle(places, "line-places")
-        may = key_filter(places, "thash")
+        may = key_filter(places, "doc_id")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = Lines(b.column(0), least)
-                owned = setjoin.OrderedSets(found.owner, found.token, found.n, None)
-                at = {(d, x): k for k, (d, x) in enumerate(zip(found.doc.tolist(), found.line.tolist(), strict=True))}
-                nodes, packed = [], []
-                for d, wanted in enumerate(b.column(1).to_pylist()):
-                    for w in wanted:
-                        k = at[d, w["line"]]
-                        nodes.append(w["node"])
-                        packed.append(np.sort(owned.sorted[owned.first[k] : owned.first[k + 1]]).astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "tokens"])
-
-        texts = own.where(may(F.col("thash"))).join(places, ["doc_id", "thash"]).select("text", "wanted")
-        return settle(map_arrow(texts, cut, "node long, tokens binary").dropDuplicates(["node"]), "line-contents")
-
-    first = lists.groupBy("token").agg(F.min(F.struct("node", "n", "p")).alias("s")).select("token", "s.*")
-    tried = settle(paired(lists, first), "line-pairs")
-    matched = settle(setjoin.verified(tried, contents(tried), percent).select(F.col("a").alias("node")).distinct(), "line-matched")
-    for last in (False, True):
-        seekers = lists.join(matched, "node", "left_anti")
-        if last:
-            pairs = paired(seekers, lists)
-        else:
-            # only lists that still have a seeker behind their first set
-            active = seekers.join(first.select("token", F.col("node").alias("s")), "token").where("node > s").select("token").distinct()
-            pairs = paired(seekers, setjoin.stars(lists.join(active, "token", "left_semi"), ["node"], FEW))
-        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "line-pairs")
-        if pairs.limit(1).count():
-            more = setjoin.verified(pairs, contents(pairs), percent).select(F.col("a").alias("node")).distinct()
-            matched, tried = settle(matched.unionByName(more), "line-matched"), tried.unionByName(pairs)
-
-    # Occurrences: of matched sets all, of others all but the earliest.
-    touched = sets.join(matched.withColumn("hit", F.lit(True)), "node", "left").where("hit or first <> last").select("one", "two", "first", F.coalesce("hit", F.lit(False)).alias("hit"))
-    gone = every.select("doc_id", "thash", "line", "one", "two").join(touched, ["one", "two"]).where(F.col("hit") | (spot != F.col("first")))
-    return gone.groupBy("doc_id", "thash").agg(F.collect_set("line").alias("lines"))
+                ids, lines, texts = [], [], []
+                for i, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    parts = text.split("\n")
+                    good = [w for w in wanted if w < len(parts)]
+                    ids += [i] * len(good)
+                    lines += good
+                    texts += [parts[w] for w in good]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "line", "text"])
+
+        whole = own.where(may(F.col("doc_id"))).join(places, "doc_id").select("doc_id", "text", "wanted")
+        texts = map_arrow(whole, cut, "doc_id long, line int, text string").select(F.struct("doc_id", "line").alias("node"), "text")
+        similar = setjoin.verified(pairs, settle(texts, "line-texts"), _line_sets, percent)
+        return similar.select("a.*").distinct()
+
+    pairs = settle(candidate_pairs(own, least, percent, rarity, few), "line-pairs")
+    hits = settle(matched(pairs), "line-matched")
+    rest = settle(pairs.where("more").select("a.*").distinct().join(hits, ["doc_id", "line"], "left_anti"), "line-rest")
+    if rest.limit(1).count():
+        filled = line_bits(rest)
+        wanted = rest.select(F.struct("doc_id", "line").alias("a"))
+        others = candidate_pairs(own, least, percent, rarity, None, filled).join(wanted, "a", "left_semi").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        hits = hits.unionByName(matched(settle(others, "line-pairs")))
+
+    # Occurrences: every line that matched, and of equal sets all but the earliest.
+    spot = F.struct("doc_id", "line")
+    first = every.groupBy("one", "two").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("one", "two", "first")
+    copies = every.join(first, ["one", "two"]).where(spot != F.col("first")).select("doc_id", "thash", "line")
+    near = every.select("doc_id", "thash", "line").join(hits, ["doc_id", "line"], "left_semi")
+    return copies.unionByName(near).groupBy("doc_id", "thash").agg(F.collect_set("line").alias("lines"))
+
+
+def _line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Words of texts that are one line each."""
+    words = Words(texts, lower=True)
+    return np.repeat(np.arange(len(texts)), words.counts()), words.hashes(), len(texts)
+
+
+def line_bits(lines: DataFrame) -> bytes:
+    """A bit set of lines, for candidate_pairs."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+        for b in batches:
+            bits |= bits_set(_line_key(b.column(0).to_numpy(), b.column(1).to_numpy()), BLOOM_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOOM_PARTS), pa.int32()), pa.array([p.tobytes() for p in bits.reshape(BLOOM_PARTS, -1)], pa.binary())], ["part", "bits"])
+
+    return either_bits(lines.select("doc_id", "line").mapInArrow(build, "part int, bits binary"), BLOOM_BITS).tobytes()
 
 
 def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", number_col: str | None = None) -> DataFrame:
@@ -163,4 +291,4 @@ def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return drop_lines(docs, removed_lines(docs, least, percent, id_col, text_col), id_col, text_col)
+    return drop_lines(docs, removed_lines(docs, least, percent, id_col=id_col, text_col=text_col), id_col, text_col)
