@@ -15,15 +15,13 @@ with nothing and have a null component. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import setjoin
-from tidewatch.llm.common import counted, documents, key_filter, map_arrow, mix64
+from tidewatch.llm.common import counted, documents, key_filter, mix64
 from tidewatch.llm.words import BASE, Words
 from tidewatch.session import settle
 
@@ -32,11 +30,11 @@ RARITY_BITS = 20
 FEW = 12  # members of a list that the others meet in the second step
 
 
-def shingles(batch: pa.RecordBatch, k: int = SHINGLE, text: int = 2) -> tuple[np.ndarray, np.ndarray, int]:
+def shingles(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, int]:
     """Document and hash of every shingle, repeated ones included."""
-    words = Words(batch.column(text), lower=True)
+    words = Words(texts, lower=True)
     h = words.hashes()
-    count, n = words.counts(), batch.num_rows
+    count, n = words.counts(), len(texts)
     of = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
     owner = np.repeat(np.arange(n), of)
     start = words.first[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(of) - of, of)
@@ -56,7 +54,7 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
     own = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("thash"), "text")
 
     def tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
-        return shingles(b, k)
+        return shingles(b.column(2), k)
 
     rarity = counted(own, lambda b: tokens(b)[1], RARITY_BITS)
     filled = setjoin.repeated_tokens(own, tokens, rarity, percent)
@@ -72,21 +70,15 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
     shared = lists.groupBy("token").agg(F.min("gid").alias("x"), F.max("gid").alias("y")).where("x <> y").select("token")
     lists = settle(lists.join(shared, "token").join(groups.groupBy("gid").agg(F.min("node").alias("star")), "gid"), "ngram-lists")
 
-    # Texts of all sets that may have a partner, as sorted shingle hashes.
     crowded = groups.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1").select("gid")
-    involved = sets.join(lists.select("gid").union(crowded).distinct(), "gid", "left_semi").select("node", "thash").distinct()
-    involved = settle(involved, "ngram-involved")
-    may = key_filter(involved, "thash")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            owned = setjoin.OrderedSets(*shingles(b, k, 1), None)
-            cuts = owned.first.tolist()
-            packed = [np.sort(owned.sorted[x:y]).astype("<u8").tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "tokens"])
 
-    texts = own.where(may(F.col("thash"))).join(involved.select(F.col("node").alias("doc_id"), "thash"), ["doc_id", "thash"], "left_semi")
-    contents = settle(map_arrow(texts.select("doc_id", "text"), whole, "node long, tokens binary"), "ngram-contents")
+    def check(pairs: DataFrame) -> DataFrame:
+        """The pairs whose texts are similar; only texts of sets in pairs are shuffled, as far as a bit set tells."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        asked = settle(sets.join(asked, "node", "left_semi").select("node", "thash").distinct(), "ngram-asked")
+        may = key_filter(asked, "thash")
+        texts = own.where(may(F.col("thash"))).withColumnRenamed("doc_id", "node").join(asked, ["node", "thash"], "left_semi")
+        return setjoin.verified(pairs, settle(texts.select("node", "text"), "ngram-texts"), lambda x: shingles(x, k), percent)
 
     def expand(pairs: DataFrame) -> DataFrame:
         """Members of the first group against the star of the second."""
@@ -101,7 +93,7 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
     same = known.join(sets.select("one", "two", "node"), ["one", "two"]).groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b").select("a", "b")
     first = lists.groupBy("token").agg(F.min(F.struct("star", "gid", "n")).alias("s")).select("token", "s.*")
     tried = settle(against(first).unionByName(inside).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "ngram-pairs")
-    links = setjoin.verified(tried, contents, percent).unionByName(same)
+    links = check(tried).unionByName(same)
     found = settle(setjoin.components(links), "ngram-components")
 
     def with_component(nodes: DataFrame) -> DataFrame:
@@ -124,7 +116,7 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
         pairs = across(rest, rest.where("1 = 1")) if last else across(rest, setjoin.stars(rest, ["node"], FEW))
         pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
         if pairs.limit(1).count():
-            links = links.unionByName(setjoin.verified(pairs, contents, percent))
+            links = links.unionByName(check(pairs))
             tried = tried.unionByName(pairs)
             found = settle(setjoin.components(links), "ngram-components")
     return placed, found

@@ -137,21 +137,27 @@ def stars(lists: DataFrame, order: list[str], k: int) -> DataFrame:
     return lists.withColumn("__rank", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("__rank") <= k).drop("__rank")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets, (node, tokens binary) in ``sets``, are similar."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted arrays of distinct tokens are similar."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, int]], percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose texts, (node, text) in ``texts``, have similar sets of tokens, stored.
+
+    Texts travel rather than sets: they are shorter, and compress.
+    """
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.minimum(np.searchsorted(v, u), max(len(v) - 1, 0))
-                both = int((v[at] == u).sum()) if len(u) else 0
-                good.append(100 * both >= percent * (len(u) + len(v) - both) and both > 0)
+            x, y = (OrderedSets(*tokens(batch.column(c)), None) for c in (2, 3))
+            cuts = zip(x.first[:-1].tolist(), x.first[1:].tolist(), y.first[:-1].tolist(), y.first[1:].tolist(), strict=True)
+            good = [similar(np.sort(x.sorted[a:b]), np.sort(y.sorted[c:d]), percent) for a, b, c, d in cuts]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")

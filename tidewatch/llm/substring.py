@@ -11,8 +11,9 @@ a smaller id. Every word that a repeat covers is removed; windows are judged on
 3. Distinct segments go to the group of their prefix. Groups of at most ``group`` segments are sorted into suffix
    trees, many groups of a task at once, by doubling the depth: at each depth suffixes whose path occurs in one document
    alone are left out, and the nodes at the depth of a window give the repeats, with the smallest document of each node.
-4. A larger group is split by longer prefixes, up to whole windows: such a node needs its smallest document only,
-   which partial aggregation finds however large the group is.
+4. A larger group is split by longer prefixes, to the right or to the left of the sample. Where even those are shared by
+   too many segments, whole windows are the prefixes: such a node needs its smallest document only, which partial
+   aggregation finds however large the group is.
 
 Null texts have no words. Documents with a null id are never removed from and remove nothing. Rows that repeat an id are
 one document as to the order of ids: they do not remove each other's words. Texts with fewer words than a window
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import documents, key_filter, map_arrow, mix64, partitions
@@ -36,6 +37,7 @@ WINDOW = 50
 PREFIX = 10
 GROUP = 4096  # segments of one prefix that one tree may hold
 CHUNK = 4_096  # segments sorted at once
+CROWDS = 100_000  # nodes whose smallest document is looked up, at most 24 bytes each
 _NEVER = np.uint64(2**64 - 1)
 
 
@@ -121,7 +123,7 @@ def _located(b: pa.RecordBatch, window: int, prefix: int) -> tuple:
     return h, b.column(0).take(pa.array(doc)), flat.field("prefix"), flat.field("seg"), place, begin, end
 
 
-def repeats(prefixes: np.ndarray, docs: np.ndarray, left: np.ndarray, words: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats(docs: np.ndarray, left: np.ndarray, words: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix trees of many segments: for each the first and last start of a repeated window, relative to its sample.
 
     ``last < first`` where there is none. The doubled depths are the levels of the trees; nodes at the depth of a
@@ -169,25 +171,22 @@ def repeats(prefixes: np.ndarray, docs: np.ndarray, left: np.ndarray, words: lis
     return low, high
 
 
-def _trees(segments: DataFrame, window: int, chunk: int) -> DataFrame:
-    """(prefix, seg, doc_id, full_from, full_to, from, to) of segments that are dealt and sorted by prefix."""
-    kinds = "prefix long, seg long, doc_id long, full_from int, full_to int, `from` int, `to` int"
-    names = ["prefix", "seg", "doc_id", "full_from", "full_to", "from", "to"]
+FOUND = "prefix long, seg long, doc_id long, full_from int, full_to int, `from` int, `to` int"
+SLICES = "prefix long, seg long, doc_id long, full_from int, full_to int, key long, left int, words binary"
+
+
+def _trees(slices: DataFrame, window: int, chunk: int) -> DataFrame:
+    """FOUND for slices of segments that are dealt and sorted by key; from and to are null without a repeat."""
+    names = ["prefix", "seg", "doc_id", "full_from", "full_to"]
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
-        prefix, doc = rows["prefix"].to_numpy(), rows["doc_id"].to_numpy()
         left = rows["left"].to_numpy().astype(np.int64)
-        words = [np.frombuffer(w, "<u8") for w in rows["words"].to_pylist()]
-        low, high = repeats(prefix, doc, left, words, window)
-        none = pa.array(high < low)
-        full_to = np.array([len(w) for w in words]) - left
-        clipped = lambda x: pa.compute.if_else(none, None, pa.array(np.clip(x, -(2**30), 2**30).astype(np.int32)))
-        columns = [pa.array(prefix), rows["seg"].combine_chunks(), pa.array(doc), pa.array(-left, pa.int32()), pa.array(full_to, pa.int32()), clipped(low), clipped(np.maximum(high, -(2**29)) + window)]
-        return pa.RecordBatch.from_arrays(columns, names)
+        low, high = repeats(rows["doc_id"].to_numpy(), left, [np.frombuffer(w, "<u8") for w in rows["words"].to_pylist()], window)
+        none = high < low
+        ends = [pa.array(np.where(none, 0, x).astype(np.int32), mask=none) for x in (low, np.where(none, 0, high) + window)]
+        return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in names), *ends], [*names, "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         held: list[pa.RecordBatch] = []
         count = 0
         for b in batches:
@@ -195,9 +194,9 @@ def _trees(segments: DataFrame, window: int, chunk: int) -> DataFrame:
                 continue
             held.append(b)
             count += b.num_rows
-            if count >= chunk:  # all whole prefixes but the last, which may go on
+            if count >= chunk:  # all whole keys but the last, which may go on
                 rows = pa.Table.from_batches(held)
-                keys = rows["prefix"].to_numpy()
+                keys = rows["key"].to_numpy()
                 cut = int(np.searchsorted(keys, keys[-1]))
                 if cut:
                     yield solve(rows.slice(0, cut))
@@ -206,46 +205,103 @@ def _trees(segments: DataFrame, window: int, chunk: int) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return map_arrow(segments, run, kinds)
+    return map_arrow(slices, run, FOUND)
 
 
-def segment_repeats(own: DataFrame, wanted: DataFrame, hot: DataFrame, window: int, prefix: int, chunk: int) -> DataFrame:
-    """For each distinct segment the words of it that smaller documents repeat, as a stored table."""
+def _slices(own: DataFrame, wanted: DataFrame, window: int, prefix: int, longer: bool) -> DataFrame:
+    """SLICES of the wanted segments: each whole under its prefix, or in two parts under longer prefixes.
+
+    The windows that begin up to ``half`` words before the sample hold the ``window - half`` words from it on;
+    the others hold ``half + 1`` words before it and its prefix.
+    """
+    half = (window - prefix) // 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                h, doc, keys, seg, place, begin, end = _located(b, window, prefix)
-                words = [h[x:y].astype("<u8").tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([keys, seg, doc, pa.array((place - begin).astype(np.int32)), pa.array(words, pa.binary())], ["prefix", "seg", "doc_id", "left", "words"])
+            if not b.num_rows:
+                continue
+            h, doc, keys, seg, place, begin, end = _located(b, window, prefix)
+            every = np.arange(len(place))
+            if longer:
+                right = np.flatnonzero(place + window - half <= end)
+                left = np.flatnonzero(place - half - 1 >= begin)
+                row = np.concatenate([right, left])
+                x = np.concatenate([np.maximum(begin, place - half)[right], begin[left]])
+                y = np.concatenate([end[right], np.minimum(end, place + window - half - 1)[left]])
+                key = np.concatenate([ranges_hash(h, place[right], place[right] + window - half), ~ranges_hash(h, place[left] - half - 1, place[left] + prefix)])
+                keep = y - x >= window
+                row, x, y, key = row[keep], x[keep], y[keep], _signed(key[keep])
+            else:
+                row, x, y, key = every, begin, end, keys.to_numpy(zero_copy_only=False)
+            take = pa.array(row)
+            words = [h[i:j].astype("<u8").tobytes() for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+            bounds = [pa.array(z.astype(np.int32)) for z in ((begin - place)[row], (end - place)[row])]
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(take), seg.take(take), doc.take(take), *bounds, pa.array(key, pa.int64()), pa.array((place[row] - x).astype(np.int32)), pa.array(words, pa.binary())],
+                ["prefix", "seg", "doc_id", "full_from", "full_to", "key", "left", "words"],
+            )
+
+    return map_arrow(_with_places(own, wanted), cut, SLICES)
+
+
+def _whole_windows(slices: DataFrame, window: int, group: int) -> DataFrame:
+    """FOUND by windows as prefixes: of each node only the smallest document is needed.
+
+    Nodes of at most ``group`` windows are sorted; the smallest documents of larger ones, of which there are few, are
+    found by partial aggregation and looked up.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            h, doc, keys, seg, place, begin, end = _located(b, window, prefix)
-            count = np.maximum(end - begin - window + 1, 0)
-            row = np.repeat(np.arange(len(place)), count)
-            start = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            words = [np.frombuffer(w, "<u8") for w in b.column(7).to_pylist()]
+            h = np.concatenate(words)
+            size = np.array([len(w) for w in words])
+            count = size - window + 1
+            row = np.repeat(np.arange(len(words)), count)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = (np.cumsum(size) - size)[row] + at
             one = ranges_hash(h, start, start + window)
             two = ranges_hash(mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start, start + window)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [keys.take(take), seg.take(take), doc.take(take), pa.array((begin - place)[row].astype(np.int32)), pa.array((end - place)[row].astype(np.int32)), pa.array((start - place[row]).astype(np.int32)), pa.array(_signed(one)), pa.array(_signed(two))],
-                ["prefix", "seg", "doc_id", "full_from", "full_to", "at", "one", "two"],
-            )
+            relative = at - b.column(6).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(row)) for k in range(5)), pa.array(relative.astype(np.int32)), pa.array(_signed(one)), pa.array(_signed(two))], ["prefix", "seg", "doc_id", "full_from", "full_to", "at", "one", "two"])
+
+    kinds = "prefix long, seg long, doc_id long, full_from int, full_to int, at int, one long, two long"
+    windows = settle(map_arrow(slices, explode, kinds), "substring-windows")
+    crowds = settle(windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where(F.col("m") > group).select("one", "two", "least"), "substring-crowds")
+    if crowds.limit(CROWDS + 1).count() > CROWDS:
+        known = windows.join(crowds, ["one", "two"], "left")
+    else:
+        found = {(r.one, r.two): r.least for r in crowds.collect()}
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                least = [found.get(k) for k in zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], [*b.schema.names, "least"])
+
+        known = settle(map_arrow(windows, look_up, kinds + ", least long"), "substring-known")
+    quiet = known.where("least is null").withColumn("least", F.min("doc_id").over(Window.partitionBy("one", "two")))
+    hit = F.when(F.col("doc_id") > F.col("least"), F.col("at"))
+    return known.where("least is not null").unionByName(quiet).groupBy("prefix", "seg").agg(*(F.min(c).alias(c) for c in ("doc_id", "full_from", "full_to")), F.min(hit).alias("from"), (F.max(hit) + window).cast("int").alias("to"))
+
+
+def segment_repeats(own: DataFrame, wanted: DataFrame, hot: DataFrame, window: int, prefix: int, group: int, chunk: int) -> DataFrame:
+    """For each distinct segment the words of it that smaller documents repeat, as a stored table."""
+
+    def grown(slices: DataFrame) -> DataFrame:
+        return _trees(slices.repartition(partitions(own), "key").sortWithinPartitions("key"), window, chunk)
 
-    cold = wanted.join(hot, "prefix", "left_anti")
-    dealt = map_arrow(_with_places(own, cold), cut, "prefix long, seg long, doc_id long, left int, words binary")
-    out = settle(_trees(dealt.repartition(partitions(own), "prefix").sortWithinPartitions("prefix"), window, chunk), "substring-trees")
-    if hot.limit(1).count():
-        kinds = "prefix long, seg long, doc_id long, full_from int, full_to int, at int, one long, two long"
-        windows = settle(map_arrow(_with_places(own, wanted.join(hot, "prefix", "left_semi")), explode, kinds), "substring-windows")
-        nodes = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("one", "two", "least")
-        hit = windows.join(nodes, ["one", "two"]).where("doc_id > least").groupBy("prefix", "seg").agg(F.min("at").alias("from"), (F.max("at") + window).cast("int").alias("to"))
-        plain = windows.groupBy("prefix", "seg").agg(*(F.min(c).alias(c) for c in ("doc_id", "full_from", "full_to")))
-        out = settle(out.unionByName(plain.join(hit, ["prefix", "seg"], "left")), "substring-segments")
-    return out
+    out = settle(grown(_slices(own, wanted.join(hot, "prefix", "left_anti"), window, prefix, False)), "substring-trees")
+    if not hot.limit(1).count():
+        return out
+    longer = settle(_slices(own, wanted.join(hot, "prefix", "left_semi"), window, prefix, True), "substring-longer")
+    crowded = settle(longer.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > group).select("key"), "substring-crowded")
+    found = grown(longer.join(crowded, "key", "left_anti"))
+    if crowded.limit(1).count():
+        found = found.unionByName(_whole_windows(longer.join(crowded, "key", "left_semi").select(*longer.columns), window, group))
+    parts = found.groupBy("prefix", "seg").agg(*(F.min(c).alias(c) for c in ("doc_id", "full_from")), F.max("full_to").alias("full_to"), F.min("from").alias("from"), F.max("to").alias("to"))
+    return settle(out.unionByName(parts), "substring-segments")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +320,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     distinct = kept.groupBy("prefix", "seg").agg(F.min(F.struct("doc_id", "thash", "pos")).alias("first")).select("prefix", "seg", "first.*")
     distinct = settle(distinct, "substring-distinct")
     hot = settle(distinct.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > group).select("prefix"), "substring-hot")
-    found = segment_repeats(own, distinct, hot, window, prefix, chunk).withColumnRenamed("doc_id", "smallest")
+    found = segment_repeats(own, distinct, hot, window, prefix, group, chunk).withColumnRenamed("doc_id", "smallest")
     whole = F.col("doc_id") > F.col("smallest")
     spans = kept.join(found, ["prefix", "seg"]).select(
         "doc_id",
