@@ -35,7 +35,7 @@ from tidewatch.session import settle
 
 WINDOW = 50
 PREFIX = 10
-GROUP = 4096  # segments of one prefix that one tree may hold
+GROUP = 16_384  # segments of one prefix that one tree may hold: some 100 MB while it is sorted
 CHUNK = 4_096  # segments sorted at once
 CROWDS = 100_000  # nodes whose smallest document is looked up, at most 24 bytes each
 _NEVER = np.uint64(2**64 - 1)
