@@ -55,15 +55,7 @@ class Lines:
         self.line = (line[long][begin] - feeds[words.offsets[:-1]][self.doc] - self.doc).astype(np.int32)
 
 
-def bitmaps(sets: setjoin.OrderedSets) -> np.ndarray:
-    """Parity of each set's tokens over BITMAP places, as rows of 64-bit integers."""
-    n, words = len(sets.size), BITMAP // 64
-    place = (sets.token >> np.uint64(57)).astype(np.int64)  # 7 bits
-    odd = np.bincount(sets.owner * BITMAP + place, minlength=n * BITMAP).reshape(n, BITMAP) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1).view("<u8").reshape(n, words)
-
-
-RECORD = np.dtype([("token", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("p", "<i4")])
+RECORD = np.dtype([("token", "<u8"), ("key", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("p", "<i4")])
 
 
 def candidates(postings: np.ndarray, percent: int, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,6 +63,11 @@ def candidates(postings: np.ndarray, percent: int, few: int | None) -> tuple[np.
 
     Each later row takes its earliest ``few`` candidates of a token; None takes all.
     """
+    # copies of a set that other tasks sent: the earliest stays
+    postings = postings[np.lexsort((postings["line"], postings["doc"], postings["key"], postings["token"]))]
+    if len(postings):
+        fresh = (postings["token"][1:] != postings["token"][:-1]) | (postings["key"][1:] != postings["key"][:-1])
+        postings = postings[np.concatenate([[True], fresh])]
     postings = postings[np.lexsort((postings["line"], postings["doc"], postings["token"]))]
     token = postings["token"]
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
@@ -151,8 +148,8 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
             i = np.flatnonzero(sets.in_prefix & (sets.count > 1))
             o = sets.owner[i]
             records = np.zeros(len(i), RECORD)
-            maps = bitmaps(sets)
-            for name, value in (("token", sets.token[i]), ("x", maps[o, 0]), ("y", maps[o, 1]), ("doc", doc[o]), ("line", found.line[o]), ("n", sets.size[o]), ("p", sets.place[i])):
+            maps = setjoin.bitmaps(sets, BITMAP).view("<u8")
+            for name, value in (("token", sets.token[i]), ("key", sets.keys[0][o]), ("x", maps[o, 0]), ("y", maps[o, 1]), ("doc", doc[o]), ("line", found.line[o]), ("n", sets.size[o]), ("p", sets.place[i])):
                 records[name] = value
             held.append((sets.keys[0], sets.keys[1], doc, found.line, records, np.bincount(o, minlength=found.n)))
             count += len(i)

@@ -5,8 +5,8 @@ equal prefix and size form one group, which takes part in the join once. Group p
 pass the length filter are expanded to their members and verified on the whole sets.
 
 The result is the components of the links. Since links inside a component change nothing, the members of a token's list are
-first verified against the list's first member, then against its first few; then every pair that shares a
-token and still lies in different components is verified, without any bound.
+first verified against the list's first member, then against its first few and a few others; then every pair that shares
+a token and still lies in different components is verified, without any bound, if the parity bitmaps of its sets allow it.
 
 Null and blank texts have empty sets and link with nothing. Texts with fewer words than a shingle have their whole word
 sequence as the only shingle. Rows that repeat an id are one document with all their links. Rows with a null id link
@@ -61,7 +61,7 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
     every = settle(setjoin.profiles(own, tokens, rarity, filled, "doc_id long, thash long", lambda b: [b.column(0), b.column(1)], percent), "ngram-profiles")
 
     known = every.where("doc_id is not null and n > 0")
-    sets = settle(known.groupBy("one", "two").agg(F.min(F.struct("doc_id", "thash")).alias("first"), F.min("n").alias("n"), F.min("gid").alias("gid")).select("one", "two", "n", "gid", F.col("first.doc_id").alias("node"), F.col("first.thash").alias("thash")), "ngram-sets")
+    sets = settle(known.groupBy("one", "two").agg(F.min(F.struct("doc_id", "thash")).alias("first"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.first("bitmap").alias("bitmap")).select("one", "two", "n", "gid", "bitmap", F.col("first.doc_id").alias("node"), F.col("first.thash").alias("thash")), "ngram-sets")
     placed = settle(every.select("doc_id", "n", "one", "two").join(sets.select("one", "two", "node"), ["one", "two"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "ngram-placed")
 
     # Groups and their lists: one row for each token that two groups or more share.
@@ -72,6 +72,12 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
 
     crowded = groups.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1").select("gid")
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs that the bitmaps of their sets allow."""
+        x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("x"))
+        y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("y"))
+        return pairs.join(x, "a").join(y, "b").where(setjoin.bitmaps_allow("na", "nb", "x", "y", percent)).select("a", "b").distinct()
+
     def check(pairs: DataFrame) -> DataFrame:
         """The pairs whose texts are similar; only texts of sets in pairs are shuffled, as far as a bit set tells."""
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -93,6 +99,7 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
     same = known.join(sets.select("one", "two", "node"), ["one", "two"]).groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b").select("a", "b")
     first = lists.groupBy("token").agg(F.min(F.struct("star", "gid", "n")).alias("s")).select("token", "s.*")
     tried = settle(against(first).unionByName(inside).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "ngram-pairs")
+    tried = settle(possible(tried), "ngram-possible")
     links = check(tried).unionByName(same)
     found = settle(setjoin.components(links), "ngram-components")
 
@@ -111,10 +118,10 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
         met = rows.join(others.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d")), "token").where("c <> d").where(setjoin.large_enough("n", "m", percent))
         return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
-    for last in (False, True):
+    for stars in (["node"], [F.xxhash64("node")], None):
         rest = open_lists()
-        pairs = across(rest, rest.where("1 = 1")) if last else across(rest, setjoin.stars(rest, ["node"], FEW))
-        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        pairs = across(rest, setjoin.stars(rest, stars, FEW) if stars else rest.where("1 = 1"))
+        pairs = settle(possible(pairs.join(tried, ["a", "b"], "left_anti")), "ngram-pairs")
         if pairs.limit(1).count():
             links = links.unionByName(check(pairs))
             tried = tried.unionByName(pairs)

@@ -19,6 +19,7 @@ from tidewatch.session import settle
 
 PERCENT = 75
 FILTER_BITS = 1 << 25
+PROFILE_BITS = 512  # of a set's parity bitmap
 #: Takes a batch and gives the owner (ascending, from 0) and the hash of each token, and the number of owners.
 Tokens = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, int]]
 
@@ -52,6 +53,18 @@ class OrderedSets:
             self.group = mix64(prefix[self.first[1:]] - prefix[self.first[:-1]] + mix64(self.size.astype(np.uint64)))
 
 
+def bitmaps(sets: OrderedSets, bits: int) -> np.ndarray:
+    """Parity of each set's tokens over ``bits`` places, packed in rows of bytes.
+
+    Two sets whose bitmaps differ in d places differ in d tokens at least, which bounds their intersection.
+    """
+    n = len(sets.size)
+    owner = np.repeat(np.arange(n), sets.size)
+    place = (sets.sorted >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(owner * bits + place, minlength=n * bits).reshape(n, bits) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1)
+
+
 def repeated_tokens(own: DataFrame, tokens: Tokens, rarity: np.ndarray, percent: int = PERCENT) -> bytes:
     """A bit set of the tokens that stand in the prefixes of two sets or more (and few others).
 
@@ -102,7 +115,7 @@ def profiles(own: DataFrame, tokens: Tokens, rarity: np.ndarray, filled: bytes,
     """One row per set: the columns ``head`` given by ``named``, n, keys, group, and its repeated prefix tokens with their places."""
     spark = own.sparkSession
     shared = spark.sparkContext.broadcast((rarity, filled))
-    names = [x.split()[0] for x in head.split(", ")] + ["n", "one", "two", "gid", "tokens", "places"]
+    names = [x.split()[0] for x in head.split(", ")] + ["n", "one", "two", "gid", "bitmap", "tokens", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, filled = shared.value
@@ -118,13 +131,14 @@ def profiles(own: DataFrame, tokens: Tokens, rarity: np.ndarray, filled: bytes,
                     *named(b),
                     pa.array(sets.size),
                     *signed,
+                    pa.array(list(bitmaps(sets, PROFILE_BITS).view("<i8")), pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(offsets, pa.array(sets.token[keep].view(np.int64))),
                     pa.ListArray.from_arrays(offsets, pa.array(sets.place[keep].astype(np.int32))),
                 ],
                 names,
             )
 
-    return map_arrow(own, run, f"{head}, n long, one long, two long, gid long, tokens array<long>, places array<int>")
+    return map_arrow(own, run, f"{head}, n long, one long, two long, gid long, bitmap array<long>, tokens array<long>, places array<int>")
 
 
 def large_enough(a: str, b: str, percent: int = PERCENT) -> F.Column:
@@ -132,6 +146,13 @@ def large_enough(a: str, b: str, percent: int = PERCENT) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def bitmaps_allow(n: str, m: str, x: str, y: str, percent: int = PERCENT) -> F.Column:
+    """Bitmap filter: differing bits against the most tokens that similar sets of these sizes may differ in."""
+    differing = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
+    both = F.col(n) + F.col(m)
+    return differing <= both - 2 * F.ceil(both * percent / (100 + percent))
+
+
 def stars(lists: DataFrame, order: list[str], k: int) -> DataFrame:
     """The first ``k`` rows of each token; rows are cut before the shuffle too."""
     return lists.withColumn("__rank", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("__rank") <= k).drop("__rank")
