@@ -30,7 +30,7 @@ from tidewatch.llm.words import Words
 from tidewatch.session import settle
 
 LEAST = 5  # words
-RARITY_BITS = 22
+RARITY_BITS = 20
 FEW = 16
 BITMAP = 128  # bits
 FLUSH = 2_000_000  # postings a task holds

@@ -18,7 +18,7 @@ from tidewatch.llm.common import BLOOM_PARTS, bits_hold, bits_set, either_bits,
 from tidewatch.session import settle
 
 PERCENT = 75
-FILTER_BITS = 1 << 25
+FILTER_BITS = 1 << 23
 PROFILE_BITS = 512  # of a set's parity bitmap
 #: Takes a batch and gives the owner (ascending, from 0) and the hash of each token, and the number of owners.
 Tokens = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, int]]
