@@ -66,7 +66,7 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
 
     # Groups and their lists: one row for each token that two groups or more share.
     groups = sets.select("gid", "node", "n").distinct()
-    lists = known.select("gid", "n", F.explode("tokens").alias("token")).distinct()
+    lists = known.select("gid", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("gid", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place")).distinct()
     shared = lists.groupBy("token").agg(F.min("gid").alias("x"), F.max("gid").alias("y")).where("x <> y").select("token")
     lists = settle(lists.join(shared, "token").join(groups.groupBy("gid").agg(F.min("node").alias("star")), "gid"), "ngram-lists")
 
@@ -91,13 +91,13 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
         return pairs.join(groups.select("gid", F.col("node").alias("a")), "gid").select("a", F.col("star").alias("b")).where("a <> b")
 
     def against(first: DataFrame) -> DataFrame:
-        met = lists.join(first.select("token", F.col("gid").alias("other"), F.col("n").alias("m"), F.col("star").alias("other_star")), "token")
-        return expand(met.where(F.col("gid") != F.col("other")).where(setjoin.large_enough("n", "m", percent)).select("gid", F.col("other_star").alias("star")).distinct())
+        met = lists.join(first.select("token", F.col("gid").alias("other"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("star").alias("other_star")), "token")
+        return expand(met.where(F.col("gid") != F.col("other")).where(setjoin.large_enough("n", "m", percent)).where(setjoin.first_shared("n", "m", "place", "spot", percent)).select("gid", F.col("other_star").alias("star")).distinct())
 
     inside = groups.join(crowded, "gid").join(groups.groupBy("gid").agg(F.min("node").alias("b")), "gid").select(F.col("node").alias("a"), "b").where("a <> b")
     # rows that repeat an id are one document
     same = known.join(sets.select("one", "two", "node"), ["one", "two"]).groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b").select("a", "b")
-    first = lists.groupBy("token").agg(F.min(F.struct("star", "gid", "n")).alias("s")).select("token", "s.*")
+    first = lists.groupBy("token").agg(F.min(F.struct("star", "gid", "n", "place")).alias("s")).select("token", "s.*")
     tried = settle(against(first).unionByName(inside).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "ngram-pairs")
     tried = settle(possible(tried), "ngram-possible")
     links = check(tried).unionByName(same)
@@ -108,14 +108,15 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
 
     def open_lists() -> DataFrame:
         """Lists, by member, that still hold two components; a crowded group is a list of its own."""
-        members = lists.select("token", "gid").join(groups, "gid").select("token", "node", "n")
-        own_group = groups.join(crowded, "gid").select(F.col("gid").alias("token"), "node", "n")
+        members = lists.select("token", "gid", "place").join(groups, "gid").select("token", "node", "n", "place")
+        own_group = groups.join(crowded, "gid").select(F.col("gid").alias("token"), "node", "n", F.lit(0).alias("place"))
         rows = with_component(members.unionByName(own_group))
         two = rows.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
         return settle(rows.join(two, "token"), "ngram-open")
 
     def across(rows: DataFrame, others: DataFrame) -> DataFrame:
-        met = rows.join(others.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d")), "token").where("c <> d").where(setjoin.large_enough("n", "m", percent))
+        met = rows.join(others.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("c").alias("d")), "token").where("c <> d")
+        met = met.where(setjoin.large_enough("n", "m", percent)).where(setjoin.first_shared("n", "m", "place", "spot", percent))
         return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
     for stars in (["node"], [F.xxhash64("node")], None):

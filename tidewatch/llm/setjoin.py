@@ -146,6 +146,15 @@ def large_enough(a: str, b: str, percent: int = PERCENT) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def first_shared(a: str, b: str, p: str, q: str, percent: int = PERCENT) -> F.Column:
+    """Positional filter at the places p and q of a shared token; similar sets pass it at the first token they share.
+
+    Nothing before that token is common, so what is left of either set holds the whole intersection.
+    """
+    needed = F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent))
+    return F.least(F.col(a) - F.col(p), F.col(b) - F.col(q)) >= needed
+
+
 def bitmaps_allow(n: str, m: str, x: str, y: str, percent: int = PERCENT) -> F.Column:
     """Bitmap filter: differing bits against the most tokens that similar sets of these sizes may differ in."""
     differing = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
