@@ -1,7 +1,7 @@
 """Line dedup: an exact set-similarity join of lines by their words.
 
 A line's set holds its distinct words, A-Z in lower case. Words are ordered by rarity; two lines are compared if they share
-one of their first words (prefix filter), their sizes allow the similarity (length filter), what precedes and follows the
+one of their first words (prefix filter), their sizes allow the similarity (length filter), what follows the first
 shared word in both still allows it (positional filter), and so do their parity bitmaps. The Jaccard similarity of the
 whole sets decides. A line that is similar to an earlier line, by (id, number in the text), is removed; lines are judged
 on the input, not on what is left.
@@ -33,8 +33,9 @@ LEAST = 5  # words
 RARITY_BITS = 20
 FEW = 16
 BITMAP = 128  # bits
-FLUSH = 2_000_000  # postings a task holds
-PAIRS = 1_000_000  # pairs compared at once
+FLUSH = 1_000_000  # postings a task holds
+BLOCK = 200_000  # postings of a block, about
+PAIRS = 500_000  # pairs compared at once
 
 
 class Lines:
@@ -58,18 +59,24 @@ class Lines:
 RECORD = np.dtype([("token", "<u8"), ("key", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("p", "<i4")])
 
 
-def candidates(postings: np.ndarray, percent: int, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (later, earlier) of sets that share a token and pass the filters, and which later ones have more.
+def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, seekers: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(postings in order, later, earlier, more): rows of sets that pass the filters at a token, and which later ones have more.
 
-    Each later row takes its earliest ``few`` candidates of a token; None takes all.
+    Each later row takes its earliest ``few`` candidates of a token; None takes all. ``seekers`` is a bit set of the lines that
+    seek as later rows; the others are only found. A pair is met at the first token that
+    its sets share: nothing before it is common, so the rest of either set holds the whole intersection.
     """
     # copies of a set that other tasks sent: the earliest stays
-    postings = postings[np.lexsort((postings["line"], postings["doc"], postings["key"], postings["token"]))]
-    if len(postings):
-        fresh = (postings["token"][1:] != postings["token"][:-1]) | (postings["key"][1:] != postings["key"][:-1])
-        postings = postings[np.concatenate([[True], fresh])]
-    postings = postings[np.lexsort((postings["line"], postings["doc"], postings["token"]))]
-    token = postings["token"]
+    order = np.lexsort([postings[c] for c in ("line", "doc", "key", "token")])
+    same = np.ones(len(order), bool)
+    for c in ("token", "key"):
+        same[1:] &= postings[c][order[1:]] == postings[c][order[:-1]]
+    same[:1] = False
+    order = order[~same]
+    order = order[np.lexsort([postings[c][order] for c in ("line", "doc", "token")])]
+    postings = {c: v[order] for c, v in postings.items()}
+    token, n, x, y, doc, line = (postings[c] for c in ("token", "n", "x", "y", "doc", "line"))
+    left = n - postings["p"]
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     length = np.diff(np.concatenate([starts, [len(token)]]))
     start = np.repeat(starts, length)
@@ -77,7 +84,10 @@ def candidates(postings: np.ndarray, percent: int, few: int | None) -> tuple[np.
     found = np.zeros(len(token), np.int64)
     later, earlier = [], []
     at, step = 0, 64
-    active = np.flatnonzero(rank > 0)
+    seeks = rank > 0
+    if seekers is not None:
+        seeks &= bits_hold(seekers, _line_key(doc, line))
+    active = np.flatnonzero(seeks)
     while len(active):
         width = np.minimum(rank[active] - at, step)
         ends = np.cumsum(width)
@@ -86,15 +96,15 @@ def candidates(postings: np.ndarray, percent: int, few: int | None) -> tuple[np.
             base = ends[cut - 1] if cut else 0
             to = max(cut + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
             rows, w = active[cut:to], width[cut:to]
-            a = np.repeat(rows, w)
-            b = start[a] + at + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
-            r, s = postings[a], postings[b]
-            both = r["n"] + s["n"]
-            least = -(-both * percent // (100 + percent))
-            good = np.minimum(r["n"], s["n"]) * 100 >= np.maximum(r["n"], s["n"]) * percent
-            good &= np.minimum(r["p"], s["p"]) + 1 + np.minimum(r["n"] - r["p"], s["n"] - s["p"]) - 1 >= least
-            good &= np.bitwise_count(r["x"] ^ s["x"]).astype(np.int32) + np.bitwise_count(r["y"] ^ s["y"]) <= both - 2 * least
-            good &= (r["doc"] != s["doc"]) | (r["line"] != s["line"])
+            b = np.arange(int(w.sum())) + np.repeat(start[rows] + at - np.cumsum(w) + w, w)
+            # the intersection must reach this, and both sets must still have as much
+            both = np.repeat(n[rows], w) + n[b]
+            needed = -(-both * percent // (100 + percent))
+            good = np.flatnonzero(np.minimum(np.repeat(left[rows], w), left[b]) >= needed)
+            a, b, spare = np.repeat(rows, w)[good], b[good], (both - 2 * needed)[good]
+            good = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+            good &= np.bitwise_count(x[a] ^ x[b]).astype(np.int32) + np.bitwise_count(y[a] ^ y[b]) <= spare
+            good &= (doc[a] != doc[b]) | (line[a] != line[b])
             a, b = a[good], b[good]
             if few is not None and len(a):
                 fresh = np.concatenate([[True], a[1:] != a[:-1]])
@@ -110,12 +120,15 @@ def candidates(postings: np.ndarray, percent: int, few: int | None) -> tuple[np.
     a = np.concatenate(later) if later else np.zeros(0, np.int64)
     b = np.concatenate(earlier) if earlier else np.zeros(0, np.int64)
     more = found[a] >= few if few is not None else np.zeros(len(a), bool)
-    return postings[a], postings[b], more
+    return postings, a, b, more
 
 
-def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray, few: int | None = FEW, seekers: bytes | None = None) -> DataFrame:
-    """(a struct, b struct, more) of lines by (doc_id, line); a is later. ``seekers`` bounds a to a bit set of lines."""
-    spark, n = own.sparkSession, partitions(own)
+def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray, postings: int, few: int | None = FEW, seekers: bytes | None = None) -> DataFrame:
+    """(a struct, b struct, more) of lines by (doc_id, line); a is later. ``seekers`` bounds a to a bit set of lines.
+
+    ``postings``, the words in all prefixes, gives the number of blocks, so that a block's size does not grow with the input.
+    """
+    spark, n = own.sparkSession, max(partitions(own), postings // BLOCK + 1)
     shared = spark.sparkContext.broadcast((rarity, seekers))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,27 +172,35 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
         if held:
             yield out()
 
-    def meet(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for b in blocks:
-            for raw in b.column(1).to_pylist():
-                rows, at = np.zeros(len(raw) // RECORD.itemsize, RECORD), 0
-                for name in RECORD.names:
-                    kind = RECORD[name]
-                    rows[name] = np.frombuffer(raw, kind, len(rows), at)
-                    at += kind.itemsize * len(rows)
-                held.append(rows)
-        if not held:
-            return
-        a, b, more = candidates(np.concatenate(held), percent, few)
-        if shared.value[1] is not None:
-            keep = bits_hold(np.frombuffer(shared.value[1], np.uint8), _line_key(a["doc"], a["line"]))
-            a, b, more = a[keep], b[keep], more[keep]
-        for at in range(0, max(len(a), 1), 100_000):
-            cut = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (a["doc"][cut], a["line"][cut], b["doc"][cut], b["line"][cut], more[cut])], ["ad", "al", "bd", "bl", "more"])
-
-    dealt = map_arrow(own, send, "block int, postings binary").repartition(n, "block")
+    def answer(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        columns: dict[str, list[np.ndarray]] = {c: [] for c in RECORD.names}
+        for raw in held:
+            rows, at = len(raw) // RECORD.itemsize, 0
+            for name in RECORD.names:
+                columns[name].append(np.frombuffer(raw, RECORD[name], rows, at))
+                at += RECORD[name].itemsize * rows
+        bits = None if shared.value[1] is None else np.frombuffer(shared.value[1], np.uint8)
+        rows, a, b, more = candidates({c: np.concatenate(v) for c, v in columns.items()}, percent, few, bits)
+        for at in range(0, len(a), 100_000):
+            x, y = a[at : at + 100_000], b[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows["doc"][x], rows["line"][x], rows["doc"][y], rows["line"][y], more[at : at + 100_000])], ["ad", "al", "bd", "bl", "more"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sorted by block: one block is held at a time
+        held: list[bytes] = []
+        now = None
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != now and held:
+                    yield from answer(held)
+                    held = []
+                now = block
+                held.append(raw.as_py())
+        if held:
+            yield from answer(held)
+
+    dealt = map_arrow(own, send, "block int, postings binary").repartition(partitions(own), "block").sortWithinPartitions("block")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     found = dealt.mapInArrow(meet, "ad long, al int, bd long, bl int, more boolean")
     node = lambda d, x: F.struct(F.col(d).alias("doc_id"), F.col(x).alias("line"))
     return found.groupBy("ad", "al", "bd", "bl").agg(F.max("more").alias("more")).select(node("ad", "al").alias("a"), node("bd", "bl").alias("b"), "more")
@@ -199,9 +220,10 @@ def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PE
             found = Lines(b.column(2), least)
             sets = setjoin.OrderedSets(found.owner, found.token, found.n, None)
             take = pa.array(found.doc)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(found.line), *(pa.array(x.view(np.int64)) for x in sets.keys)], ["doc_id", "thash", "line", "one", "two"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(found.line), *(pa.array(x.view(np.int64)) for x in sets.keys), pa.array(sets.size)], ["doc_id", "thash", "line", "one", "two", "n"])
 
-    every = settle(map_arrow(own, keys, "doc_id long, thash long, line int, one long, two long"), "line-keys")
+    every = settle(map_arrow(own, keys, "doc_id long, thash long, line int, one long, two long, n long"), "line-keys")
+    postings = every.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
 
     def matched(pairs: DataFrame) -> DataFrame:
         """(doc_id, line) of the pairs' later lines that are similar to the earlier one."""
@@ -225,13 +247,13 @@ def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PE
         similar = setjoin.verified(pairs, settle(texts, "line-texts"), _line_sets, percent)
         return similar.select("a.*").distinct()
 
-    pairs = settle(candidate_pairs(own, least, percent, rarity, few), "line-pairs")
+    pairs = settle(candidate_pairs(own, least, percent, rarity, postings, few), "line-pairs")
     hits = settle(matched(pairs), "line-matched")
     rest = settle(pairs.where("more").select("a.*").distinct().join(hits, ["doc_id", "line"], "left_anti"), "line-rest")
     if rest.limit(1).count():
         filled = line_bits(rest)
         wanted = rest.select(F.struct("doc_id", "line").alias("a"))
-        others = candidate_pairs(own, least, percent, rarity, None, filled).join(wanted, "a", "left_semi").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        others = candidate_pairs(own, least, percent, rarity, postings, None, filled).join(wanted, "a", "left_semi").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         hits = hits.unionByName(matched(settle(others, "line-pairs")))
 
     # Occurrences: every line that matched, and of equal sets all but the earliest.
