@@ -14,8 +14,10 @@ MAX_CALENDAR_ROWS = 500_000  # days x calendar codes that still travel to every
 NEIGHBOUR_DAYS = 40  # longest search for a neighbouring business day, and a whole month
 
 
-def calendar_dim(spark: SparkSession, holidays: DataFrame, start: date, end: date) -> DataFrame:
-    """One row per calendar code and day in [start, end].
+def calendar_dim(spark: SparkSession, holidays: DataFrame, start: date, end: date, contracts: DataFrame | None = None) -> DataFrame:
+    """One row per calendar code and day in [start, end]; codes come from the holidays and, if given, the contracts.
+
+    A code without holidays has its weekends only.
 
     Columns: calendar, day, iso_weekday, is_business_day, is_half_day, bd_ordinal, month_phase,
     next_bd, prev_bd, last_bd_of_month, is_last_bd_of_month. The dimension holds (days x codes) rows,
@@ -24,7 +26,10 @@ def calendar_dim(spark: SparkSession, holidays: DataFrame, start: date, end: dat
     # Margins around the range, so that neighbours and month phases at its ends are right.
     lo = start - timedelta(days=NEIGHBOUR_DAYS)
     hi = end + timedelta(days=NEIGHBOUR_DAYS)
-    codes = holidays.select("calendar").distinct()
+    codes = holidays.select("calendar")
+    if contracts is not None:
+        codes = codes.union(contracts.select("calendar").where("calendar is not null"))
+    codes = codes.distinct()
     days = codes.select("calendar", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("day"))
     h = holidays.groupBy("calendar", "day").agg(
         F.bool_and("is_half_day").alias("_half")

@@ -124,7 +124,7 @@ def last_resolution(resolved: DataFrame) -> DataFrame:
     return (
         resolved.filter(F.col("status") == "RESOLVED")
         .groupBy(*CASE)
-        .agg(F.max_by(F.struct("codes", "resolution"), "resolved_at").alias("l"))
+        .agg(F.max_by(F.struct("codes", "resolution"), F.struct("resolved_at", "codes", "resolution")).alias("l"))
         .select(*CASE, F.col("l.codes").alias("last_codes"), F.col("l.resolution").alias("last_resolution"))
     )
 
@@ -283,12 +283,18 @@ def scan_systemic(occ: DataFrame, minutes: int = fixed.SYSTEMIC_WINDOW_MIN) -> D
 
 
 def group_systemic(signal: DataFrame, incidents: DataFrame, occ: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(parent row, incidents with children linked).
+    """(parent row to open, incidents with children linked).
 
-    Open incidents of the missing deliveries that have no parent yet get one and lose one priority step.
+    Open incidents of the missing deliveries that have no parent yet get one and lose one priority step. The parent's id
+    follows from its fingerprint, so a later run on the result finds the day's parent and its children and changes nothing.
     """
     parent_key = F.concat(F.lit("systemic:"), F.date_format(F.from_utc_timestamp(now, fixed.DEFAULT_TIMEZONE), "yyyy-MM-dd"))
+    id_type = incidents.schema["incident_id"].dataType
+    parent_id = F.abs(F.xxhash64(parent_key)).cast(id_type)
+    # At most one row: what is open today under this id.
+    there = incidents.filter((F.col("incident_id") == parent_id) & (F.col("status") != "RESOLVED")).agg(F.count("*")).scalar()
     parent = signal.select(
+        parent_id.alias("incident_id"),
         parent_key.alias("fingerprint"),
         F.lit("SYSTEMIC").alias("kind"),
         F.lit("TIMELINESS").alias("category"),
@@ -311,10 +317,11 @@ def group_systemic(signal: DataFrame, incidents: DataFrame, occ: DataFrame, now:
     linked = joined.withColumn("linked", link).withColumns(
         {
             "priority": F.when(F.col("linked"), demote(F.col("priority"))).otherwise(F.col("priority")),
+            "parent_id": F.when(F.col("linked"), parent_id.cast(incidents.schema["parent_id"].dataType)).otherwise(F.col("parent_id")),
             "systemic_parent": F.when(F.col("linked"), F.col("systemic_parent")),
         }
     )
-    return parent, linked
+    return parent.filter(there == 0), linked
 
 
 # --- texts for people -----------------------------------------------------------------------------------

@@ -67,12 +67,8 @@ def infer_contracts(arrivals: DataFrame, cal: DataFrame, tz: str, start: date, e
         F.array(*[F.when(F.get("by_wd", F.lit(i - 1)) / F.greatest(F.col(f"t.w{i}"), F.lit(1)) >= WEEKDAY_COVERAGE, F.lit(i)) for i in range(1, 8)])
     )
     all_peaks = F.filter(F.sequence(F.lit(1), F.lit(31)), lambda d: F.get("by_dom", d - 1) >= MONTH_DAY_SHARE * F.col("t.months"))
-    # A peak up to 3 days after a kept one is the same delivery, shifted.
-    kept = F.aggregate(
-        all_peaks,
-        F.array().cast("array<int>"),
-        lambda acc, d: F.when((F.size(acc) == 0) | (d - F.element_at(acc, -1) > PEAK_SPREAD), F.concat(acc, F.array(d))).otherwise(acc),
-    )
+    # A peak up to 3 days after another is the same delivery, shifted; that other need not be kept itself.
+    kept = F.filter(all_peaks, lambda d: ~F.exists(all_peaks, lambda x: (d - x).between(1, PEAK_SPREAD)))
     p = p.withColumns({"bd_cov": bd_cov, "off_cov": off_cov, "wds": weekly, "peaks": kept})
     share = F.aggregate("wds", F.lit(0).cast("bigint"), lambda acc, w: acc + F.get("by_wd", w - 1)) / F.col("days")
     use_last = F.col("on_last") >= LAST_DAY_SHARE * F.col("t.months")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch import fixed
 from tidewatch.functions.quantiles import grouped_median
 from tidewatch.functions.scalar import local_date, local_minutes
+from tidewatch.operators.contracts import effective_contract
 from tidewatch.operators.evaluate import KEY
 
 STATUS_ORDER = ["MISSING", "AT_RISK", "LATE", "PENDING", "UNSCHEDULED", "RECEIVED"]
@@ -146,7 +147,8 @@ def institutions_health(
     )
     opened = incidents.filter(UNRESOLVED).filter("institution is not null").groupBy("institution").agg(F.count("*").alias("open_incidents"))
     last = loads.groupBy("institution").agg(F.max("received_at").alias("last_delivery_at"))
-    con = contracts.select("institution", F.col("version").alias("contract_version"), F.array_join(F.col("slots.label"), ", ").alias("cadence"))
+    in_force = effective_contract(institutions.select("institution", F.lit(today).alias("on")), contracts)
+    con = in_force.select("institution", F.col("version").alias("contract_version"), F.array_join(F.col("slots.label"), ", ").alias("cadence"))
     out = institutions
     for part in (stats, opened, last, con):
         out = out.join(part, "institution", "left")

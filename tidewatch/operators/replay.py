@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +26,21 @@ def history_depth(contracts: DataFrame) -> int:
     return max(int(top or 0), fixed.HISTORY_DAYS)
 
 
+def warm_up(loads: DataFrame, start: date, depth: int) -> date:
+    """First day whose deliveries a judgement on ``start`` may look at: one scalar of the loads."""
+    earliest = loads.agg(F.to_date(F.min("received_at"))).first()[0]
+    return min(start, max(earliest or start, start - timedelta(days=depth) - MATCH_PAD))
+
+
 def replay_occurrences(
     loads: DataFrame, contracts: DataFrame, cal: DataFrame, first_day: date, end: date, now: datetime, use_hints: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, assigned loads) before judgement. Loads after ``now`` are ignored.
+    """(occurrences, assigned loads) before judgement. Loads after ``now``, or too late for any delivery up to ``end``, are ignored.
 
     ``cal`` must cover first_day - 15 days to end + 15 days.
     """
-    arrived = loads.filter(F.col("received_at") <= F.lit(now))
+    last = datetime.combine(end + MATCH_PAD + timedelta(days=2), time.min, UTC)
+    arrived = loads.filter((F.col("received_at") <= F.lit(now)) & (F.col("received_at") <= F.lit(last)))
     if not use_hints and "slot_hint" in arrived.columns:
         arrived = arrived.drop("slot_hint")
     validity = contract_validity(contracts)
@@ -56,9 +63,15 @@ def replay(
     engine: str = "champion",
     first_day: date | None = None,
 ) -> DataFrame:
-    """Decisions with business_date in [start, end]; earlier loads from ``first_day`` on only warm up history."""
-    occ, _ = replay_occurrences(loads, contracts, cal, first_day or start, end, now, use_hints)
-    out = evaluate(settle(occ, "occurrences"), contracts, F.lit(now), labels, engine, history_depth(contracts))
+    """Decisions with business_date in [start, end]; earlier loads from ``first_day`` on only warm up history.
+
+    Without ``first_day`` the warm-up begins with the earliest load, but not before the deepest lookback needs it.
+    """
+    depth = history_depth(contracts)
+    if first_day is None:
+        first_day = warm_up(loads, start, depth)
+    occ, _ = replay_occurrences(loads, contracts, cal, first_day, end, now, use_hints)
+    out = evaluate(settle(occ, "occurrences"), contracts, F.lit(now), labels, engine, depth)
     return out.filter(F.col("business_date").between(F.lit(start), F.lit(end)))
 
 

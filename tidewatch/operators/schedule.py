@@ -22,7 +22,7 @@ def schedule_range(start: date, end: date) -> tuple[date, date]:
 
 
 def nominal_dates(contracts: DataFrame, cal: DataFrame, start: date, end: date) -> DataFrame:
-    """One row per slot and nominal date, with the calendar's columns for that date.
+    """One row per slot and nominal date, with the calendar's columns for that date; a day the calendar lacks is an error.
 
     Each slot's days are generated in place (``explode(sequence)``) and meet the calendar on
     (calendar, day); no cross join is involved.
@@ -43,8 +43,10 @@ def nominal_dates(contracts: DataFrame, cal: DataFrame, start: date, end: date)
         .when(s["cadence"] == "WEEKLY", F.array_contains(s["weekdays"], F.col("iso_weekday")))
         .otherwise(in_month_days | on_last)
     )
+    gap = F.concat(F.lit("the calendar does not cover "), F.coalesce("calendar", F.lit("null")), F.lit(" on "), F.col("day").cast("string"))
+    keep = F.when(F.col("is_business_day").isNull(), F.raise_error(gap).cast("boolean")).otherwise(keep)
     return (
-        days.join(dim, ["calendar", "day"])
+        days.join(dim, ["calendar", "day"], "left")
         .filter(keep)
         # Order in which collapsing nominals win: by month, month days before the last business day.
         .withColumn("gen_order", F.struct(F.trunc("day", "month").alias("m"), (~in_month_days).cast("int").alias("l"), F.col("day").alias("d")))

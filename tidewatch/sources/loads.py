@@ -89,7 +89,7 @@ def new_decisions(evaluated: DataFrame, previous: DataFrame, trigger: str) -> Da
     ``evaluated`` and ``previous`` carry KEY, status, findings_json, metrics_json, evaluated_at.
     """
     body = ["status", "findings_json", "metrics_json"]
-    last = previous.groupBy(*KEY).agg(F.max_by(F.struct(*body), "evaluated_at").alias("last"))
+    last = previous.groupBy(*KEY).agg(F.max_by(F.struct(*body), F.struct("evaluated_at", *body)).alias("last"))
     out = evaluated.withColumn("trigger", F.lit(trigger))
     if trigger != "DEADLINE_SWEEP":
         return out
@@ -102,12 +102,14 @@ def write_decisions(decisions: DataFrame, path: str) -> None:
 
 
 def upsert_occurrences(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert-if-absent, then update: a new row replaces the stored one column by column where not null."""
+    """Insert-if-absent, then update: a new row sets all columns it has, so it can also clear a value."""
     values = [c for c in old.columns if c not in KEY]
-    joined = old.alias("o").join(new.alias("n"), KEY, "full_outer")
-    return joined.select(
-        *KEY, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in new.columns else F.col(f"o.{c}") for c in values]
-    )
+    joined = old.alias("o").join(new.withColumn("__new", F.lit(True)).alias("n"), KEY, "full_outer")
+
+    def value(c: str) -> Column:
+        return F.when(F.col("n.__new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in new.columns else F.col(f"o.{c}")
+
+    return joined.select(*KEY, *[value(c).alias(c) for c in values])
 
 
 def overwrite_days(df: DataFrame, path: str) -> None:
@@ -118,10 +120,12 @@ def overwrite_days(df: DataFrame, path: str) -> None:
 def upsert_shadow(stored: DataFrame, new: DataFrame) -> DataFrame:
     """The latest result per occurrence and challenger."""
     cols = [c for c in stored.columns if c not in (*KEY, "challenger")]
-    both = stored.unionByName(new.select(*stored.columns))
+    # of equal times a new result wins over the stored one
+    both = stored.withColumn("__new", F.lit(0)).unionByName(new.select(*stored.columns).withColumn("__new", F.lit(1)))
+    rest = [c for c in cols if c != "evaluated_at"]
     return (
         both.groupBy(*KEY, "challenger")
-        .agg(F.max_by(F.struct(*cols), "evaluated_at").alias("r"))
+        .agg(F.max_by(F.struct(*cols), F.struct("evaluated_at", "__new", *rest)).alias("r"))
         .select(*KEY, "challenger", "r.*")
     )
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _joined(*values: Column) -> Column:
+    """One text per tuple of values: separators inside values are escaped, and null differs from every text."""
+    escaped = [F.regexp_replace(v.cast("string"), r"([\\\\|])", r"\\\\$1") for v in values]
+    return F.concat_ws("|", *[F.coalesce(e, F.lit("\\N")) for e in escaped])
+
+
 def summarize_records(
     records: DataFrame,
     keys: list[str],
@@ -21,10 +27,10 @@ def summarize_records(
     distinct record keys are counted on the smaller rows.
     """
     amt = F.col(amount).cast("decimal(20,2)")
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in [customer, *record_key]], amt.cast("string"))
+    text = _joined(*[F.col(c) for c in [customer, *record_key]], amt)
     digest = F.md5((F.col(row_hash) if row_hash else text).cast("binary"))
     half = lambda start: F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)")
-    rec = F.concat_ws("|", *[F.col(c).cast("string") for c in record_key])
+    rec = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(record_key)])
     pre = (
         records.withColumns({"_amt": amt, "_rec": rec, "_h1": half(1), "_h2": half(17)})
         .groupBy(*keys, F.col(customer).alias("_cust"), "_rec")
