@@ -57,8 +57,7 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
         return shingles(b.column(2), k)
 
     rarity = counted(own, lambda b: tokens(b)[1], RARITY_BITS)
-    filled = setjoin.repeated_tokens(own, tokens, rarity, percent)
-    every = settle(setjoin.profiles(own, tokens, rarity, filled, "doc_id long, thash long", lambda b: [b.column(0), b.column(1)], percent), "ngram-profiles")
+    every = settle(setjoin.profiles(own, tokens, rarity, "doc_id long, thash long", lambda b: [b.column(0), b.column(1)], percent), "ngram-profiles")
 
     known = every.where("doc_id is not null and n > 0")
     sets = settle(known.groupBy("one", "two").agg(F.min(F.struct("doc_id", "thash")).alias("first"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.first("bitmap").alias("bitmap")).select("one", "two", "n", "gid", "bitmap", F.col("first.doc_id").alias("node"), F.col("first.thash").alias("thash")), "ngram-sets")
@@ -66,9 +65,11 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
 
     # Groups and their lists: one row for each token that two groups or more share.
     groups = sets.select("gid", "node", "n").distinct()
-    lists = known.select("gid", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("gid", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place")).distinct()
-    shared = lists.groupBy("token").agg(F.min("gid").alias("x"), F.max("gid").alias("y")).where("x <> y").select("token")
-    lists = settle(lists.join(shared, "token").join(groups.groupBy("gid").agg(F.min("node").alias("star")), "gid"), "ngram-lists")
+    stars = groups.groupBy("gid", "n").agg(F.min("node").alias("star"))
+    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    postings = stars.agg(F.sum(size)).first()[0] or 0
+    lists = setjoin.shared_lists(own.where("doc_id is not null"), tokens, rarity, postings, percent)
+    lists = settle(lists.join(stars.select("gid", "star"), "gid"), "ngram-lists")
 
     crowded = groups.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1").select("gid")
 
@@ -106,22 +107,26 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
     def with_component(nodes: DataFrame) -> DataFrame:
         return nodes.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
 
-    def open_lists() -> DataFrame:
-        """Lists, by member, that still hold two components; a crowded group is a list of its own."""
-        members = lists.select("token", "gid", "place").join(groups, "gid").select("token", "node", "n", "place")
-        own_group = groups.join(crowded, "gid").select(F.col("gid").alias("token"), "node", "n", F.lit(0).alias("place"))
-        rows = with_component(members.unionByName(own_group))
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Lists, by member, that hold two components; links only join components, so no other list opens again."""
         two = rows.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
         return settle(rows.join(two, "token"), "ngram-open")
 
+    def all_lists() -> DataFrame:
+        """Every list by member; a crowded group is a list of its own."""
+        members = with_component(groups)
+        own_group = members.join(crowded, "gid").select(F.col("gid").alias("token"), "node", "n", F.lit(0).alias("place"), "c")
+        return lists.select("token", "gid", "place").join(members, "gid").select("token", "node", "n", "place", "c").unionByName(own_group)
+
     def across(rows: DataFrame, others: DataFrame) -> DataFrame:
         met = rows.join(others.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("c").alias("d")), "token").where("c <> d")
         met = met.where(setjoin.large_enough("n", "m", percent)).where(setjoin.first_shared("n", "m", "place", "spot", percent))
         return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
-    for stars in (["node"], [F.xxhash64("node")], None):
-        rest = open_lists()
-        pairs = across(rest, setjoin.stars(rest, stars, FEW) if stars else rest.where("1 = 1"))
+    rest = None
+    for order in (["node"], [F.xxhash64("node")], None):
+        rest = still_open(all_lists() if rest is None else with_component(rest.drop("c")))
+        pairs = across(rest, setjoin.stars(rest, order, FEW) if order else rest.where("1 = 1"))
         pairs = settle(possible(pairs.join(tried, ["a", "b"], "left_anti")), "ngram-pairs")
         if pairs.limit(1).count():
             links = links.unionByName(check(pairs))

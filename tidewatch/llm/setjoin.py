@@ -14,11 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BLOOM_PARTS, bits_hold, bits_set, either_bits, map_arrow, mix64, partitions
+from tidewatch.llm.common import map_arrow, mix64, partitions
 from tidewatch.session import settle
 
 PERCENT = 75
-FILTER_BITS = 1 << 23
 PROFILE_BITS = 512  # of a set's parity bitmap
 #: Takes a batch and gives the owner (ascending, from 0) and the hash of each token, and the number of owners.
 Tokens = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, int]]
@@ -65,80 +64,132 @@ def bitmaps(sets: OrderedSets, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1)
 
 
-def repeated_tokens(own: DataFrame, tokens: Tokens, rarity: np.ndarray, percent: int = PERCENT) -> bytes:
-    """A bit set of the tokens that stand in the prefixes of two sets or more (and few others).
+POSTING = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<i4"), ("place", "<i4")])
+FLUSH = 1_000_000  # postings a task holds before it sends them
+BLOCK = 200_000  # postings of a block, about
+MANY = 16  # postings of a token at which a task needs no other to know that the token is shared
 
-    Each task sends its distinct prefix tokens once, in blocks by their hash, so copies are combined before the shuffle
-    and no block grows with a frequent token.
-    """
+
+def profiles(own: DataFrame, tokens: Tokens, rarity: np.ndarray, head: str, named: Callable[[pa.RecordBatch], list[pa.Array]], percent: int = PERCENT) -> DataFrame:
+    """One row per set: the columns ``head`` given by ``named``, n, keys, group and bitmap."""
     shared = own.sparkSession.sparkContext.broadcast(rarity)
-    n = partitions(own)
+    names = [x.split()[0] for x in head.split(", ")] + ["n", "one", "two", "gid", "bitmap"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = OrderedSets(*tokens(b), shared.value, percent)
+            signed = [pa.array(x.view(np.int64)) for x in (*sets.keys, sets.group)]
+            maps = pa.array(list(bitmaps(sets, PROFILE_BITS).view("<i8")), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*named(b), pa.array(sets.size), *signed, maps], names)
+
+    return map_arrow(own, run, f"{head}, n long, one long, two long, gid long, bitmap array<long>")
+
+
+def shared_lists(own: DataFrame, tokens: Tokens, rarity: np.ndarray, postings: int, percent: int = PERCENT) -> DataFrame:
+    """(token, gid, n, place): the prefix tokens of two groups or more, a row for each group; rows may repeat.
+
+    Tasks send postings in blocks by token, a group once a task, and a block keeps the tokens of two groups. Of a token
+    that a task holds ``MANY`` times, two postings go to its block, as a sign to the others; the rest is known to be
+    shared and is dealt by group, so no block grows with a frequent token. ``postings`` gives the number of blocks.
+    """
+    spark = own.sparkSession
+    shared = spark.sparkContext.broadcast(rarity)
+    parts = partitions(own)
+    blocks = max(parts, postings // BLOCK + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         seen: set[int] = set()
-        held = 0
+        count = 0
 
         def out() -> pa.RecordBatch:
-            token, times = np.unique(np.concatenate(known), return_counts=True)
-            block = (token >> np.uint64(40)).astype(np.int64) % n
-            order = np.argsort(block, kind="stable")
-            cuts = np.searchsorted(block[order], np.arange(n + 1))
-            parts = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([np.sort(np.concatenate([token[i], token[i][times[i] > 1]])).astype("<u8").tobytes() for _, i in parts], pa.binary())], ["block", "tokens"])
+            rows = np.concatenate(held)
+            rows = rows[np.argsort(rows["token"], kind="stable")]
+            token = rows["token"]
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            length = np.diff(np.concatenate([starts, [len(rows)]]))
+            rank = np.arange(len(rows)) - np.repeat(starts, length)
+            sure = (np.repeat(length, length) >= MANY) & (rank >= 2)
+            by = np.where(sure, mix64(rows["gid"].view(np.uint64)), token >> np.uint64(20))
+            place = 2 * (by % np.uint64(blocks)).astype(np.int64) + sure
+            order = np.argsort(place, kind="stable")
+            cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
+            ends = np.concatenate([cuts[1:], [len(rows)]])
+            # column by column, which compresses better
+            packed = [b"".join(np.ascontiguousarray(rows[name][order[x:y]]).tobytes() for name in POSTING.names) for x, y in zip(cuts, ends, strict=True)]
+            first = place[order[cuts]]
+            return pa.RecordBatch.from_arrays([pa.array(first // 2), pa.array(first % 2 == 1), pa.array(packed, pa.binary())], ["block", "sure", "postings"])
 
         for b in batches:
             sets = OrderedSets(*tokens(b), shared.value, percent)
-            new = np.array([k not in seen for k in sets.keys[0].tolist()], bool)  # copies in a task count once
-            seen.update(sets.keys[0].tolist())
+            group = sets.group.view(np.int64)
+            new = np.zeros(len(group), bool)
+            for i, g in enumerate(group.tolist()):
+                if g not in seen:
+                    seen.add(g)
+                    new[i] = True
             # a count of one means that no other set holds the token
-            part = sets.token[sets.in_prefix & (sets.count > 1) & new[sets.owner]] if len(new) else sets.token
-            known.append(part)
-            held += len(part)
-            if held > 4_000_000:
+            i = np.flatnonzero(sets.in_prefix & (sets.count > 1) & new[sets.owner])
+            rows = np.zeros(len(i), POSTING)
+            for name, value in (("token", sets.token[i]), ("gid", group[sets.owner[i]]), ("n", sets.size[sets.owner[i]]), ("place", sets.place[i])):
+                rows[name] = value
+            held.append(rows)
+            count += len(i)
+            if count > FLUSH:
                 yield out()
-                known, held = [], 0
-        if known:
+                held, count = [], 0
+        if count:
             yield out()
 
-    def meet(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, "<u8") for b in blocks for x in b.column(1).to_pylist()]
-        every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-        bits = bits_set(np.unique(every[1:][every[1:] == every[:-1]]), FILTER_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOOM_PARTS), pa.int32()), pa.array([p.tobytes() for p in bits.reshape(BLOOM_PARTS, -1)], pa.binary())], ["part", "bits"])
-
-    blocks = map_arrow(own, send, "block int, tokens binary").repartition(n, "block")
-    return either_bits(blocks.mapInArrow(meet, "part int, bits binary"), FILTER_BITS).tobytes()
-
-
-def profiles(own: DataFrame, tokens: Tokens, rarity: np.ndarray, filled: bytes, head: str, named: Callable[[pa.RecordBatch], list[pa.Array]], percent: int = PERCENT) -> DataFrame:
-    """One row per set: the columns ``head`` given by ``named``, n, keys, group, and its repeated prefix tokens with their places."""
-    spark = own.sparkSession
-    shared = spark.sparkContext.broadcast((rarity, filled))
-    names = [x.split()[0] for x in head.split(", ")] + ["n", "one", "two", "gid", "bitmap", "tokens", "places"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, filled = shared.value
-        bits = np.frombuffer(filled, np.uint8)
-        for b in batches:
-            sets = OrderedSets(*tokens(b), rarity, percent)
-            keep = np.flatnonzero(sets.in_prefix)
-            keep = keep[bits_hold(bits, sets.token[keep])]
-            offsets = pa.array(np.searchsorted(sets.owner[keep], np.arange(len(sets.size) + 1)).astype(np.int32))
-            signed = [pa.array(x.view(np.int64)) for x in (*sets.keys, sets.group)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *named(b),
-                    pa.array(sets.size),
-                    *signed,
-                    pa.array(list(bitmaps(sets, PROFILE_BITS).view("<i8")), pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(offsets, pa.array(sets.token[keep].view(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(sets.place[keep].astype(np.int32))),
-                ],
-                names,
-            )
-
-    return map_arrow(own, run, f"{head}, n long, one long, two long, gid long, bitmap array<long>, tokens array<long>, places array<int>")
+    def unpacked(held: list[bytes]) -> np.ndarray:
+        whole = []
+        for raw in held:
+            rows, at = np.zeros(len(raw) // POSTING.itemsize, POSTING), 0
+            for name in POSTING.names:
+                rows[name] = np.frombuffer(raw, POSTING[name], len(rows), at)
+                at += POSTING[name].itemsize * len(rows)
+            whole.append(rows)
+        return np.concatenate(whole)
+
+    def rows_of(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(x), 100_000):
+            y = x[at : at + 100_000]
+            columns = [pa.array(np.ascontiguousarray(y[c])) for c in ("gid", "n", "place")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(y["token"]).view(np.int64)), *columns], ["token", "gid", "n", "place"])
+
+    def judged(held: list[bytes]) -> np.ndarray:
+        x = unpacked(held)
+        x = x[np.lexsort((x["gid"], x["token"]))]
+        token, gid = x["token"], x["gid"]
+        fresh = np.ones(len(x), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
+        x = x[fresh]
+        same = x["token"][1:] == x["token"][:-1]
+        two = np.zeros(len(x), bool)
+        two[1:] |= same
+        two[:-1] |= same
+        return x[two]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sorted by block: one block is held at a time
+        held: list[bytes] = []
+        now = None
+        for batch in batches:
+            for block, sure, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if sure:
+                    yield from rows_of(unpacked([raw.as_py()]))
+                    continue
+                if block != now and held:
+                    yield from rows_of(judged(held))
+                    held = []
+                now = block
+                held.append(raw.as_py())
+        if held:
+            yield from rows_of(judged(held))
+
+    dealt = map_arrow(own, send, "block long, sure boolean, postings binary").repartition(parts, "block").sortWithinPartitions("block")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    return dealt.mapInArrow(meet, "token long, gid long, n int, place int")
 
 
 def large_enough(a: str, b: str, percent: int = PERCENT) -> F.Column:
