@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from tidewatch.llm import bpe, line_dedup, ngram_join, packing, pii, simhash, substring, topk, toxicity, warc
+from tidewatch.llm import bpe, line_dedup, ngram_join, packing, pii, setjoin, simhash, substring, topk, toxicity, warc
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, seg string, node int, `__x` int, n int, tokens int"
@@ -67,6 +67,13 @@ def test_ngram_components(docs, none):
     assert ngram_join.join_components(none).count() == 0
 
 
+def test_ngram_lists_of_frequent_tokens(docs, monkeypatch):
+    """Tokens that a task holds often are dealt by group, in many blocks and flushes: the same components."""
+    for name, value in (("MANY", 3), ("FLUSH", 200), ("BLOCK", 50)):
+        monkeypatch.setattr(setjoin, name, value)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(docs).collect()} == brute.components(DOCS)
+
+
 @pytest.mark.parametrize("few", [16, 1])
 def test_lines(docs, none, few):
     got = {r.doc_id: sorted(r.lines) for r in line_dedup.removed_lines(docs, few=few).collect()}
