@@ -52,6 +52,21 @@ def test_monitor_equals_replay(spark, tr_calendar, tmp_path):
     assert want[("b", FIRST + timedelta(days=14))][0] == "MISSING"
 
 
+def test_older_file_after_newer_ones(spark, tr_calendar, tmp_path):
+    """A batch with only an older file is judged at the time already reached, and its decision is the latest."""
+    rows = [r for r in month() if r[1] == "a"]
+    old = rows[5]
+    c = contracts(spark, [contract("a")])
+    m = Monitor(spark, str(tmp_path / "out"), c, tr_calendar, spark.createDataFrame([("a", 1)], "institution STRING, tier INT"))
+    m.on_loads(loads(spark, [r for r in rows if r is not old]), 0)
+    key = F.col("business_date") == F.lit(old[3].date())
+    before = m.latest_decisions().filter(key).first()
+    m.on_loads(loads(spark, [old]), 1)
+    after = m.latest_decisions().filter(key).first()
+    assert before["status"] == "MISSING" and after["status"] == "RECEIVED"
+    assert after["judged_at"] == before["judged_at"]
+
+
 def test_ingest_once(spark, tmp_path):
     rows = [load(i, "a", utc(FIRST, 450 + i), 10) for i in range(5)]
     rows += [rows[0][:3] + (rows[0][3] + timedelta(minutes=5),) + rows[0][4:], load(9, "unknown", utc(FIRST, 450), 10)]

@@ -65,7 +65,13 @@ class Monitor:
         first = fresh.agg(F.min("received_at")).first()[0]
         if first is None:
             return
-        self.judge(stored.unionByName(fresh), fresh.select("institution").distinct(), first.date(), self.clock(batch), batch_id)
+        self.judge(stored.unionByName(fresh), fresh.select("institution").distinct(), first.date(), self.now(stored, batch, batch_id), batch_id)
+
+    def now(self, stored: DataFrame, batch: DataFrame, batch_id: int) -> datetime:
+        """The batch's time, but never before a stored file or decision: a batch of older files does not turn the clock back."""
+        decided = self.table("decisions", "judged_at TIMESTAMP").filter(F.col(BATCH) != batch_id).select("judged_at")
+        known = stored.select(F.col("received_at").alias("judged_at")).unionByName(decided)
+        return known.agg(F.greatest(F.max("judged_at"), F.lit(self.clock(batch)))).first()[0]
 
     def judge(self, loads: DataFrame, senders: DataFrame, since: date, now: datetime, batch_id: int) -> None:
         """Decisions of ``senders`` from a few days before ``since`` on, with their whole history behind them."""
