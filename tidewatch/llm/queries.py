@@ -70,12 +70,11 @@ FROM f
 
 @query
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
-    """Also within_radius: how many other fingerprints lie within the radius, for ids divisible by 50."""
+    """Also within_radius: how many other documents lie within the radius, exact copies included, for ids divisible by 50."""
     found = settle(simhash.compare_edited(table(spark, sf, "documents")), "op9")
     asked = found.where(F.col("doc_id") % 50 == 0)
-    near = simhash.within_radius(asked, found).where("distance > 0").groupBy("query").agg(F.count("*").alias("others"))
-    counted = asked.select("doc_id", F.col("fingerprint").alias("query")).join(near, "query", "left").select("doc_id", F.coalesce("others", F.lit(0)).alias("within_radius"))
-    return found.join(counted.dropDuplicates(["doc_id"]), "doc_id", "left")
+    counted = asked.join(simhash.others_within(asked, found), "fingerprint").select("doc_id", "fingerprint", F.col("others").alias("within_radius"))
+    return found.join(counted.distinct(), ["doc_id", "fingerprint"], "left").select(*found.columns, "within_radius")
 
 
 @query

@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import documents, map_arrow, mix64, partitions
+from tidewatch.llm.common import documents, key_filter, map_arrow, mix64, partitions
 from tidewatch.llm.words import BASE, Words
 from tidewatch.session import settle
 
 BITS = 128
-RADIUS = 3
+RADIUS = 14  # bits; near copies are texts of a cosine of about 0.97, which differ by 10 bits on average
 TERMS_AT_ONCE = 1 << 15
 
 
@@ -64,15 +64,24 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_arrow(documents(docs, id_col, text_col), run, "doc_id long, fingerprint string")
 
 
-def _tables(prints: DataFrame, radius: int) -> DataFrame:
-    """Each fingerprint once in every table; a table's key is two of radius + 2 blocks of its bits.
+def _blocks(radius: int) -> tuple[list[tuple[int, int]], int]:
+    """Blocks of hexadecimal digits (from, to), and the bits that fingerprints within the radius differ by in one block at least.
 
-    Fingerprints within the radius differ in at most ``radius`` blocks, so they agree on two.
+    Were it more than radius // blocks bits in every block, it would be more than the radius in all.
     """
-    cuts = [round(k * BITS / 4 / (radius + 2)) for k in range(radius + 3)]
-    block = [F.substring("fingerprint", cuts[k] + 1, cuts[k + 1] - cuts[k]) for k in range(radius + 2)]
-    keys = [F.struct(F.lit(n).alias("table"), F.concat_ws(":", block[i], block[j]).alias("key")) for n, (i, j) in enumerate(combinations(range(radius + 2), 2))]
-    return prints.withColumn("__k", F.explode(F.array(*keys))).select("fingerprint", "__k.table", "__k.key")
+    n = max(3, radius // 3 + 1)
+    cuts = [round(k * BITS / 4 / n) for k in range(n + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True)), radius // n
+
+
+def _value(col: str, block: tuple[int, int]) -> F.Column:
+    return F.conv(F.substring(col, block[0] + 1, block[1] - block[0]), 16, 10).cast("long")
+
+
+def _keys(prints: DataFrame, blocks: list[tuple[int, int]]) -> DataFrame:
+    """(fingerprint, block, value) of each distinct fingerprint and block."""
+    some = prints.select("fingerprint").where("fingerprint is not null").distinct()
+    return some.select("fingerprint", F.posexplode(F.array(*(_value("fingerprint", b) for b in blocks))).alias("block", "value"))
 
 
 def hamming(a: str, b: str) -> F.Column:
@@ -84,13 +93,31 @@ def hamming(a: str, b: str) -> F.Column:
 
 
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(query, fingerprint, distance): for each distinct fingerprint of ``queries`` all of ``prints`` within the radius."""
+    """(query, fingerprint, distance): for each distinct fingerprint of ``queries`` all of ``prints`` within the radius.
+
+    ``prints`` has one row a block; ``queries`` asks for every value that differs by up to two bits from its own.
+    """
     if radius < 1 or radius > 14:
         raise ValueError("the radius lies in 1..14")
-    asked = _tables(queries.select("fingerprint").where("fingerprint is not null").distinct(), radius).withColumnRenamed("fingerprint", "query")
-    there = _tables(prints.select("fingerprint").where("fingerprint is not null").distinct(), radius)
-    met = asked.join(there, ["table", "key"]).select("query", "fingerprint").distinct()
-    return met.withColumn("distance", hamming("query", "fingerprint")).where(F.col("distance") <= radius)
+    blocks, spare = _blocks(radius)
+    flips = [(n, sum(1 << k for k in bits)) for n, (a, b) in enumerate(blocks) for few in range(spare + 1) for bits in combinations(range(4 * (b - a)), few)]
+    masks = queries.sparkSession.createDataFrame(flips, "block int, mask long")
+    key = lambda value: (value * 8 + F.col("block")).alias("key")
+    there = _keys(prints, blocks).select("fingerprint", "block", key(F.col("value")))
+    # few bytes that become many rows: dealt to all tasks
+    asked = _keys(queries, blocks).repartition(partitions(queries), "fingerprint", "block").join(F.broadcast(masks), "block").select(F.col("fingerprint").alias("query"), key(F.col("value").bitwiseXOR(F.col("mask"))))
+    met = asked.where(key_filter(there, "key")(F.col("key"))).join(there, "key")
+    # a pair counts in the first block that it meets in
+    apart = [F.bit_count(_value("query", b).bitwiseXOR(_value("fingerprint", b))) for b in blocks]
+    first = F.coalesce(*(F.when(x <= spare, F.lit(n)) for n, x in enumerate(apart)))
+    return met.where((first == F.col("block")) & (hamming("query", "fingerprint") <= radius)).select("query", "fingerprint", hamming("query", "fingerprint").alias("distance"))
+
+
+def others_within(asked: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, others): rows of ``prints`` within the radius of each distinct fingerprint of ``asked``, all copies but the asking row itself."""
+    copies = prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"))
+    near = within_radius(asked, copies, radius).join(copies, "fingerprint")
+    return near.groupBy(F.col("query").alias("fingerprint")).agg((F.sum("n") - 1).alias("others"))
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
