@@ -19,7 +19,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that are similar to an earlier line of the corpus."""
-    return _counted(line_dedup.dedup_lines(docs))
+    return _counted(line_dedup.dedup_lines(docs, least=1))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ on the input, not on what is left.
 Of equal sets all but the earliest go, without a comparison. The others need one similar earlier set each, so at most
 ``FEW`` candidates of a shared word are verified first; lines that had more of them and no match meet all the rest.
 
-Lines end at line feeds. Lines of fewer than ``least`` words stay and match nothing, as do lines of rows with a null id;
+Lines end at line feeds. Lines of fewer than ``least`` words stay and match nothing, as do lines of rows with a null id; with
+``least`` 1, as the query and the pipeline have it, that holds for blank lines only. Sets so small that only equal ones are
+similar (of one or two words at 75 percent) have no postings: their copies are found by the set's key.
 null texts stay null. Lines with equal number of rows that repeat an id do not remove each other. Nothing else of a row
 changes, and an empty table gives no rows.
 """
@@ -38,6 +40,11 @@ BLOCK = 200_000  # postings of a block, about
 PAIRS = 500_000  # pairs compared at once
 
 
+def joins(n, percent: int):  # type: ignore[no-untyped-def]
+    """Whether a set of n words can be similar to another than an equal one: to itself with one word more."""
+    return n * 100 >= (n + 1) * percent
+
+
 class Lines:
     """The lines of a batch that have ``least`` words or more."""
 
@@ -158,7 +165,7 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
             sets = setjoin.OrderedSets(found.owner, found.token, found.n, shared.value[0], percent)
             doc = b.column(0).take(pa.array(found.doc)).to_numpy()
             # a count of one means that no other line holds the token
-            i = np.flatnonzero(sets.in_prefix & (sets.count > 1))
+            i = np.flatnonzero(sets.in_prefix & (sets.count > 1) & joins(sets.size, percent)[sets.owner])
             o = sets.owner[i]
             records = np.zeros(len(i), RECORD)
             maps = setjoin.bitmaps(sets, BITMAP).view("<u8")
@@ -223,7 +230,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PE
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(found.line), *(pa.array(x.view(np.int64)) for x in sets.keys), pa.array(sets.size)], ["doc_id", "thash", "line", "one", "two", "n"])
 
     every = settle(map_arrow(own, keys, "doc_id long, thash long, line int, one long, two long, n long"), "line-keys")
-    postings = every.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
+    postings = every.where(joins(F.col("n"), percent)).agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
 
     def matched(pairs: DataFrame) -> DataFrame:
         """(doc_id, line) of the pairs' later lines that are similar to the earlier one."""

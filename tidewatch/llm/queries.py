@@ -103,7 +103,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of every document, how many go as similar to earlier ones, and a digest of the rest."""
+    """Lines of every document, how many go as similar to earlier ones, and a digest of the rest. Lines of any length take part."""
     docs = table(spark, sf, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
-    kept = line_dedup.drop_lines(docs, line_dedup.removed_lines(docs), number_col="n_removed")
+    kept = line_dedup.drop_lines(docs, line_dedup.removed_lines(docs, least=1), number_col="n_removed")
     return kept.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), "n_removed", F.sha2("text", 256).alias("kept_sha256"))
