@@ -32,6 +32,8 @@ ENTRIES = 50_000  # lexicon entries considered, at most
 VOTERS = 96  # lexicon voters kept
 STEMS = (4, 5, 6)  # lengths of word beginnings
 WORD = regex.compile(r"\w+")
+ASCII = regex.compile(r"[\x00-\x7f]+")
+UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Pattern voters, on the whole text.
 PATTERNS = (regex.compile(r"(?:!\s*){3,}"), regex.compile(r"\byou(?:'re| are)?\s+(?:a|an|such|all)\b", regex.I), regex.compile(r"\b(?:shut up|go away|hate you)\b", regex.I))
 
@@ -42,6 +44,14 @@ def entries(text: str) -> set[str]:
     return words | {w[:n] + "*" for n in STEMS for w in words if len(w) > n}
 
 
+def capitals(text: str) -> tuple[int, int]:
+    """Upper-case characters and letters of the whole text."""
+    plain = text.encode("ascii", "ignore")
+    upper, lower = (len(plain) - len(plain.translate(None, x)) for x in (UPPER, LOWER))
+    rest = "" if len(plain) == len(text) else ASCII.sub("", text)
+    return upper + sum(map(str.isupper, rest)), upper + lower + sum(map(str.isalpha, rest))
+
+
 class Votes:
     """Votes of the lexicon voters and of the patterns."""
 
@@ -65,7 +75,8 @@ class Votes:
         base = len(self.place)
         for k, p in enumerate(PATTERNS):
             out[base + k] = p.search(text) is not None
-        out[-1] = len(text) >= 20 and sum(map(str.isupper, text[:2000])) > 0.6 * sum(map(str.isalpha, text[:2000]))
+        upper, letters = capitals(text)
+        out[-1] = len(text) >= 20 and upper > 0.6 * letters
         return out
 
 
