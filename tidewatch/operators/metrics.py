@@ -75,11 +75,12 @@ def seen_before(loads: DataFrame) -> DataFrame:
     )
 
 
-def repeated_content(assigned: DataFrame) -> DataFrame:
+def repeated_content(assigned: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Per occurrence with repeated content: the first hash that repeats and the load that repeats it.
 
     Content repeats when the sender delivered it earlier, or when two files of the occurrence carry it.
     Loads are first combined per (occurrence, hash), so the join with ``first_seen`` runs on few rows.
+    ``earlier`` is the ``first_seen`` of loads that are not in ``assigned``.
     """
     per_hash = (
         assigned.filter(F.col("slot_key").isNotNull())
@@ -90,7 +91,10 @@ def repeated_content(assigned: DataFrame) -> DataFrame:
             F.max(F.struct("received_at", "load_id")).alias("hi"),
         )
     )
-    flagged = per_hash.join(first_seen(assigned), ["institution", "content_hash"]).filter(
+    seen = first_seen(assigned)
+    if earlier is not None:
+        seen = seen.unionByName(earlier).groupBy("institution", "content_hash").agg(F.min("first_seen_at").alias("first_seen_at"))
+    flagged = per_hash.join(seen, ["institution", "content_hash"]).filter(
         (F.col("n") > 1) | (F.col("first_seen_at") < F.col("lo.received_at"))
     )
     hit = F.when(F.col("first_seen_at") < F.col("lo.received_at"), F.col("lo")).otherwise(F.col("hi"))
@@ -102,13 +106,13 @@ def repeated_content(assigned: DataFrame) -> DataFrame:
     )
 
 
-def build_occurrences(expected: DataFrame, assigned: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+def build_occurrences(expected: DataFrame, assigned: DataFrame, candidates: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Expected deliveries and deliveries nobody expected, with metrics where files came.
 
     ``candidates`` serves files matched just across a contract change: their delivery takes its window
-    from the version that matched it.
+    from the version that matched it. ``earlier`` holds contents of loads before these (``repeated_content``).
     """
-    got = aggregate_metrics(assigned).join(repeated_content(assigned), KEY, "left")
+    got = aggregate_metrics(assigned).join(repeated_content(assigned, earlier), KEY, "left")
     exp = expected.select(*KEY, "window_start_utc", "deadline_utc", "timezone", "slot_label", "month_phase", "iso_weekday", F.lit(True).alias("expected"))
     occ = exp.join(got, KEY, "full_outer")
     if candidates is not None:

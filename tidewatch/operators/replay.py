@@ -33,11 +33,11 @@ def warm_up(loads: DataFrame, start: date, depth: int) -> date:
 
 
 def replay_occurrences(
-    loads: DataFrame, contracts: DataFrame, cal: DataFrame, first_day: date, end: date, now: datetime, use_hints: bool = True
+    loads: DataFrame, contracts: DataFrame, cal: DataFrame, first_day: date, end: date, now: datetime, use_hints: bool = True, earlier: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(occurrences, assigned loads) before judgement. Loads after ``now``, or too late for any delivery up to ``end``, are ignored.
 
-    ``cal`` must cover first_day - 15 days to end + 15 days.
+    ``cal`` must cover first_day - 15 days to end + 15 days. ``earlier`` is the ``first_seen`` of loads left out of ``loads``.
     """
     last = datetime.combine(end + MATCH_PAD + timedelta(days=2), time.min, UTC)
     arrived = loads.filter((F.col("received_at") <= F.lit(now)) & (F.col("received_at") <= F.lit(last)))
@@ -48,7 +48,7 @@ def replay_occurrences(
     # Matching is the costly step and several branches read it.
     assigned = settle(assign_loads(arrived, cand, validity), "assigned")
     expected = expand_schedule(validity, cal, first_day, end)
-    return build_occurrences(expected, assigned, cand), assigned
+    return build_occurrences(expected, assigned, cand, earlier), assigned
 
 
 def replay(

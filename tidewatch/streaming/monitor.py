@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch import fixed, schemas
 from tidewatch.operators.evaluate import KEY, evaluate
 from tidewatch.operators.incidents import incident_candidates, select_notifications
+from tidewatch.operators.metrics import first_seen
 from tidewatch.operators.readmodels import open_occurrences
 from tidewatch.operators.replay import SPILL, history_depth, replay_occurrences
 from tidewatch.operators.schedule import expand_schedule
@@ -78,9 +79,12 @@ class Monitor:
         depth = history_depth(self.contracts)
         reach = since - timedelta(days=fixed.LATE_LOOKBACK_DAYS + 1)
         first_day = reach - timedelta(days=depth)
-        mine = loads.join(senders, "institution", "left_semi").filter(F.col("received_at") >= F.lit(datetime.combine(first_day, datetime.min.time())))
+        theirs = loads.join(senders, "institution", "left_semi")
+        recent = F.col("received_at") >= F.lit(datetime.combine(first_day, datetime.min.time()))
+        # The depth bounds the history points; content that was delivered before it is still known.
+        mine, earlier = theirs.filter(recent), first_seen(theirs.filter(~recent))
         contracts = self.contracts.join(senders, "institution", "left_semi")
-        occ, assigned = replay_occurrences(mine, contracts, self.cal, first_day, now.date() + timedelta(days=1), now)
+        occ, assigned = replay_occurrences(mine, contracts, self.cal, first_day, now.date() + timedelta(days=1), now, earlier=earlier)
         judged = evaluate(occ, contracts, F.lit(now), depth=depth).filter(F.col("business_date") >= F.lit(reach))
         judged = settle(judged, "judged")
         self.write(judged, "decisions", batch_id)
