@@ -1,4 +1,4 @@
-"""The eleven registered queries and the SQL of those that SQL can express."""
+"""The registered queries and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, line_dedup, ngram_join, packing, pii, simhash, substring, topk, toxicity, warc
+from tidewatch.llm import bpe, line_dedup, merkle, ngram_join, packing, pii, simhash, substring, topk, toxicity, warc
 from tidewatch.llm.common import same_session_zone, table
 from tidewatch.session import settle
 
@@ -107,3 +107,56 @@ def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
     kept = line_dedup.drop_lines(docs, line_dedup.removed_lines(docs, least=1), number_col="n_removed")
     return kept.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row's leaf and proof; rows whose crc32 of the id is divisible by 5 are checked with their text in lower case."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    made = merkle.manifest(table(spark, sf, "documents"), claims={"text": F.when(hit, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))})
+    root = F.lit(made.root).cast("string")
+    return made.audit().select(
+        F.col("id").cast("long").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", root.alias("root"), "proof_sha256", F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified")
+    )
+
+
+def _merkle_sql(levels: int = 5, top_levels: int = 2) -> str:
+    """Trees of up to 16 ** levels rows a source and 16 ** top_levels sources, level by level."""
+    field = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bit = "CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END"
+    byte = f"list_reduce(list_prepend(xor(acc, c), CAST([0,0,0,0,0,0,0,0] AS BIGINT[])), lambda a, i: {bit})"
+    codes = "list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda acc, c: {byte}), 4294967295)"
+    out = [
+        f"base AS (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf('t')} AS claim FROM (SELECT *, CASE WHEN {crc} % 5 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END AS t FROM documents))",
+        "n0 AS (SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, leaf AS d FROM base)",
+        "f0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, '' AS proof, claim AS folded FROM base)",
+    ]
+
+    def rise(k: int, nodes: str, keyed: str, group: str) -> list[str]:
+        """Level k of ``nodes`` to k + 1, and the proofs with it."""
+        same = f"n.g IS NOT DISTINCT FROM f.{group}"
+        return [
+            f"c{keyed}{k} AS (SELECT *, count(*) OVER (PARTITION BY g) AS m FROM {nodes}{k})",
+            f"{nodes}{k + 1} AS (SELECT g, p // 16 AS p, CASE WHEN any_value(m) > 1 THEN sha256(string_agg(d, '' ORDER BY p)) ELSE any_value(d) END AS d FROM c{keyed}{k} GROUP BY g, p // 16)",
+            f"r{keyed}{k} AS (SELECT g, p // 16 AS run, any_value(m) AS m, list(d ORDER BY p) AS ds FROM c{keyed}{k} GROUP BY g, p // 16)",
+            f"{keyed}{k + 1} AS (SELECT f.* REPLACE (f.p // 16 AS p, proof || CASE WHEN n.m > 1 THEN array_to_string(ds[:f.p % 16], '') || array_to_string(ds[f.p % 16 + 2:], '') ELSE '' END AS proof,"
+            f" CASE WHEN n.m > 1 THEN sha256(array_to_string(ds[:f.p % 16], '') || folded || array_to_string(ds[f.p % 16 + 2:], '')) ELSE folded END AS folded) FROM {keyed}{k} f JOIN r{keyed}{k} n ON {same} AND n.run = f.p // 16)",
+        ]
+
+    for k in range(levels):
+        out += rise(k, "n", "f", "source")
+    out += [
+        f"t0 AS (SELECT 0 AS g, g AS source, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p, d FROM n{levels})",
+        f"u0 AS (SELECT f.* REPLACE (t.p AS p), t.d AS subroot, 0 AS g0 FROM f{levels} f JOIN t0 t ON t.source IS NOT DISTINCT FROM f.source)",
+    ]
+    for k in range(top_levels):
+        out += rise(k, "t", "u", "g0")
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, t.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.d AS verified FROM u{top_levels} JOIN t{top_levels} t ON true"
+
+
+ORACLES["op11_merkle_manifest"] = _merkle_sql()
