@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, line_dedup, merkle, ngram_join, packing, pii, simhash, substring, topk, toxicity, warc
+from tidewatch.llm import bpe, codes, line_dedup, merkle, ngram_join, packing, pii, simhash, substring, topk, toxicity, warc
 from tidewatch.llm.common import same_session_zone, table
 from tidewatch.session import settle
 
@@ -160,3 +160,37 @@ def _merkle_sql(levels: int = 5, top_levels: int = 2) -> str:
 
 
 ORACLES["op11_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    made = codes.compress(table(spark, sf, "embeddings"))
+    return made.rows.select("vec_id", "code", "error", "label_error", F.lit(made.sha256()).alias("codebooks_sha256"))
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Every part against every entry in each round; 16 parts of equal length, 64 entries."""
+    out = [
+        """kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        "pieces AS (SELECT r, p, w[p * (len(w) // 16) + 1 : (p + 1) * (len(w) // 16)] AS w FROM kept, range(16) t(p))",
+        "b0 AS (SELECT p, r - 1 AS e, w FROM pieces WHERE r <= 64)",
+    ]
+    for k in range(rounds + 1):
+        out.append(
+            f"a{k} AS (SELECT r, p, min(struct_pack(d := d, e := e)) AS best FROM (SELECT x.r, x.p, b.e, "
+            f"CAST(list_sum(list_transform(range(1, len(x.w) + 1), lambda i: (x.w[i] - b.w[i]) * (x.w[i] - b.w[i]))) AS BIGINT) AS d FROM pieces x JOIN b{k} b USING (p)) GROUP BY r, p)"
+        )
+        if k < rounds:
+            sums = f"SELECT p, best.e AS e, i, CAST(sum(w[i]) AS BIGINT) AS s, count(*) AS n FROM pieces JOIN a{k} USING (r, p), range(1, 1025) t(i) WHERE i <= len(w) GROUP BY p, best.e, i"
+            # s // n cuts towards zero; the floor is one less where that is above the mean
+            out.append(f"m{k} AS (SELECT p, e, list(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END ORDER BY i) AS w FROM ({sums}) GROUP BY p, e)")
+            out.append(f"b{k + 1} AS (SELECT b.p, b.e, coalesce(m.w, b.w) AS w FROM b{k} b LEFT JOIN m{k} m USING (p, e))")
+    out += [
+        f"coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)",
+        f"sha AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})",
+    ]
+    return f"WITH {', '.join(out)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT codebooks_sha256 FROM sha) AS codebooks_sha256 FROM coded JOIN kept USING (r)"
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
