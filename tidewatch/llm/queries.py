@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, codes, line_dedup, merkle, ngram_join, packing, pii, simhash, substring, topk, toxicity, warc
+from tidewatch.llm import bpe, codes, line_dedup, main_text, merkle, ngram_join, packing, pii, simhash, substring, topk, toxicity, warc
 from tidewatch.llm.common import same_session_zone, table
 from tidewatch.session import settle
 
@@ -194,3 +194,9 @@ def _codes_sql(rounds: int = 2) -> str:
 
 
 ORACLES["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return main_text.extract(pages, main_text.train(pages))
