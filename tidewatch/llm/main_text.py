@@ -246,10 +246,20 @@ def fit(htmls: list[str], layouts: int = LAYOUTS, seed: int = 13) -> Model:
     return Model(odds, BinnedTrees(ROUNDS).fit(x, (~pure).astype(float)), BinnedTrees(ROUNDS).fit(x[pure], (state[pure] == ARTICLE).astype(float)))
 
 
-def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, layouts: int = LAYOUTS) -> Model:
+def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE, layouts: int = LAYOUTS) -> Model:
+    """A model from the sample: the pages with the smallest hashes of id and html.
+
+    Only pages below a bound that a few times the sample passes leave their tasks, however many tasks there are.
+    """
     html = F.col(html_col).cast("string")
-    some = pages.where((F.octet_length(html) <= LARGEST) & (F.length(F.trim(html)) > 0)).select(html.alias("html"))
-    return fit([r["html"] for r in some.orderBy(F.xxhash64("html"), "html").limit(sample).collect()], layouts)
+    some = pages.select(html.alias("html"), F.xxhash64(F.col(id_col), html).alias("hash")).where((F.octet_length("html") <= LARGEST) & (F.length(F.trim("html")) > 0))
+    share = min(1.0, 4 * sample / max(pages.count(), 1))
+    bound = int(-(1 << 63) + share * ((1 << 64) - 1))
+    for chosen in (some.where(F.col("hash") <= min(bound, (1 << 63) - 1)), some):
+        found = [r["html"] for r in chosen.orderBy("hash", "html").limit(sample).collect()]
+        if found:  # else nearly all pages are blank or too large
+            break
+    return fit(found, layouts)
 
 
 def extract_pages(htmls: list[str], model: Model) -> list[str]:
