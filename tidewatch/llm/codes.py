@@ -223,7 +223,10 @@ def compress(
     rows = vectors.where(plain(x)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), x.alias("x"))
     longest = rows.agg(F.max(F.size("x"))).first()[0] or 0
     width = max(1, -(-longest // parts))
-    first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).select("x").collect()
+    # First the ids alone, so that few vectors leave their tasks; null ids count where there are not enough others.
+    ids = [r["vec_id"] for r in rows.where(F.col("vec_id").isNotNull()).select("vec_id").orderBy("vec_id").limit(entries).collect()]
+    some = rows.where(F.col("vec_id") <= ids[-1]) if len(ids) == entries else rows
+    first = some.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).select("x").collect()
     start = [integers(np.array([*r["x"], *[0.0] * (parts * width - len(r["x"]))], np.float64), scale) for r in first]
     books = np.stack(start).reshape(len(start), parts, width).transpose(1, 0, 2) if start else np.zeros((parts, 0, width), np.int64)
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
