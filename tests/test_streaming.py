@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from build import contract, contracts, load, loads, utc
 from tidewatch.operators.replay import alert_codes, replay
-from tidewatch.streaming.deadlines import INPUT, stream_deadlines
 from tidewatch.streaming.ingest import read_load_stream, stream_ingest, stream_systemic, write_stream
 from tidewatch.streaming.monitor import Monitor, build_monitor_stream
 
@@ -77,31 +76,6 @@ def test_ingest_once(spark, tmp_path):
     assert sorted(r["external_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"x{i}" for i in range(5)]
 
 
-def test_deadline_timers(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    t0 = datetime(2026, 9, 16, 3)
-    due = [(n, "daily", date(2026, 9, 16), "due", t0, t0 + timedelta(hours=4)) for n in ("a", "b", "c")]
-    first = due + [("a", "daily", date(2026, 9, 16), "load", t0 + timedelta(hours=1), None)]
-    # Only another sender's rows arrive later; they move the watermark past the deadline.
-    second = [("z", "daily", date(2026, 9, 16), "load", t0 + timedelta(hours=9), None)]
-    third = [("c", "daily", date(2026, 9, 16), "load", t0 + timedelta(hours=10), None)]
-    for i, part in enumerate((first, second, third)):
-        spark.createDataFrame(part, INPUT).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    src = spark.readStream.schema(INPUT).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = (
-        stream_deadlines(src)
-        .writeStream.format("parquet")
-        .option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "cp"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    got = sorted((r["institution"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert ("a", "RECEIVED") in got and ("b", "MISSING") in got and ("a", "MISSING") not in got
-    assert ("c", "LATE") in got or ("c", "MISSING") in got
-
-
 def test_systemic_windows(spark, tmp_path):
     rows = [(f"i{i}", datetime(2026, 9, 16, 7, i), True, "MISSING" if i < 3 else "RECEIVED") for i in range(5)]
     rows += [("late", datetime(2026, 9, 17, 7), True, "RECEIVED")]

@@ -1,8 +1,10 @@
-"""Per-delivery timers: what is expected, what came, and what did not come by its deadline.
+"""Per-delivery timers: what is expected, what came, what is at risk and what did not come by its deadline.
 
-Each key is one delivery, so a sender's size does not matter: the state is one deadline and one arrival.
-Clock rows (for example from a ``rate`` source) are given to every open delivery's key by the caller's
-watermark only; with processing-time timers the deadline fires although no row arrives at all.
+Each key is one delivery, so a sender's size does not matter. A delivery waits on up to three timers: the instant from
+which it is later than usual (AT_RISK), the end of its local day where the deadline lies beyond it (PENDING again), and
+the deadline (MISSING). Its file withdraws them. On wall time (the default) they fire although no row arrives at all,
+as in a total outage, and no row is ever too late; on event time, for replays whose rows come in order, the watermark
+of all rows moves them, so a clock (kind 'clock') may be mixed in.
 """
 
 from __future__ import annotations
@@ -11,52 +13,130 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidewatch import fixed
+from tidewatch.functions.scalar import local_to_utc
+from tidewatch.streaming.cases import use_rocksdb
+
 KEYS = ["institution", "slot_key", "business_date"]
-INPUT = "institution STRING, slot_key STRING, business_date DATE, kind STRING, at TIMESTAMP, deadline TIMESTAMP"
+INPUT = "institution STRING, slot_key STRING, business_date DATE, kind STRING, at TIMESTAMP, deadline TIMESTAMP, risk TIMESTAMP, calm TIMESTAMP"
 OUTPUT = "institution STRING, slot_key STRING, business_date DATE, status STRING, at TIMESTAMP"
+TIMERS = ("risk", "calm", "deadline")
+
+
+def due_rows(expected: DataFrame) -> DataFrame:
+    """INPUT rows that open deliveries, at their window start. ``expected``: occurrences with their ``arrival`` profile (null: unknown).
+
+    A delivery is at risk from the first local minute after p97 and the margin on, on its local day, within its window.
+    """
+    day, tz = F.col("business_date"), F.col("timezone")
+    minute = (F.floor(F.col("arrival.p97") + fixed.AT_RISK_MARGIN_MIN) + 1).cast("int")
+    night = local_to_utc(F.date_add(day, 1), F.lit(0), tz)
+    risk = F.greatest(F.col("window_start_utc"), local_to_utc(day, minute, tz))
+    risk = F.when(minute.isNotNull() & (risk < night) & (risk < F.col("deadline_utc")), risk)
+    return expected.filter("expected").select(
+        *KEYS,
+        F.lit("due").alias("kind"),
+        F.col("window_start_utc").alias("at"),
+        F.col("deadline_utc").alias("deadline"),
+        risk.alias("risk"),
+        F.when(risk.isNotNull() & (night < F.col("deadline_utc")), night).alias("calm"),
+    )
+
+
+def load_rows(assigned: DataFrame) -> DataFrame:
+    """INPUT rows of files that have their delivery."""
+    none = F.lit(None).cast("timestamp")
+    return assigned.filter(F.col("slot_key").isNotNull() & (F.col("slot_key") != fixed.UNSCHEDULED_SLOT)).select(
+        *KEYS, F.lit("load").alias("kind"), F.col("received_at").alias("at"), none.alias("deadline"), none.alias("risk"), none.alias("calm")
+    )
+
+
+def millis(t: object) -> int | None:
+    return None if pd.isna(t) else int(pd.Timestamp(t).value // 1_000_000)
 
 
 class DeadlineTimer(StatefulProcessor):
-    """kind 'due' opens a delivery with its deadline, kind 'load' is its file."""
+    """kind 'due' opens a delivery with its instants, kind 'load' is a file, others only move the clock."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.deadline = handle.getValueState("deadline", "deadline_ms BIGINT")
-        self.arrived = handle.getValueState("arrived", "at_ms BIGINT")
+        self.state = handle.getValueState("delivery", "risk BIGINT, calm BIGINT, deadline BIGINT, arrived BIGINT, status STRING")
 
-    def _row(self, key: tuple, status: str, ms: int) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"institution": [key[0]], "slot_key": [key[1]], "business_date": [key[2]], "status": [status], "at": [pd.Timestamp(ms, unit="ms")]}
-        )
+    def _load(self) -> dict:
+        names = (*TIMERS, "arrived", "status")
+        return dict(zip(names, self.state.get() if self.state.exists() else [None] * len(names), strict=True))
+
+    def _rows(self, key: tuple, changes: list[tuple[str, int]]) -> pd.DataFrame:
+        n = len(changes)
+        at = pd.to_datetime([ms for _, ms in changes], unit="ms")
+        return pd.DataFrame({**{c: [v] * n for c, v in zip(KEYS, key, strict=True)}, "status": [s for s, _ in changes], "at": at})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        s = self._load()
+        before = dict(s)
+        changes: list[tuple[str, int]] = []
         for pdf in rows:
             due = pdf[pdf["kind"] == "due"]
-            if len(due) and not self.deadline.exists():
-                ms = int(due["deadline"].min().timestamp() * 1000)
-                self.deadline.update((ms,))
-                if not self.arrived.exists():
-                    self.handle.registerTimer(ms)
-            came = pdf[pdf["kind"] == "load"]
-            if len(came) and not self.arrived.exists():
-                at = int(came["at"].min().timestamp() * 1000)
-                self.arrived.update((at,))
-                late = self.deadline.exists() and at > self.deadline.get()[0]
-                yield self._row(key, "LATE" if late else "RECEIVED", at)
+            if len(due) and s["deadline"] is None:
+                first = due.iloc[0]
+                s.update({c: millis(first[c]) for c in TIMERS})
+                if s["arrived"] is None:
+                    changes.append(("PENDING", millis(first["at"])))
+            came = pdf.loc[pdf["kind"] == "load", "at"]
+            if len(came):
+                at = millis(came.min())
+                s["arrived"] = at if s["arrived"] is None else min(at, s["arrived"])
+        if s["arrived"] is not None and s["deadline"] is not None:
+            status = "LATE" if s["arrived"] > s["deadline"] else "RECEIVED"
+            if (status, s["arrived"]) != (before["status"], before["arrived"]):
+                # what the timers would have said before the file came, if its row came ahead of them
+                due_now = [t for t in self._due(s) if t[1] < s["arrived"]] if before["status"] in (None, "PENDING", "AT_RISK") else []
+                changes += [c for c in due_now if c[0] != before["status"]]
+                changes.append((status, s["arrived"]))
+        if changes:
+            s["status"] = changes[-1][0]
+        if s == before:
+            return
+        self.state.update(tuple(s.values()))
+        waits = s["deadline"] is not None and s["arrived"] is None
+        if waits and before["deadline"] is None:
+            for ms in {s[t] for t in TIMERS} - {None}:
+                self.handle.registerTimer(ms)
+        elif before["deadline"] is not None and before["arrived"] is None and s["arrived"] is not None:
+            for ms in {s[t] for t in TIMERS} - {None}:
+                self.handle.deleteTimer(ms)  # withdrawn; those that fired are gone already
+        if changes:
+            yield self._rows(key, changes)
+
+    @staticmethod
+    def _due(s: dict) -> list[tuple[str, int]]:
+        return [(status, s[t]) for t, status in (("risk", "AT_RISK"), ("calm", "PENDING"), ("deadline", "MISSING")) if s[t] is not None]
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.arrived.exists():
-            yield self._row(key, "MISSING", self.deadline.get()[0])
+        s, ms = self._load(), expiredTimerInfo.getExpiryTimeInMs()
+        now = [c for c in self._due(s) if c[1] == ms]
+        if s["arrived"] is None and now:
+            s["status"] = now[-1][0]
+            self.state.update(tuple(s.values()))
+            yield self._rows(key, now[-1:])
 
     def close(self) -> None:
         pass
 
 
-def stream_deadlines(events: DataFrame, time_mode: str = "EventTime", delay: str = "0 seconds") -> DataFrame:
-    """Status changes of deliveries. ``events`` has the INPUT columns; the state store must be RocksDB."""
+def stream_deadlines(events: DataFrame, time_mode: str = "ProcessingTime", delay: str = "0 seconds") -> DataFrame:
+    """Status changes of deliveries, each at its own instant. ``events`` has the INPUT columns."""
+    use_rocksdb(events.sparkSession)
     timed = events.withWatermark("at", delay) if time_mode == "EventTime" else events
-    return timed.groupBy(*KEYS).transformWithStateInPandas(
-        statefulProcessor=DeadlineTimer(), outputStructType=OUTPUT, outputMode="Append", timeMode=time_mode
-    )
+    return timed.groupBy(*KEYS).transformWithStateInPandas(statefulProcessor=DeadlineTimer(), outputStructType=OUTPUT, outputMode="Append", timeMode=time_mode)
+
+
+def statuses_at(changes: DataFrame, now: object) -> DataFrame:
+    """(KEYS, status) at an instant. The earliest file decides; until it came, the last timer does."""
+    came = F.col("status").isin("RECEIVED", "LATE")
+    us = F.unix_micros("at")
+    order = F.struct(came.cast("int").alias("came"), F.when(came, -us).otherwise(us).alias("us"))
+    return changes.filter(F.col("at") <= F.lit(now)).groupBy(*KEYS).agg(F.max_by("status", order).alias("status"))
