@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, date, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch import fixed
+from tidewatch.functions.scalar import local_minutes
 from tidewatch.operators.evaluate import KEY
+from tidewatch.plans import q_arrivals as A
 from tidewatch.plans import q_desk as Q
 from tidewatch.plans.registry import query
 from tidewatch.session import shared_dir
 from tidewatch.streaming import cases as C
+from tidewatch.streaming.deadlines import INPUT, OUTPUT, due_rows, load_rows, statuses_at, stream_deadlines
+from tidewatch.streaming.deadlines import KEYS as DELIVERY
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -37,3 +44,39 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         C.write_changelog(C.stream_reconcile(src, "EventTime", "60 days"), f"{at}/log", f"{at}/checkpoint").awaitTermination()
     log = C.read_changelog(spark, f"{at}/log")
     return log.select("institution", "business_date", "category", "kind", F.array_join("codes", ",").alias("codes"), F.array_join("previous_codes", ",").alias("previous_codes"), "severity", "priority", "resolution")
+
+
+#: Instants at which the statuses are read back: after an evening window's start, before and after a morning deadline, at the end.
+INSTANTS = [datetime(2024, 1, 10, 14, 20, tzinfo=UTC), datetime(2024, 1, 17, 4, 0, tzinfo=UTC), datetime(2024, 1, 17, 7, 20, tzinfo=UTC), datetime(2024, 2, 5, 12, tzinfo=UTC)]
+
+
+def usual(start: Column, sender: Column, tz: Column) -> Column:
+    """A usual arrival for senders, 1 to 10 minutes after the window's start."""
+    p97 = (local_minutes(start, tz) + 1 + F.substring(sender, 2, 9).cast("int") - fixed.AT_RISK_MARGIN_MIN).cast("double")
+    return F.struct((p97 - 20).alias("median"), (p97 - 5).alias("p90"), p97.alias("p97"), F.lit(30).alias("n"))
+
+
+@query(
+    "stream_deadlines",
+    f"WITH RECURSIVE {A.WALK}, files AS (SELECT institution, p.slot AS slot, p.bd AS bd, received_at FROM walk JOIN arr USING (institution, load_id)), "
+    f"ts AS (SELECT unnest([{', '.join(f'TIMESTAMP {str(t)[:19]!r}' for t in INSTANTS)}]) AS t), "
+    "due AS (SELECT *, ws + to_minutes(2 + CAST(substr(institution, 2) AS INTEGER)) AS risk FROM cands WHERE bd BETWEEN DATE '2024-01-01' AND DATE '2024-01-31') "
+    "SELECT c.institution, c.slot AS slot_key, c.bd AS business_date, epoch(t)::BIGINT AS at, CASE WHEN min(f.received_at) > dl THEN 'LATE' WHEN min(f.received_at) IS NOT NULL THEN 'RECEIVED' WHEN t >= dl THEN 'MISSING' WHEN t >= risk THEN 'AT_RISK' ELSE 'PENDING' END AS status "
+    "FROM due c CROSS JOIN ts LEFT JOIN files f ON f.institution = c.institution AND f.slot = c.slot AND f.bd = c.bd AND f.received_at <= t GROUP BY c.institution, c.slot, c.bd, ws, dl, risk, t HAVING ws <= t OR min(f.received_at) IS NOT NULL",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Statuses of deliveries at several instants, from timers and files."""
+    cand = A.candidates(spark, sf).filter(F.col("business_date").between(date(2024, 1, 1), date(2024, 1, 31)))
+    due = due_rows(cand.withColumns({"expected": F.lit(True), "arrival": usual(F.col("window_start_utc"), F.col("institution"), F.col("timezone"))}))
+    opened = due.select(*DELIVERY)
+    rows = due.unionByName(load_rows(A.assigned(spark, sf)).join(opened, DELIVERY, "left_semi"))
+    last = spark.createDataFrame([("", "", date(2024, 3, 1), "clock", datetime(2024, 3, 1, tzinfo=UTC), None, None, None)], INPUT)
+    at = folder(spark, "deadlines")
+    for part in (rows, last):  # the clock comes in a second start
+        part.write.mode("append").parquet(f"{at}/in")
+        src = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", 10000).parquet(f"{at}/in")
+        out = stream_deadlines(src, "EventTime").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
+        out.trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.schema(OUTPUT).parquet(f"{at}/out")
+    found = [statuses_at(changes, t).withColumn("at", F.lit(int(t.timestamp())).cast("long")) for t in INSTANTS]
+    return reduce(DataFrame.unionByName, found).select(*DELIVERY, "at", "status")
