@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from build import contract, contracts, load, loads, utc
 from tidewatch.operators.replay import alert_codes, replay
-from tidewatch.streaming.ingest import read_load_stream, stream_ingest, stream_systemic, write_stream
+from tidewatch.streaming.ingest import Intake, read_load_stream, stream_ingest
 from tidewatch.streaming.monitor import Monitor, build_monitor_stream
 
 FIRST = date(2026, 9, 1)
@@ -38,7 +38,7 @@ def test_monitor_equals_replay(spark, tr_calendar, tmp_path):
         q.awaitTermination()
         assert q.exception() is None, k
     end = datetime(2026, 9, 28, 23)
-    m.sweep(end, 1_000_000_000)
+    m.sweep(end, 0)
     assert m.loads().count() == len(rows)
     live = {
         (r["institution"], r["business_date"]): (r["status"], r["codes"])
@@ -70,20 +70,8 @@ def test_ingest_once(spark, tmp_path):
     rows = [load(i, "a", utc(FIRST, 450 + i), 10) for i in range(5)]
     rows += [rows[0][:3] + (rows[0][3] + timedelta(minutes=5),) + rows[0][4:], load(9, "unknown", utc(FIRST, 450), 10)]
     loads(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in"))
-    inst = spark.createDataFrame([("a",)], "institution STRING")
-    q = write_stream(stream_ingest(read_load_stream(spark, str(tmp_path / "in")), inst), str(tmp_path / "out"), str(tmp_path / "cp"))
+    intake = Intake(spark, str(tmp_path / "out"), spark.createDataFrame([("a",)], "institution STRING"))
+    q = stream_ingest(read_load_stream(spark, str(tmp_path / "in")), intake, str(tmp_path / "cp"))
     q.awaitTermination()
-    assert sorted(r["external_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"x{i}" for i in range(5)]
-
-
-def test_systemic_windows(spark, tmp_path):
-    rows = [(f"i{i}", datetime(2026, 9, 16, 7, i), True, "MISSING" if i < 3 else "RECEIVED") for i in range(5)]
-    rows += [("late", datetime(2026, 9, 17, 7), True, "RECEIVED")]
-    schema = "institution STRING, deadline_utc TIMESTAMP, expected BOOLEAN, status STRING"
-    for i, part in enumerate((rows[:5], rows[5:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = write_stream(stream_systemic(src), str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination()
-    got = {(r["due"], r["missing"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert (5, 3) in got
+    assert sorted(r["external_id"] for r in intake.loads().collect()) == [f"x{i}" for i in range(5)]
+    assert [r["violations"] for r in intake.rejected().collect()] == [["unknown_institution"]]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from build import contract, contracts, load, loads, utc
 from tidewatch.operators.replay import alert_codes, history_depth
-from tidewatch.streaming.ingest import read_load_stream, stream_ingest, write_stream
+from tidewatch.streaming.ingest import Intake, read_load_stream, stream_ingest
 from tidewatch.streaming.monitor import Monitor
 
 FIRST = date(2026, 9, 1)
@@ -15,10 +15,12 @@ FIRST = date(2026, 9, 1)
 def test_ingest_keeps_late_files_and_old_ids(spark, tmp_path):
     inst = spark.createDataFrame([("a",)], "institution STRING")
     at = lambda days: utc(FIRST + timedelta(days=days), 450)
-    for part in ([load(0, "a", at(0), 10), load(1, "a", at(40), 10)], [load(2, "a", at(3), 10)], [load(0, "a", at(60), 10)]):
+    for part in ([load(0, "a", at(0), 10), load(1, "a", at(40), 10)], [load(2, "a", at(3), 10)], [load(0, "a", at(60), 10), load(3, "a", at(61), 10)]):
         loads(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        write_stream(stream_ingest(read_load_stream(spark, str(tmp_path / "in")), inst), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["external_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x0", "x1", "x2"]
+        intake = Intake(spark, str(tmp_path / "out"), inst)  # a new start each time
+        stream_ingest(read_load_stream(spark, str(tmp_path / "in")), intake, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["external_id"] for r in intake.loads().collect()) == ["x0", "x1", "x2", "x3"]
+    assert [(r["external_id"], r["violations"], r["received_at"]) for r in intake.rejected().collect()] == [("x0", ["repeated_external_id"], at(60))]
 
 
 def test_monitor_knows_content_older_than_its_history(spark, tr_calendar, tmp_path):

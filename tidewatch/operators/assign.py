@@ -100,12 +100,13 @@ def _leaders(placed: DataFrame, most: int) -> DataFrame:
 def _walk(leaders: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
     """Fills of one sender. Both inputs are bounded by its calendar and slots."""
     due: dict[tuple[int, object], list[tuple]] = defaultdict(list)
+    known = cands["c_filled"].astype(bool)
+    filled = set(zip(cands.loc[known, "c_slot_key"], cands.loc[known, "c_business_date"]))
     cands = cands.rename(columns=lambda c: c.removeprefix("c_")).sort_values(["deadline_utc", "slot_key"])
     for ver, slot, bd, ws, dl, cad in zip(
         cands["version"], cands["slot_key"], cands["business_date"], cands["window_start_utc"], cands["deadline_utc"], cands["cadence"]
     ):
         due[(ver, bd)].append((slot, bd, ws, dl, cad))
-    filled: set[tuple] = set()
     out = []
     one_day = pd.Timedelta(days=1)
     leaders = leaders.sort_values(["received_at", "load_id"])
@@ -157,7 +158,7 @@ def find_fills(placed: DataFrame, candidates: DataFrame, most: int) -> DataFrame
 
     lead = _leaders(placed, most)
     names = ["institution", "version", "slot_key", "business_date", "window_start_utc", "deadline_utc", "cadence"]
-    cand = candidates.select(*[F.col(c).alias(f"c_{c}") for c in names])
+    cand = candidates.select(*[F.col(c).alias(f"c_{c}") for c in names], F.col("filled").alias("c_filled"))
     return (
         spread(lead, "institution")
         .groupBy("institution")
@@ -166,11 +167,16 @@ def find_fills(placed: DataFrame, candidates: DataFrame, most: int) -> DataFrame
     )
 
 
-def assign_loads(loads: DataFrame, candidates: DataFrame, validity: DataFrame) -> DataFrame:
+def assign_loads(loads: DataFrame, candidates: DataFrame, validity: DataFrame, filled: DataFrame | None = None) -> DataFrame:
     """Adds version, slot_key, business_date and reason to every load.
 
-    ``candidates``: ``expand_schedule(..., spill_days=(4, 2))`` of the versions in ``validity``.
+    ``candidates``: ``expand_schedule(..., spill_days=(4, 2))`` of the versions in ``validity``. ``filled`` holds the
+    (institution, slot_key, business_date) that loads before these have filled, whatever their time of receipt.
     """
+    slot_day = ["institution", "slot_key", "business_date"]
+    none = candidates.select(*slot_day).limit(0)
+    before = (none if filled is None else filled.select(*slot_day)).distinct().withColumn("filled", F.lit(True))
+    candidates = candidates.drop("filled").join(before, slot_day, "left").withColumn("filled", F.coalesce("filled", F.lit(False)))
     days = candidate_windows(candidates)
     key = ["institution", "version", "day"]
     dated = with_contract(loads, validity)
@@ -179,7 +185,8 @@ def assign_loads(loads: DataFrame, candidates: DataFrame, validity: DataFrame) -
     # Everything a file needs to know about its day meets it in one join on (institution, version, day):
     # the candidate deliveries, when today's were filled, and which files of the day filled something.
     # The lists are bounded by the sender's slots; a hot day is split by the adaptive skew join.
-    of_today = fills.groupBy("institution", F.col("business_date").alias("day")).agg(
+    earlier = before.select("institution", "slot_key", "business_date", F.timestamp_seconds(F.lit(0)).alias("received_at"), F.lit("").alias("load_id"))
+    of_today = fills.select(*earlier.columns).unionByName(earlier).groupBy("institution", F.col("business_date").alias("day")).agg(
         F.collect_list(F.struct("slot_key", "received_at", "load_id")).alias("day_fills")
     )
     by_file = fills.groupBy("institution", "day").agg(

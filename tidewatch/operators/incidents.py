@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewatch import fixed
 from tidewatch.functions.scalar import demote, lookup, money, num, priority, severity_name, severity_rank
 from tidewatch.operators.evaluate import KEY
+from tidewatch.session import settle
 
 CASE = [*KEY, "category"]
 WHOLE_DELIVERY = ["UNIT_SCALE_SUSPECT", "DUPLICATE_FILE", "NEGATIVE_AMOUNTS", "STALE_DATA", "LATE_DELIVERY"]
@@ -239,7 +241,7 @@ def apply_verdicts(incidents: DataFrame, verdicts: DataFrame) -> tuple[DataFrame
 # --- outages across institutions ---------------------------------------------------------------------
 
 
-def _signal(due: Column, missing: Column) -> Column:
+def systemic_signal(due: Column, missing: Column) -> Column:
     return (missing >= fixed.SYSTEMIC_MIN_MISSING) & (missing / F.greatest(due, F.lit(1)) >= fixed.SYSTEMIC_MIN_SHARE)
 
 
@@ -250,7 +252,7 @@ def detect_systemic(occ: DataFrame, now: Column) -> DataFrame:
     return (
         occ.filter(F.col("expected") & F.col("deadline_utc").between(since, now))
         .agg(F.count("*").alias("due"), F.count_if(missing).alias("missing"))
-        .filter(_signal(F.col("due"), F.col("missing")))
+        .filter(systemic_signal(F.col("due"), F.col("missing")))
         .select(since.alias("window_start"), now.alias("window_end"), "due", "missing", (F.col("missing") / F.col("due")).alias("share"))
     )
 
@@ -258,28 +260,41 @@ def detect_systemic(occ: DataFrame, now: Column) -> DataFrame:
 def scan_systemic(occ: DataFrame, minutes: int = fixed.SYSTEMIC_WINDOW_MIN) -> DataFrame:
     """Every past deadline instant at which the signal would have been raised.
 
-    At instant t a delivery counts as missing when its first file came after t or never. Occurrences are
-    first combined per deadline, and per (deadline, later instant) for files that came within the window,
-    so the window sums run over one row per distinct deadline and 90-minute bucket instead of over pairs.
+    At instant t a delivery counts when its deadline lies in the ``minutes`` up to t, and as missing when its first file
+    came after t or never. So a delivery adds one at its deadline and takes it away after the window, or as missing when
+    its file comes. The sums at t are running sums of these changes, summed per instant first: one pass over the sorted
+    instants in range partitions, each after the total of those before. There is no join, and a deadline that all
+    deliveries share is one row.
     """
-    w = minutes * 60_000_000
-    sec = F.unix_micros("deadline_utc")
-    arrived = F.unix_micros("first_received_at")
-    # One row per deadline (instants) and, for each instant, deadlines in (t - 90 min .. t): bucketed equi join.
-    per = occ.filter("expected").groupBy(sec.alias("dl"), arrived.alias("arr")).agg(F.count("*").alias("n"))
-    instants = per.select("dl").distinct().select(F.col("dl").alias("t"))
-    bucket = lambda c: F.floor(c / F.lit(w))
-    left = instants.select("t", F.explode(F.array(bucket(F.col("t")), bucket(F.col("t")) - 1)).alias("b"))
-    right = per.withColumn("b", bucket(F.col("dl")))
-    late = F.col("arr").isNull() | (F.col("arr") > F.col("t"))
-    return (
-        left.join(right, "b")
-        .filter((F.col("dl") <= F.col("t")) & (F.col("dl") >= F.col("t") - w))
-        .groupBy("t")
-        .agg(F.sum("n").alias("due"), F.sum(F.when(late, F.col("n")).otherwise(0)).alias("missing"))
-        .filter(_signal(F.col("due"), F.col("missing")))
-        .select(F.timestamp_micros("t").alias("at"), "due", "missing")
+    window = minutes * 60_000_000
+    dl, came = F.unix_micros("deadline_utc"), F.unix_micros("first_received_at")
+    end = dl + window + 1  # the first instant at which the deadline is too old
+    until = F.when(came.isNull() | (came > end), end).otherwise(F.greatest(came, dl))
+    step = lambda at, due, missing, asked: F.struct(at.alias("t"), F.lit(due).alias("due"), F.lit(missing).alias("missing"), F.lit(asked).alias("asked"))
+    steps = F.array(step(dl, 1, 1, 1), step(until, 0, -1, 0), step(end, -1, 0, 0))
+    per = (
+        occ.filter("expected")
+        .select(F.explode(steps).alias("s"))
+        .groupBy("s.t")
+        .agg(F.sum("s.due").alias("due"), F.sum("s.missing").alias("missing"), F.max("s.asked").alias("asked"))
     )
+    ordered = running_sums(per, "t", ["due", "missing"])
+    return ordered.filter((F.col("asked") == 1) & systemic_signal(F.col("due"), F.col("missing"))).select(F.timestamp_micros("t").alias("at"), "due", "missing")
+
+
+def running_sums(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """``columns`` as sums up to each row in ``order`` (unique values), without one task for all rows.
+
+    Rows are dealt to ranges and written; each range is summed on its own, and the few totals of the ranges before are added.
+    """
+    dealt = rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    dealt = settle(dealt, "ranges")
+    totals = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])
+    within = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    sums = {c: F.sum(c).over(within) + F.col(f"_{c}") for c in columns}
+    return dealt.join(offsets, "_range").withColumns(sums).drop("_range", *[f"_{c}" for c in columns])
 
 
 def group_systemic(signal: DataFrame, incidents: DataFrame, occ: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

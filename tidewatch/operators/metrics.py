@@ -112,7 +112,11 @@ def build_occurrences(expected: DataFrame, assigned: DataFrame, candidates: Data
     ``candidates`` serves files matched just across a contract change: their delivery takes its window
     from the version that matched it. ``earlier`` holds contents of loads before these (``repeated_content``).
     """
-    got = aggregate_metrics(assigned).join(repeated_content(assigned, earlier), KEY, "left")
+    return join_expected(expected, aggregate_metrics(assigned).join(repeated_content(assigned, earlier), KEY, "left"), candidates)
+
+
+def join_expected(expected: DataFrame, got: DataFrame, candidates: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Occurrences from expected deliveries and what came, one row per delivery; ``keep`` names columns of the first file to stay."""
     exp = expected.select(*KEY, "window_start_utc", "deadline_utc", "timezone", "slot_label", "month_phase", "iso_weekday", F.lit(True).alias("expected"))
     occ = exp.join(got, KEY, "full_outer")
     if candidates is not None:
@@ -131,4 +135,4 @@ def build_occurrences(expected: DataFrame, assigned: DataFrame, candidates: Data
             "slot_label": F.coalesce("slot_label", F.lit(fixed.UNSCHEDULED_LABEL)),
             "load_count": F.coalesce("load_count", F.lit(0).cast("bigint")),
         }
-    ).drop("first_version", "load_timezone")
+    ).drop(*{"first_version", "load_timezone"}.difference(keep))

@@ -5,6 +5,9 @@ which it is later than usual (AT_RISK), the end of its local day where the deadl
 the deadline (MISSING). Its file withdraws them. On wall time (the default) they fire although no row arrives at all,
 as in a total outage, and no row is ever too late; on event time, for replays whose rows come in order, the watermark
 of all rows moves them, so a clock (kind 'clock') may be mixed in.
+
+A change also says by how much it changes the number of deliveries that are due, and of those that are missing, from its
+instant or the deadline on (the later of them). A row with the status REVISED only takes back an earlier such change.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from tidewatch.streaming.cases import use_rocksdb
 
 KEYS = ["institution", "slot_key", "business_date"]
 INPUT = "institution STRING, slot_key STRING, business_date DATE, kind STRING, at TIMESTAMP, deadline TIMESTAMP, risk TIMESTAMP, calm TIMESTAMP"
-OUTPUT = "institution STRING, slot_key STRING, business_date DATE, status STRING, at TIMESTAMP"
+OUTPUT = "institution STRING, slot_key STRING, business_date DATE, status STRING, at TIMESTAMP, deadline TIMESTAMP, due INT, missing INT"
 TIMERS = ("risk", "calm", "deadline")
 
 
@@ -69,33 +72,30 @@ class DeadlineTimer(StatefulProcessor):
         names = (*TIMERS, "arrived", "status")
         return dict(zip(names, self.state.get() if self.state.exists() else [None] * len(names), strict=True))
 
-    def _rows(self, key: tuple, changes: list[tuple[str, int]]) -> pd.DataFrame:
+    def _rows(self, key: tuple, deadline: int | None, changes: list[tuple[str, int, int, int]]) -> pd.DataFrame:
         n = len(changes)
-        at = pd.to_datetime([ms for _, ms in changes], unit="ms")
-        return pd.DataFrame({**{c: [v] * n for c, v in zip(KEYS, key, strict=True)}, "status": [s for s, _ in changes], "at": at})
+        names, at, due, missing = zip(*changes, strict=True)
+        status = ["PENDING" if s == "CALM" else s for s in names]
+        times = {"at": pd.to_datetime(list(at), unit="ms"), "deadline": pd.to_datetime([deadline] * n, unit="ms")}
+        return pd.DataFrame({**{c: [v] * n for c, v in zip(KEYS, key, strict=True)}, "status": status, **times, "due": pd.Series(due, dtype="int32"), "missing": pd.Series(missing, dtype="int32")})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         s = self._load()
         before = dict(s)
-        changes: list[tuple[str, int]] = []
+        changes: list[tuple[str, int, int, int]] = []
         for pdf in rows:
             due = pdf[pdf["kind"] == "due"]
             if len(due) and s["deadline"] is None:
                 first = due.iloc[0]
                 s.update({c: millis(first[c]) for c in TIMERS})
                 if s["arrived"] is None:
-                    changes.append(("PENDING", millis(first["at"])))
+                    changes.append(("PENDING", millis(first["at"]), 0, 0))
             came = pdf.loc[pdf["kind"] == "load", "at"]
             if len(came):
                 at = millis(came.min())
                 s["arrived"] = at if s["arrived"] is None else min(at, s["arrived"])
         if s["arrived"] is not None and s["deadline"] is not None:
-            status = "LATE" if s["arrived"] > s["deadline"] else "RECEIVED"
-            if (status, s["arrived"]) != (before["status"], before["arrived"]):
-                # what the timers would have said before the file came, if its row came ahead of them
-                due_now = [t for t in self._due(s) if t[1] < s["arrived"]] if before["status"] in (None, "PENDING", "AT_RISK") else []
-                changes += [c for c in due_now if c[0] != before["status"]]
-                changes.append((status, s["arrived"]))
+            changes += self._came(before, s)
         if changes:
             s["status"] = changes[-1][0]
         if s == before:
@@ -109,11 +109,29 @@ class DeadlineTimer(StatefulProcessor):
             for ms in {s[t] for t in TIMERS} - {None}:
                 self.handle.deleteTimer(ms)  # withdrawn; those that fired are gone already
         if changes:
-            yield self._rows(key, changes)
+            yield self._rows(key, s["deadline"], changes)
+
+    def _came(self, before: dict, s: dict) -> list[tuple[str, int, int, int]]:
+        """Changes because of a first file, or of one that came before what was the first."""
+        status = "LATE" if s["arrived"] > s["deadline"] else "RECEIVED"
+        out = []
+        if before["status"] in ("RECEIVED", "LATE"):
+            if s["arrived"] == before["arrived"]:
+                return []
+            if before["status"] == "LATE":
+                out = [("REVISED", before["arrived"], 0, 1)]
+            return [*out, (status, s["arrived"], 0, -1 if out else 0)]
+        missed = before["status"] == "MISSING"
+        if not missed:  # what the timers would have said, if the file's row came ahead of them
+            fired = ["AT_RISK", "CALM", "MISSING"].index(before["status"]) + 1 if before["status"] in ("AT_RISK", "CALM") else 0
+            rest = [c for c in self._due(s) if ["AT_RISK", "CALM", "MISSING"].index(c[0]) >= fired]
+            out = [(t, ms, int(t == "MISSING"), int(t == "MISSING")) for t, ms in rest if ms < s["arrived"]]
+            missed = bool(out) and out[-1][0] == "MISSING"
+        return [*out, (status, s["arrived"], int(not missed), -int(missed))]
 
     @staticmethod
     def _due(s: dict) -> list[tuple[str, int]]:
-        return [(status, s[t]) for t, status in (("risk", "AT_RISK"), ("calm", "PENDING"), ("deadline", "MISSING")) if s[t] is not None]
+        return [(status, s[t]) for t, status in (("risk", "AT_RISK"), ("calm", "CALM"), ("deadline", "MISSING")) if s[t] is not None]
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         s, ms = self._load(), expiredTimerInfo.getExpiryTimeInMs()
@@ -121,7 +139,8 @@ class DeadlineTimer(StatefulProcessor):
         if s["arrived"] is None and now:
             s["status"] = now[-1][0]
             self.state.update(tuple(s.values()))
-            yield self._rows(key, now[-1:])
+            gone = int(s["status"] == "MISSING")
+            yield self._rows(key, s["deadline"], [(*now[-1], gone, gone)])
 
     def close(self) -> None:
         pass
@@ -139,4 +158,4 @@ def statuses_at(changes: DataFrame, now: object) -> DataFrame:
     came = F.col("status").isin("RECEIVED", "LATE")
     us = F.unix_micros("at")
     order = F.struct(came.cast("int").alias("came"), F.when(came, -us).otherwise(us).alias("us"))
-    return changes.filter(F.col("at") <= F.lit(now)).groupBy(*KEYS).agg(F.max_by("status", order).alias("status"))
+    return changes.filter((F.col("at") <= F.lit(now)) & (F.col("status") != "REVISED")).groupBy(*KEYS).agg(F.max_by("status", order).alias("status"))
