@@ -14,11 +14,20 @@ from tidewatch.functions.scalar import local_minutes
 from tidewatch.operators.evaluate import KEY
 from tidewatch.plans import q_arrivals as A
 from tidewatch.plans import q_desk as Q
-from tidewatch.plans.registry import query
+from tidewatch.plans import domain as D
+from tidewatch.plans import sqltext as S
+from tidewatch.plans.registry import ORACLES, query
 from tidewatch.session import shared_dir
 from tidewatch.streaming import cases as C
 from tidewatch.streaming.deadlines import INPUT, OUTPUT, due_rows, load_rows, statuses_at, stream_deadlines
 from tidewatch.streaming.deadlines import KEYS as DELIVERY
+from tidewatch.streaming.ingest import Intake, read_load_stream, stream_ingest
+from tidewatch.streaming.monitor import Monitor, build_monitor_stream
+from tidewatch.streaming.outage import OutageSeries, stream_systemic
+
+OCC = S.DESK_OCC
+#: Deadlines at which the outage series is asked.
+DESK_INSTANTS = [datetime(1995 + k % 6, 1 + k, 3 + 2 * k, 10, tzinfo=UTC) for k in range(12)]
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -80,3 +89,62 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     changes = spark.read.schema(OUTPUT).parquet(f"{at}/out")
     found = [statuses_at(changes, t).withColumn("at", F.lit(int(t.timestamp())).cast("long")) for t in INSTANTS]
     return reduce(DataFrame.unionByName, found).select(*DELIVERY, "at", "status")
+
+
+@query(
+    "stream_ingest",
+    f"WITH {S.ARRIVALS}, x AS (SELECT *, event_type || '|' || k AS external_id FROM arr), o AS (SELECT institution, external_id, arg_min(load_id, (received_at, load_id)) AS load_id FROM x WHERE institution <> 'S9' GROUP BY ALL) "
+    "SELECT x.institution, x.external_id, x.load_id, CASE WHEN x.institution = 'S9' THEN 'unknown_institution' WHEN o.load_id IS NULL THEN 'repeated_external_id' ELSE 'accepted' END AS outcome "
+    "FROM x LEFT JOIN o ON o.institution = x.institution AND o.external_id = x.external_id AND o.load_id = x.load_id WHERE x.institution = 'S9' OR o.load_id IS NOT NULL OR x.received_at >= TIMESTAMP '2024-01-16' "
+    "AND NOT EXISTS (FROM x y WHERE y.institution = x.institution AND y.external_id = x.external_id AND y.received_at >= TIMESTAMP '2024-01-16' AND (y.received_at, y.load_id) < (x.received_at, x.load_id))",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Two starts of the intake, each over half the month; ids repeat within a half (combined) and across (refused, the first of the half)."""
+    e = D.table(spark, sf, "events").select(F.col("event_id").cast("string").alias("load_id"), "event_type")
+    a = D.arrivals(spark, sf).join(e, "load_id").withColumn("external_id", F.concat_ws("|", "event_type", F.col("record_count").cast("string"))).drop("event_type")
+    inst = a.select("institution").distinct().filter("institution <> 'S9'")
+    at = folder(spark, "ingest")
+    half = F.col("received_at") < F.lit(datetime(2024, 1, 16, tzinfo=UTC))
+    for part in (a.filter(half), a.filter(~half)):
+        part.write.mode("append").parquet(f"{at}/in")
+        intake = Intake(spark, f"{at}/out", inst)
+        stream_ingest(read_load_stream(spark, f"{at}/in", max_files=10000), intake, f"{at}/checkpoint").awaitTermination()
+    taken = intake.loads().select("institution", "external_id", "load_id", F.lit("accepted").alias("outcome"))
+    refused = intake.rejected().select("institution", "external_id", "load_id", F.get("violations", F.lit(0)).alias("outcome"))
+    return taken.unionByName(refused)
+
+
+@query("stream_assign_evaluate", ORACLES["evaluate_multi_slot"])
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The monitor over the month's files in three starts, then a sweep: the same decisions as judging all of them at once."""
+    a = D.arrivals(spark, sf).withColumn("external_id", F.col("load_id"))
+    inst = a.select("institution", F.lit(1).alias("tier")).distinct()
+    at = folder(spark, "monitor")
+    for k in range(3):
+        a.filter(F.floor(F.dayofmonth("received_at") / 12) == k).write.mode("append").parquet(f"{at}/in")
+        monitor = Monitor(spark, f"{at}/out", A.contracts(spark, sf), A.cal(spark, sf), inst)
+        build_monitor_stream(monitor, read_load_stream(spark, f"{at}/in", max_files=10000), f"{at}/checkpoint").awaitTermination()
+    monitor.judge_all(date(2024, 1, 1), date(2024, 1, 31), A.NOW)
+    in_month = F.col("business_date").between(date(2024, 1, 1), date(2024, 1, 31)) | (F.col("load_count") > 0)
+    return monitor.latest_decisions().filter(in_month & (F.col("status") != "PENDING")).select("institution", "slot_key", "business_date", "status", "load_count")
+
+
+@query(
+    "stream_systemic",
+    f"WITH {OCC}, t AS (SELECT DISTINCT deadline_utc AS t FROM desk_occ WHERE expected), "
+    "g AS (SELECT t, count(*) AS due, count(*) FILTER (first_received_at IS NULL OR first_received_at > t) AS missing FROM t JOIN desk_occ o ON o.expected AND o.deadline_utc BETWEEN t - INTERVAL 90 MINUTE AND t GROUP BY t) "
+    "SELECT epoch(t)::BIGINT AS at, due, missing FROM g WHERE t IN (" + ", ".join(f"TIMESTAMP '{t:%Y-%m-%d %H:%M:%S}'" for t in DESK_INSTANTS) + ") AND missing >= 3 AND missing / due >= 0.5",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The outage series fed by the timers of all deliveries, asked at some deadlines."""
+    o = Q.occ(spark, sf).filter("expected").withColumns({"timezone": F.lit("UTC"), "arrival": F.lit(None).cast("struct<p97: double>")})
+    files = o.filter("first_received_at is not null").withColumn("received_at", F.col("first_received_at"))
+    last = spark.createDataFrame([("", "", date(2003, 1, 1), "clock", datetime(2003, 1, 1, tzinfo=UTC), None, None, None)], INPUT)
+    at = folder(spark, "systemic")
+    series = OutageSeries(spark, f"{at}/series")
+    for part in (due_rows(o).unionByName(load_rows(files)), last):
+        part.write.mode("append").parquet(f"{at}/in")
+        src = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", 10000).parquet(f"{at}/in")
+        stream_systemic(stream_deadlines(src, "EventTime"), series, f"{at}/checkpoint").awaitTermination()
+    found = [series.signal(t).select(F.lit(int(t.timestamp())).cast("long").alias("at"), "due", "missing") for t in DESK_INSTANTS]
+    return reduce(DataFrame.unionByName, found)

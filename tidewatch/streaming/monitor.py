@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +55,10 @@ def names(schema: str) -> list[str]:
     return out
 
 
+def instant(us: int) -> datetime:
+    return datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=us)
+
+
 def sums_of(assigned: DataFrame, repeated: DataFrame) -> DataFrame:
     """What a batch's files add to each delivery."""
     t = F.col("received_at")
@@ -121,7 +125,7 @@ class Monitor:
         self.intake = Intake(spark, f"{root}/intake", institutions)
         self.state = Latest(spark, f"{root}/state", KEY, STATE, order="business_date")
         self.decisions = Latest(spark, f"{root}/decisions", KEY, DECISION, order="business_date")
-        self.time = Latest(spark, f"{root}/time", ["name"], "name STRING, at TIMESTAMP")
+        self.time = Latest(spark, f"{root}/time", ["name"], "name STRING, us BIGINT")
         self.contents = Seen(spark, f"{root}/contents", ["institution", "content_hash"], "institution STRING, content_hash STRING, first_seen_at TIMESTAMP")
         self.assigned = Folders(spark, f"{root}/assigned")
         self.messages = Folders(spark, f"{root}/messages")
@@ -137,7 +141,7 @@ class Monitor:
             return
         with self.one_at_a_time:
             number = self._begin("loads", batch_id)
-            fresh = self.intake.take(batch, number)
+            fresh = self.intake.take(batch, number, tidy=False)
             first, last = fresh.agg(F.min(F.to_date("received_at")), F.max(F.to_date("received_at"))).first()
             if first is None:
                 return
@@ -148,16 +152,17 @@ class Monitor:
     def _begin(self, source: str, batch_id: int) -> int:
         """The number under which a batch writes; earlier numbers are what it may read."""
         number = self.numbers.of(source, batch_id)
-        for t in (self.state, self.decisions, self.time, self.contents):
-            t.tidy(number)
+        for t in (self.state, self.decisions, self.time, self.contents, self.intake.ids):
+            t.tidy(self.numbers.settled("loads", "sweep"))
         return number
 
     def _advance(self, at: datetime, batch_id: int) -> datetime:
         """The batch's time, but never before that of an earlier batch: older files do not turn the clock back."""
+        at = at.astimezone(UTC)  # what Spark hands to Python without a zone is in the driver's
         known = self.time.read(batch_id).first()
-        now = at if known is None else max(at, known["at"])
-        self.time.write(self.spark.createDataFrame([("now", now)], "name STRING, at TIMESTAMP"), batch_id)
-        return now
+        us = max(round(at.timestamp() * 1e6), known["us"] if known else 0)
+        self.time.write(self.spark.createDataFrame([("now", us)], "name STRING, us BIGINT"), batch_id)
+        return instant(us)
 
     def _match(self, fresh: DataFrame, first: date, last: date, batch_id: int) -> None:
         """Assigns a batch's files, given which deliveries around its days are filled, and adds them to the deliveries."""
@@ -184,14 +189,14 @@ class Monitor:
 
     # --- judgement --------------------------------------------------------------------------------------------------
 
-    def learned(self, senders: DataFrame, since: date, now: datetime, before: int | None) -> tuple[DataFrame, date]:
+    def learned(self, senders: DataFrame, since: date, now: datetime, before: int | None, last: date | None = None) -> tuple[DataFrame, date]:
         """Deliveries of the senders from a few days before ``since`` on, with all that they are compared with."""
         reach = since - timedelta(days=fixed.LATE_LOOKBACK_DAYS + 1)
         day = F.col("business_date")
         stored = self.state.read(before, day >= F.lit(reach - timedelta(days=self.depth))).join(senders, "institution", "left_semi")
         stored = settle(stored, "deliveries")
         validity = self.validity.join(senders, "institution", "left_semi")
-        expected = expand_schedule(validity, self.cal, reach, now.date() + timedelta(days=2))
+        expected = expand_schedule(validity, self.cal, reach, last or now.date() + timedelta(days=2))
         keep = ["dup_load_id", "dup_hash"]
         recent = with_metrics(stored.filter(day >= F.lit(reach)))
         due = names(DUE)
@@ -203,8 +208,8 @@ class Monitor:
         contracts = self.contracts.join(senders, "institution", "left_semi")
         return settle(learn(attach_spec(occ.filter(ready), contracts), self.labels(), self.depth), "learned"), reach
 
-    def _judge(self, senders: DataFrame, since: date, now: datetime, batch_id: int, changed_only: bool = False) -> None:
-        rows, reach = self.learned(senders, since, now, batch_id + 1)
+    def _judge(self, senders: DataFrame, since: date, now: datetime, batch_id: int, changed_only: bool = False, last: date | None = None) -> None:
+        rows, reach = self.learned(senders, since, now, batch_id + 1, last)
         judged = settle(ENGINES["champion"](rows, F.lit(now)).filter(F.col("business_date") >= F.lit(reach)), "judged")
         if changed_only:
             last = self.decisions.read(batch_id, F.col("business_date") >= F.lit(reach)).select(*KEY, F.col("status").alias("_status"), F.transform("findings", lambda f: f["code"]).alias("_codes"))
@@ -229,6 +234,14 @@ class Monitor:
         senders = settle(waiting.select("institution").distinct(), "waiting")
         self._judge(senders, day, now, batch_id, changed_only=True)
 
+    def judge_all(self, first: date, last: date, now: datetime, batch_id: int = 0) -> None:
+        """Judges every sender's deliveries from ``first`` on again, for example after verdicts; keeps changes only."""
+        with self.one_at_a_time:
+            number = self._begin("all", batch_id)
+            senders = self.validity.select("institution").distinct()
+            since = first + timedelta(days=fixed.LATE_LOOKBACK_DAYS + 1)
+            self._judge(senders, since, self._advance(now, number), number, changed_only=True, last=last)
+
     def materialize(self, day: date, batch_id: int) -> None:
         """The day's deliveries as PENDING decisions before anything arrives; what is stored already stays."""
         with self.one_at_a_time:
@@ -274,14 +287,15 @@ class Shadow:
         if first is None or known is None:
             return
         senders = settle(batch.select("institution").distinct(), "shadow-senders")
-        rows, reach = m.learned(senders, first, known["at"], None)
+        now = instant(known["us"])
+        rows, reach = m.learned(senders, first, now, None)
         found, failed = [], []
         for name, engine in self.engines.items():
             try:
-                got = engine(rows, F.lit(known["at"])).filter(F.col("business_date") >= F.lit(reach))
+                got = engine(rows, F.lit(now)).filter(F.col("business_date") >= F.lit(reach))
                 found.append(settle(got.select(*KEY, F.lit(name).alias("challenger"), "status", alert_codes(F.col("findings")).alias("codes"), "max_severity", F.col("judged_at").alias("evaluated_at")), "shadow"))
             except Exception as e:  # noqa: BLE001 - whatever a challenger does stays here
-                failed.append((name, str(e)[:500], known["at"]))
+                failed.append((name, str(e)[:500], now))
         if found:
             out = found[0]
             for f in found[1:]:

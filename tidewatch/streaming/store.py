@@ -63,7 +63,10 @@ class Latest:
 
     def read(self, before: int | None = None, where: Column | None = None) -> DataFrame:
         """Rows as they were before a batch (so a batch that is run again does not see its own); ``where`` reaches the scans."""
-        bases = [n for n in self.base.numbers() if before is None or n < before]
+        every = self.base.numbers()
+        bases = [n for n in every if before is None or n < before]
+        if every and not bases:
+            raise ValueError(f"batches from {before} on are folded already")
         upto = bases[-1] if bases else -1
         logs = [n for n in self.log.numbers() if n > upto and (before is None or n < before)]
         parts = [self.base.read(bases[-1:], self.schema), self.log.read(logs, self.schema)]
@@ -75,7 +78,7 @@ class Latest:
         self.log.write(df, batch_id)
 
     def tidy(self, batch_id: int) -> None:
-        """To be called as a batch begins: folds what earlier batches wrote, if they are many."""
+        """To be called as a batch begins: folds what batches before ``batch_id`` wrote, if they are many. None of them may be run again."""
         bases = self.base.numbers()
         logs = [n for n in self.log.numbers() if n < batch_id]
         since = [n for n in logs if not bases or n > bases[-1]]
@@ -83,7 +86,7 @@ class Latest:
             return
         upto = since[-1]
         self.base.write(self.read(upto + 1), upto, self.order)
-        for n in logs:  # a batch that is run again is never an earlier one
+        for n in logs:
             self.log.drop(n)
         for n in bases:
             self.base.drop(n)
@@ -155,12 +158,21 @@ class Numbers:
         self._fs = self._dir.getFileSystem(spark._jsc.hadoopConfiguration())
         self._spark, self._kept = spark, kept
 
-    def of(self, source: str, batch_id: int) -> int:
+    def _known(self) -> dict[tuple[str, int], int]:
         known = {}
         if self._fs.exists(self._dir):
             for s in self._fs.listStatus(self._dir):
                 name, batch, number = s.getPath().getName().split("-")
                 known[name, int(batch)] = int(number)
+        return known
+
+    def settled(self, *sources: str) -> int:
+        """Numbers below this belong to batches that none of the sources runs again: each repeats its newest one at most."""
+        known = self._known()
+        return min((max(n for (name, _), n in known.items() if name == source) for source in sources if any(name == source for name, _ in known)), default=0)
+
+    def of(self, source: str, batch_id: int) -> int:
+        known = self._known()
         if (source, batch_id) in known:
             return known[source, batch_id]
         number = max(known.values(), default=-1) + 1
