@@ -65,6 +65,18 @@ def process_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, however the case is written."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        free = f"__{name}"
+        while free.lower() in there:
+            free += "_"
+        there.add(free.lower())
+        out.append(free)
+    return out
+
+
 def partitions(df: DataFrame) -> int:
     """Number of shuffle partitions for steps whose cost is not seen in bytes."""
     spark = df.sparkSession

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import setjoin
-from tidewatch.llm.common import BLOOM_BITS, BLOOM_PARTS, bits_hold, bits_set, counted, documents, either_bits, key_filter, map_arrow, mix64, partitions
+from tidewatch.llm.common import BLOOM_BITS, BLOOM_PARTS, bits_hold, bits_set, counted, documents, either_bits, key_filter, map_arrow, mix64, partitions, unused
 from tidewatch.llm.words import Words
 from tidewatch.session import settle
 
@@ -63,7 +63,7 @@ class Lines:
         self.line = (line[long][begin] - feeds[words.offsets[:-1]][self.doc] - self.doc).astype(np.int32)
 
 
-RECORD = np.dtype([("token", "<u8"), ("key", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("p", "<i4")])
+RECORD = np.dtype([("token", "<u8"), ("key", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("hash", "<i8"), ("line", "<i4"), ("n", "<i4"), ("p", "<i4")])
 
 
 def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, seekers: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -74,15 +74,15 @@ def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, s
     its sets share: nothing before it is common, so the rest of either set holds the whole intersection.
     """
     # copies of a set that other tasks sent: the earliest stays
-    order = np.lexsort([postings[c] for c in ("line", "doc", "key", "token")])
+    order = np.lexsort([postings[c] for c in ("hash", "line", "doc", "key", "token")])
     same = np.ones(len(order), bool)
     for c in ("token", "key"):
         same[1:] &= postings[c][order[1:]] == postings[c][order[:-1]]
     same[:1] = False
     order = order[~same]
-    order = order[np.lexsort([postings[c][order] for c in ("line", "doc", "token")])]
+    order = order[np.lexsort([postings[c][order] for c in ("hash", "line", "doc", "token")])]
     postings = {c: v[order] for c, v in postings.items()}
-    token, n, x, y, doc, line = (postings[c] for c in ("token", "n", "x", "y", "doc", "line"))
+    token, n, x, y, doc, line, text = (postings[c] for c in ("token", "n", "x", "y", "doc", "line", "hash"))
     left = n - postings["p"]
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     length = np.diff(np.concatenate([starts, [len(token)]]))
@@ -111,7 +111,7 @@ def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, s
             a, b, spare = np.repeat(rows, w)[good], b[good], (both - 2 * needed)[good]
             good = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
             good &= np.bitwise_count(x[a] ^ x[b]).astype(np.int32) + np.bitwise_count(y[a] ^ y[b]) <= spare
-            good &= (doc[a] != doc[b]) | (line[a] != line[b])
+            good &= (doc[a] != doc[b]) | (line[a] != line[b]) | (text[a] != text[b])
             a, b = a[good], b[good]
             if few is not None and len(a):
                 fresh = np.concatenate([[True], a[1:] != a[:-1]])
@@ -131,7 +131,7 @@ def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, s
 
 
 def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray, postings: int, few: int | None = FEW, seekers: bytes | None = None) -> DataFrame:
-    """(a struct, b struct, more) of lines by (doc_id, line); a is later. ``seekers`` bounds a to a bit set of lines.
+    """(a struct, b struct, more) of lines by (doc_id, line, thash), so that rows that share an id are told apart by their text; a is later. ``seekers`` bounds a to a bit set of lines.
 
     ``postings``, the words in all prefixes, gives the number of blocks, so that a block's size does not grow with the input.
     """
@@ -163,13 +163,13 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
         for b in batches:
             found = Lines(b.column(2), least)
             sets = setjoin.OrderedSets(found.owner, found.token, found.n, shared.value[0], percent)
-            doc = b.column(0).take(pa.array(found.doc)).to_numpy()
+            doc, text = (b.column(k).take(pa.array(found.doc)).to_numpy() for k in range(2))
             # a count of one means that no other line holds the token
             i = np.flatnonzero(sets.in_prefix & (sets.count > 1) & joins(sets.size, percent)[sets.owner])
             o = sets.owner[i]
             records = np.zeros(len(i), RECORD)
             maps = setjoin.bitmaps(sets, BITMAP).view("<u8")
-            for name, value in (("token", sets.token[i]), ("key", sets.keys[0][o]), ("x", maps[o, 0]), ("y", maps[o, 1]), ("doc", doc[o]), ("line", found.line[o]), ("n", sets.size[o]), ("p", sets.place[i])):
+            for name, value in (("token", sets.token[i]), ("key", sets.keys[0][o]), ("x", maps[o, 0]), ("y", maps[o, 1]), ("doc", doc[o]), ("hash", text[o]), ("line", found.line[o]), ("n", sets.size[o]), ("p", sets.place[i])):
                 records[name] = value
             held.append((sets.keys[0], sets.keys[1], doc, found.line, records, np.bincount(o, minlength=found.n)))
             count += len(i)
@@ -190,7 +190,7 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
         rows, a, b, more = candidates({c: np.concatenate(v) for c, v in columns.items()}, percent, few, bits)
         for at in range(0, len(a), 100_000):
             x, y = a[at : at + 100_000], b[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows["doc"][x], rows["line"][x], rows["doc"][y], rows["line"][y], more[at : at + 100_000])], ["ad", "al", "bd", "bl", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows["doc"][x], rows["line"][x], rows["hash"][x], rows["doc"][y], rows["line"][y], rows["hash"][y], more[at : at + 100_000])], ["ad", "al", "ah", "bd", "bl", "bh", "more"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sorted by block: one block is held at a time
@@ -208,9 +208,9 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
 
     dealt = map_arrow(own, send, "block int, postings binary").repartition(partitions(own), "block").sortWithinPartitions("block")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
-    found = dealt.mapInArrow(meet, "ad long, al int, bd long, bl int, more boolean")
-    node = lambda d, x: F.struct(F.col(d).alias("doc_id"), F.col(x).alias("line"))
-    return found.groupBy("ad", "al", "bd", "bl").agg(F.max("more").alias("more")).select(node("ad", "al").alias("a"), node("bd", "bl").alias("b"), "more")
+    found = dealt.mapInArrow(meet, "ad long, al int, ah long, bd long, bl int, bh long, more boolean")
+    node = lambda s: F.struct(F.col(f"{s}d").alias("doc_id"), F.col(f"{s}l").alias("line"), F.col(f"{s}h").alias("thash")).alias(s)
+    return found.groupBy("ad", "al", "ah", "bd", "bl", "bh").agg(F.max("more").alias("more")).select(node("a"), node("b"), "more")
 
 
 def _line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -233,41 +233,42 @@ def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PE
     postings = every.where(joins(F.col("n"), percent)).agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
 
     def matched(pairs: DataFrame) -> DataFrame:
-        """(doc_id, line) of the pairs' later lines that are similar to the earlier one."""
-        places = pairs.select("a.*").union(pairs.select("b.*")).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
+        """(doc_id, line, thash) of the pairs' later lines that are similar to the earlier one."""
+        places = pairs.select("a.*").union(pairs.select("b.*")).distinct().groupBy("doc_id", "thash").agg(F.collect_list("line").alias("wanted"))
         places = settle(places, "line-places")
         may = key_filter(places, "doc_id")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, lines, texts = [], [], []
-                for i, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, hashes, lines, texts = [], [], [], []
+                for i, thash, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     parts = text.split("\n")
                     good = [w for w in wanted if w < len(parts)]
                     ids += [i] * len(good)
+                    hashes += [thash] * len(good)
                     lines += good
                     texts += [parts[w] for w in good]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "line", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lines, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "thash", "line", "text"])
 
-        whole = own.where(may(F.col("doc_id"))).join(places, "doc_id").select("doc_id", "text", "wanted")
-        texts = map_arrow(whole, cut, "doc_id long, line int, text string").select(F.struct("doc_id", "line").alias("node"), "text")
-        similar = setjoin.verified(pairs, settle(texts, "line-texts"), _line_sets, percent)
+        whole = own.where(may(F.col("doc_id"))).join(places, ["doc_id", "thash"]).select("doc_id", "thash", "text", "wanted")
+        texts = map_arrow(whole, cut, "doc_id long, thash long, line int, text string").select(F.struct("doc_id", "line", "thash").alias("node"), "text")
+        similar = setjoin.verified(pairs, settle(texts.distinct(), "line-texts"), _line_sets, percent)
         return similar.select("a.*").distinct()
 
     pairs = settle(candidate_pairs(own, least, percent, rarity, postings, few), "line-pairs")
     hits = settle(matched(pairs), "line-matched")
-    rest = settle(pairs.where("more").select("a.*").distinct().join(hits, ["doc_id", "line"], "left_anti"), "line-rest")
+    rest = settle(pairs.where("more").select("a.*").distinct().join(hits, ["doc_id", "line", "thash"], "left_anti"), "line-rest")
     if rest.limit(1).count():
         filled = line_bits(rest)
-        wanted = rest.select(F.struct("doc_id", "line").alias("a"))
+        wanted = rest.select(F.struct("doc_id", "line", "thash").alias("a"))
         others = candidate_pairs(own, least, percent, rarity, postings, None, filled).join(wanted, "a", "left_semi").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         hits = hits.unionByName(matched(settle(others, "line-pairs")))
 
     # Occurrences: every line that matched, and of equal sets all but the earliest.
-    spot = F.struct("doc_id", "line")
+    spot = F.struct("doc_id", "line", "thash")
     first = every.groupBy("one", "two").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("one", "two", "first")
     copies = every.join(first, ["one", "two"]).where(spot != F.col("first")).select("doc_id", "thash", "line")
-    near = every.select("doc_id", "thash", "line").join(hits, ["doc_id", "line"], "left_semi")
+    near = every.select("doc_id", "thash", "line").join(hits, ["doc_id", "line", "thash"], "left_semi")
     return copies.unionByName(near).groupBy("doc_id", "thash").agg(F.collect_set("line").alias("lines"))
 
 
@@ -291,8 +292,9 @@ def line_bits(lines: DataFrame) -> bytes:
 
 def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", number_col: str | None = None) -> DataFrame:
     """``docs`` without the lines; ``number_col`` adds how many went. All other columns stay as they are."""
-    removed = settle(removed, "line-removed").select(F.col("doc_id").alias("__id"), F.col("thash").alias("__thash"), F.col("lines").alias("__lines"))
-    may = key_filter(removed, "__thash")
+    i, h, gone_lines, maybe = unused(docs, "id", "thash", "lines", "may", *([number_col] if number_col else []))[:4]
+    removed = settle(removed, "line-removed").select(F.col("doc_id").alias(i), F.col("thash").alias(h), F.col("lines").alias(gone_lines))
+    may = key_filter(removed, h)
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, lines: pd.Series) -> pd.Series:
@@ -306,14 +308,14 @@ def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     text, empty = F.col(text_col).cast("string"), F.lit(None).cast("array<int>")
-    marked = docs.withColumn("__may", text.isNotNull() & may(F.xxhash64(text)))
-    alone = marked.where(~F.col("__may")).withColumn("__lines", empty)
-    met = marked.where("__may").join(removed, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__thash")), "left").drop("__id", "__thash")
-    met = met.withColumn(text_col, F.when(F.col("__lines").isNull(), text).otherwise(rest(text, F.col("__lines"))))
+    marked = docs.withColumn(maybe, text.isNotNull() & may(F.xxhash64(text)))
+    alone = marked.where(~F.col(maybe)).withColumn(gone_lines, empty)
+    met = marked.where(F.col(maybe)).join(removed, (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(h)), "left").drop(i, h)
+    met = met.withColumn(text_col, F.when(F.col(gone_lines).isNull(), text).otherwise(rest(text, F.col(gone_lines))))
     out = alone.unionByName(met)
     if number_col:
-        out = out.withColumn(number_col, F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
-    return out.drop("__may", "__lines")
+        out = out.withColumn(number_col, F.coalesce(F.size(gone_lines), F.lit(0)).cast("long"))
+    return out.drop(maybe, gone_lines)
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

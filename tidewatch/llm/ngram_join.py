@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import setjoin
-from tidewatch.llm.common import counted, documents, key_filter, mix64
+from tidewatch.llm.common import counted, documents, key_filter, mix64, unused
 from tidewatch.llm.words import BASE, Words
 from tidewatch.session import settle
 
@@ -97,7 +97,11 @@ def links_and_profiles(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin
 
     inside = groups.join(crowded, "gid").join(groups.groupBy("gid").agg(F.min("node").alias("b")), "gid").select(F.col("node").alias("a"), "b").where("a <> b")
     # rows that repeat an id are one document
-    same = known.join(sets.select("one", "two", "node"), ["one", "two"]).groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b").select("a", "b")
+    placed_sets = known.join(sets.select("one", "two", "node"), ["one", "two"]).select("doc_id", "node")
+    several = settle(placed_sets.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("doc_id", "b"), "ngram-several")
+    same = several.select(F.col("b").alias("a"), "b").limit(0)
+    if several.limit(1).count():  # every text of the id is linked to the one with the least node
+        same = placed_sets.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     first = lists.groupBy("token").agg(F.min(F.struct("star", "gid", "n", "place")).alias("s")).select("token", "s.*")
     tried = settle(against(first).unionByName(inside).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "ngram-pairs")
     tried = settle(possible(tried), "ngram-possible")
@@ -147,15 +151,16 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = setjoin.PERCENT,
     Documents without words and rows with a null id all stay. Columns do not change.
     """
     placed, found = links_and_profiles(docs, k, percent, id_col, text_col)
-    gone = placed.where("n > 0").join(found, "node", "left").where("doc_id <> coalesce(component, node)").select(F.col("doc_id").alias("__id")).distinct()
+    i, number, maybe = unused(docs, "id", "first", "may")
+    gone = placed.where("n > 0").join(found, "node", "left").where("doc_id <> coalesce(component, node)").select(F.col("doc_id").alias(i)).distinct()
     gone = settle(gone, "ngram-gone")
-    repeated = settle(placed.where("n > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("m")).where("m > 1").select("__id"), "ngram-repeated").join(gone, "__id", "left_anti")
-    may = key_filter(gone.union(repeated), "__id")
-    marked = docs.withColumn("__may", F.coalesce(may(F.col(id_col).cast("long")), F.lit(False)))
-    alone, rest = marked.where(~F.col("__may")).drop("__may"), marked.where("__may").drop("__may")
-    own = F.col(id_col).cast("long") == F.col("__id")
+    repeated = settle(placed.where("n > 0").groupBy(F.col("doc_id").alias(i)).agg(F.count("*").alias("m")).where("m > 1").select(i), "ngram-repeated").join(gone, i, "left_anti")
+    may = key_filter(gone.union(repeated), i)
+    marked = docs.withColumn(maybe, F.coalesce(may(F.col(id_col).cast("long")), F.lit(False)))
+    alone, rest = marked.where(~F.col(maybe)).drop(maybe), marked.where(F.col(maybe)).drop(maybe)
+    own = F.col(id_col).cast("long") == F.col(i)
     kept = rest.join(gone, own, "left_anti")
     blank = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     twice = kept.join(repeated, own, "left_semi")
-    one = twice.where(~blank).withColumn("__first", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where("__first = 1").drop("__first")
+    one = twice.where(~blank).withColumn(number, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where(F.col(number) == 1).drop(number)
     return alone.unionByName(kept.join(repeated, own, "left_anti")).unionByName(twice.where(blank)).unionByName(one)

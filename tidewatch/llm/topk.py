@@ -7,7 +7,8 @@ by partition and merged over the blocks.
 
 Vectors that are null, or hold null, NaN or infinite components, take no part. Vectors may differ in length: what
 is missing counts as zero. Ties go to the smaller id. Rows that repeat an id are separate candidates; no row with the
-query's own id is a candidate, and repeated query ids give one list. Null ids take no part. Empty vectors score zero.
+query's own id is a candidate, and repeated query ids give one list, that of the least vector. Null ids take no part.
+Empty vectors score zero. Scores are exact; a component or a score that a 64-bit integer can't hold is an error.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """(vec_id, weights array<long>): floor(scale * x), without vectors that can't be searched."""
     x = F.col(vector_col).cast("array<double>")
     plain = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(plain).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale)).alias("weights"))
+    beyond = F.raise_error(F.lit(f"a component times {scale} is beyond 64-bit integers")).cast("long")
+    whole = F.transform(x, lambda v: F.when(F.abs(v * scale) < float(1 << 62), F.floor(v * scale)).otherwise(beyond))
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(plain).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("weights"))
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -70,7 +73,10 @@ def _unpack(ids: bytes, lengths: bytes, flat: bytes) -> tuple[np.ndarray, np.nda
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Scores (query, candidate), term by term over the postings of each term."""
-    scores = np.zeros((len(queries), len(candidates)), np.int64)
+    most = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    if most(queries) * most(candidates) * max(1, queries.shape[1]) >= 1 << 62:  # a sum may not fit: unbounded integers
+        queries, candidates = queries.astype(object), candidates.astype(object)
+    scores = np.zeros((len(queries), len(candidates)), queries.dtype)
     for term in range(min(queries.shape[1], candidates.shape[1])):
         posting = np.flatnonzero(candidates[:, term])
         rows = np.flatnonzero(queries[:, term])
@@ -98,7 +104,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, candidates_block: int
     """(query_id, rank, vec_id, score) from two tables (vec_id, weights)."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = settle(_blocks(queries.dropDuplicates(["vec_id"]), queries_block), "topk-queries").withColumnsRenamed({"ids": "q_ids", "lengths": "q_lengths", "flat": "q_flat", "block": "q_block"})
+    asked = settle(_blocks(queries.groupBy("vec_id").agg(F.min("weights").alias("weights")), queries_block), "topk-queries").withColumnsRenamed({"ids": "q_ids", "lengths": "q_lengths", "flat": "q_flat", "block": "q_block"})
     there = settle(_blocks(rows, candidates_block), "topk-rows")
     # Which query block meets which candidate block: by their numbers, then each meets its own data.
     q_numbers = [r.q_block for r in asked.select("q_block").collect()]
@@ -116,7 +122,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, candidates_block: int
                     for j, own in enumerate(q_ids[at : at + 64]):
                         places = best(scores[j], ids, int(own), k)
                         found.append((np.full(len(places), own), ids[places], scores[j][places]))
-                yield pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
+                if any(f[2].dtype == object and any(abs(v) >> 63 for v in f[2]) for f in found):
+                    raise OverflowError("a score is beyond 64-bit integers")
+                yield pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2].astype(np.int64) for f in found])})
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     found = met.select("q_ids", "q_lengths", "q_flat", "ids", "lengths", "flat").mapInPandas(search, "query_id long, vec_id long, score long")
