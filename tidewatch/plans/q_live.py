@@ -116,12 +116,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_assign_evaluate", ORACLES["evaluate_multi_slot"])
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """The monitor over the month's files in three starts, then a sweep: the same decisions as judging all of them at once."""
+    """The monitor over the month's files in two starts, then all deliveries again: the same decisions as judging all of them at once."""
     a = D.arrivals(spark, sf).withColumn("external_id", F.col("load_id"))
     inst = a.select("institution", F.lit(1).alias("tier")).distinct()
     at = folder(spark, "monitor")
-    for k in range(3):
-        a.filter(F.floor(F.dayofmonth("received_at") / 12) == k).write.mode("append").parquet(f"{at}/in")
+    half = F.col("received_at") < F.lit(datetime(2024, 1, 16, tzinfo=UTC))
+    for part in (a.filter(half), a.filter(~half)):
+        part.write.mode("append").parquet(f"{at}/in")
         monitor = Monitor(spark, f"{at}/out", A.contracts(spark, sf), A.cal(spark, sf), inst)
         build_monitor_stream(monitor, read_load_stream(spark, f"{at}/in", max_files=10000), f"{at}/checkpoint").awaitTermination()
     monitor.judge_all(date(2024, 1, 1), date(2024, 1, 31), A.NOW)
