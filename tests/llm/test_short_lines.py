@@ -29,6 +29,18 @@ def test_lines_of_every_length(rows, few):
     assert got[1061] == [0, 1]
 
 
+@pytest.mark.parametrize("few", [16, 1])
+def test_split_lists(spark, few):
+    """One word in every line, as rare as the others: its list is split, and no link between its parts is lost."""
+    r = random.Random(5)
+    base = [" ".join(["common", *(r.choice("abcdefghijklmnop") * 2 for _ in range(r.randint(3, 9)))]) for _ in range(150)]
+    docs = [(k, "\n".join(r.choice(base) + r.choice(["", " zz", f" y{k}"]) for _ in range(3))) for k in range(200)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    want = brute.lines(docs, least=1)
+    for size in (5, 40):
+        assert {r.doc_id: sorted(r.lines) for r in line_dedup.removed_lines(rows, least=1, few=few, size=size).collect()} == want
+
+
 def test_query_and_pipeline_take_short_lines(spark, rows, tmp_path):
     import corpus_pipeline
 

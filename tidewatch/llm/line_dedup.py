@@ -7,7 +7,12 @@ whole sets decides. A line that is similar to an earlier line, by (id, number in
 on the input, not on what is left.
 
 Of equal sets all but the earliest go, without a comparison. The others need one similar earlier set each, so at most
-``FEW`` candidates of a shared word are verified first; lines that had more of them and no match meet all the rest.
+``FEW`` candidates of a shared word are verified first; the lists of words at which a line had more are stored beside the
+pairs, and lines without a match meet all the rest of them. The texts are read twice: once for keys and counts of words,
+once for postings.
+
+No word's list lies in one task: a word that occurs more than ``BLOCK`` times is split by the sets' keys. A split list is
+compared within its parts first; lines without a match are then sent to all parts, one part and one run of such lines at a time.
 
 Lines end at line feeds. Lines of fewer than ``least`` words stay and match nothing, as do lines of rows with a null id; with
 ``least`` 1, as the query and the pipeline have it, that holds for blank lines only. Sets so small that only equal ones are
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import setjoin
-from tidewatch.llm.common import BLOOM_BITS, BLOOM_PARTS, bits_hold, bits_set, counted, documents, either_bits, key_filter, map_arrow, mix64, partitions, unused
+from tidewatch.llm.common import BLOOM_BITS, BLOOM_PARTS, bits_hold, bits_set, documents, either_bits, key_filter, map_arrow, mix64, partitions, unused
 from tidewatch.llm.words import Words
 from tidewatch.session import settle
 
@@ -35,7 +40,7 @@ LEAST = 5  # words
 RARITY_BITS = 20
 FEW = 16
 BITMAP = 128  # bits
-FLUSH = 1_000_000  # postings a task holds
+FLUSH = 250_000  # postings a task holds
 BLOCK = 200_000  # postings of a block, about
 PAIRS = 500_000  # pairs compared at once
 
@@ -67,21 +72,22 @@ RECORD = np.dtype([("token", "<u8"), ("key", "<u8"), ("x", "<u8"), ("y", "<u8"),
 
 
 def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, seekers: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(postings in order, later, earlier, more): rows of sets that pass the filters at a token, and which later ones have more.
+    """(postings in order, later, earlier, full): rows of sets that pass the filters at a token, and the rows that have more.
 
-    Each later row takes its earliest ``few`` candidates of a token; None takes all. ``seekers`` is a bit set of the lines that
-    seek as later rows; the others are only found. A pair is met at the first token that
+    Each later row takes its earliest ``few`` candidates of a token; None takes all. ``seekers`` tells the rows that
+    seek as later ones; the others are only found. A pair is met at the first token that
     its sets share: nothing before it is common, so the rest of either set holds the whole intersection.
     """
-    # copies of a set that other tasks sent: the earliest stays
-    order = np.lexsort([postings[c] for c in ("hash", "line", "doc", "key", "token")])
+    wanted = np.ones(len(postings["token"]), bool) if seekers is None else seekers
+    # copies of a set that other tasks sent: the earliest stays, and of a row that comes twice the one that seeks
+    order = np.lexsort([~wanted, *(postings[c] for c in ("hash", "line", "doc", "key", "token"))])
     same = np.ones(len(order), bool)
     for c in ("token", "key"):
         same[1:] &= postings[c][order[1:]] == postings[c][order[:-1]]
     same[:1] = False
     order = order[~same]
     order = order[np.lexsort([postings[c][order] for c in ("hash", "line", "doc", "token")])]
-    postings = {c: v[order] for c, v in postings.items()}
+    postings, wanted = {c: v[order] for c, v in postings.items()}, wanted[order]
     token, n, x, y, doc, line, text = (postings[c] for c in ("token", "n", "x", "y", "doc", "line", "hash"))
     left = n - postings["p"]
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
@@ -91,10 +97,7 @@ def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, s
     found = np.zeros(len(token), np.int64)
     later, earlier = [], []
     at, step = 0, 64
-    seeks = rank > 0
-    if seekers is not None:
-        seeks &= bits_hold(seekers, _line_key(doc, line))
-    active = np.flatnonzero(seeks)
+    active = np.flatnonzero((rank > 0) & wanted)
     while len(active):
         width = np.minimum(rank[active] - at, step)
         ends = np.cumsum(width)
@@ -126,43 +129,84 @@ def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, s
         active = active[(rank[active] > at) & ((found[active] < few) if few is not None else True)]
     a = np.concatenate(later) if later else np.zeros(0, np.int64)
     b = np.concatenate(earlier) if earlier else np.zeros(0, np.int64)
-    more = found[a] >= few if few is not None else np.zeros(len(a), bool)
-    return postings, a, b, more
+    full = found >= few if few is not None else np.zeros(len(token), bool)
+    return postings, a, b, full
+
+
+def pack(rows: dict[str, np.ndarray] | np.ndarray, at: np.ndarray | slice = slice(None)) -> bytes:
+    """Postings column by column, which compresses better."""
+    return b"".join(np.ascontiguousarray(rows[name][at], RECORD[name]).tobytes() for name in RECORD.names)
+
+
+def unpack(held: list[bytes]) -> dict[str, np.ndarray]:
+    columns: dict[str, list[np.ndarray]] = {c: [] for c in RECORD.names}
+    for raw in held:
+        rows, at = len(raw) // RECORD.itemsize, 0
+        for name in RECORD.names:
+            columns[name].append(np.frombuffer(raw, RECORD[name], rows, at))
+            at += RECORD[name].itemsize * rows
+    return {c: np.concatenate(v) for c, v in columns.items()}
+
+
+PAIR = "ad long, al int, ah long, bd long, bl int, bh long, more boolean"
+
+
+def _pairs(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, more: np.ndarray, rest: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches of PAIR, and ``rest`` empty columns (token, postings) behind."""
+    names = ["ad", "al", "ah", "bd", "bl", "bh", "more", "token", "postings"]
+    for at in range(0, len(a), 100_000):
+        x, y = a[at : at + 100_000], b[at : at + 100_000]
+        columns = [pa.array(c) for c in (rows["doc"][x], rows["line"][x], rows["hash"][x], rows["doc"][y], rows["line"][y], rows["hash"][y], more[x])]
+        columns += [pa.nulls(len(x), t) for t in (pa.int64(), pa.binary())[:rest]]
+        yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
 
-def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray, postings: int, few: int | None = FEW, seekers: bytes | None = None) -> DataFrame:
-    """(a struct, b struct, more) of lines by (doc_id, line, thash), so that rows that share an id are told apart by their text; a is later. ``seekers`` bounds a to a bit set of lines.
+def _list(token: int | None, raw: bytes) -> pa.RecordBatch:
+    one = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())]
+    return pa.RecordBatch.from_arrays([*one, pa.array([token], pa.int64()), pa.array([raw], pa.binary())], ["ad", "al", "ah", "bd", "bl", "bh", "more", "token", "postings"])
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    node = lambda s: F.struct(F.col(f"{s}d").alias("doc_id"), F.col(f"{s}l").alias("line"), F.col(f"{s}h").alias("thash")).alias(s)
+    return pairs.groupBy("ad", "al", "ah", "bd", "bl", "bh").agg(F.max("more").alias("more")).select(node("a"), node("b"), "more")
+
+
+def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray, postings: int, few: int = FEW, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(pairs, lists). Pairs (a struct, b struct, more) of lines by (doc_id, line, thash), so that rows that share an id are told
+    apart by their text; a is later. Lists (token, postings) hold the words at which a line may have more partners: many
+    whole lists a row where token is null, else a part of the split list of that word.
 
     ``postings``, the words in all prefixes, gives the number of blocks, so that a block's size does not grow with the input.
     """
-    spark, n = own.sparkSession, max(partitions(own), postings // BLOCK + 1)
-    shared = spark.sparkContext.broadcast((rarity, seekers))
+    spark, n = own.sparkSession, max(partitions(own), postings // size + 1)
+    shared = spark.sparkContext.broadcast(rarity)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
 
         def out() -> pa.RecordBatch:
-            one, two, doc, line, records, size = (np.concatenate([h[k] for h in held]) for k in range(6))
-            first = np.concatenate([[0], np.cumsum(size)])
+            one, two, doc, line, records, length = (np.concatenate([h[k] for h in held]) for k in range(6))
+            held.clear()
             # of equal sets the earliest
             order = np.lexsort((line, doc, two, one))
             fresh = np.ones(len(order), bool)
             fresh[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
             keep = np.zeros(len(order), bool)
             keep[order[fresh]] = True
-            records = records[np.repeat(keep, size)]
-            block = ((records["token"] >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+            records = records[np.repeat(keep, length)]
+            parts = -(-shared.value[(records["token"] & np.uint64(len(shared.value) - 1)).astype(np.int64)] // size)
+            part = mix64(records["key"]) % np.maximum(parts, 1).astype(np.uint64)
+            block = (((records["token"] >> np.uint64(20)) + part) % np.uint64(n)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            cuts = np.searchsorted(block[order], np.arange(n + 1))
-            parts = [(k, order[x:y]) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
-            # column by column, which compresses better
-            packed = [b"".join(np.ascontiguousarray(records[name][i]).tobytes() for name in RECORD.names) for _, i in parts]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(packed, pa.binary())], ["block", "postings"])
+            cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+            ends = np.append(cuts[1:], len(order))[: len(cuts)]
+            packed = [pack(records, order[x:y]) for x, y in zip(cuts, ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(block[order[cuts]]), pa.array(packed, pa.binary())], ["block", "postings"])
 
         for b in batches:
             found = Lines(b.column(2), least)
-            sets = setjoin.OrderedSets(found.owner, found.token, found.n, shared.value[0], percent)
+            sets = setjoin.OrderedSets(found.owner, found.token, found.n, shared.value, percent)
             doc, text = (b.column(k).take(pa.array(found.doc)).to_numpy() for k in range(2))
             # a count of one means that no other line holds the token
             i = np.flatnonzero(sets.in_prefix & (sets.count > 1) & joins(sets.size, percent)[sets.owner])
@@ -175,22 +219,22 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
             count += len(i)
             if count > FLUSH:
                 yield out()
-                held, count = [], 0
+                count = 0
         if held:
             yield out()
 
     def answer(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        columns: dict[str, list[np.ndarray]] = {c: [] for c in RECORD.names}
-        for raw in held:
-            rows, at = len(raw) // RECORD.itemsize, 0
-            for name in RECORD.names:
-                columns[name].append(np.frombuffer(raw, RECORD[name], rows, at))
-                at += RECORD[name].itemsize * rows
-        bits = None if shared.value[1] is None else np.frombuffer(shared.value[1], np.uint8)
-        rows, a, b, more = candidates({c: np.concatenate(v) for c, v in columns.items()}, percent, few, bits)
-        for at in range(0, len(a), 100_000):
-            x, y = a[at : at + 100_000], b[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows["doc"][x], rows["line"][x], rows["hash"][x], rows["doc"][y], rows["line"][y], rows["hash"][y], more[at : at + 100_000])], ["ad", "al", "ah", "bd", "bl", "bh", "more"])
+        rows, a, b, full = candidates(unpack(held), percent, few)
+        token = rows["token"]
+        split = shared.value[(token & np.uint64(len(shared.value) - 1)).astype(np.int64)] > size
+        yield from _pairs(rows, a, b, full | split, 2)
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        length = np.diff(np.concatenate([starts, [len(token)]]))
+        whole = np.repeat(np.add.reduceat(full & ~split, starts) > 0, length) if len(starts) else np.zeros(0, bool)
+        if whole.any():
+            yield _list(None, pack(rows, whole))
+        for at, count in zip(starts[split[starts]].tolist(), length[split[starts]].tolist(), strict=True):
+            yield _list(int(token[at : at + 1].view(np.int64)[0]), pack(rows, slice(at, at + count)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sorted by block: one block is held at a time
@@ -206,30 +250,117 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
         if held:
             yield from answer(held)
 
-    dealt = map_arrow(own, send, "block int, postings binary").repartition(partitions(own), "block").sortWithinPartitions("block")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
-    found = dealt.mapInArrow(meet, "ad long, al int, ah long, bd long, bl int, bh long, more boolean")
-    node = lambda s: F.struct(F.col(f"{s}d").alias("doc_id"), F.col(f"{s}l").alias("line"), F.col(f"{s}h").alias("thash")).alias(s)
-    return found.groupBy("ad", "al", "ah", "bd", "bl", "bh").agg(F.max("more").alias("more")).select(node("a"), node("b"), "more")
+    dealt = map_arrow(own, send, "block long, postings binary").repartition(partitions(own), "block").sortWithinPartitions("block")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    found = settle(dealt.mapInArrow(meet, f"{PAIR}, token long, postings binary"), "line-met")
+    return _nodes(found.where("postings is null")), found.where("postings is not null").select("token", "postings")
+
+
+def further_pairs(lists: DataFrame, rest: DataFrame, split_more: DataFrame, percent: int, size: int = BLOCK) -> DataFrame:
+    """All pairs (a, b, more) of the stored lists whose a is one of the lines ``rest`` (or, rarely, another line), which seek.
+
+    ``split_more`` (doc_id, line, thash) holds the lines that seek in split lists.
+    """
+    spark = lists.sparkSession
+    shared = spark.sparkContext.broadcast((line_bits(rest), line_bits(split_more)))
+
+    def seeking(rows: dict[str, np.ndarray], which: int) -> np.ndarray:
+        return bits_hold(np.frombuffer(shared.value[which], np.uint8), _line_key(rows["doc"], rows["line"]))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(1):
+                rows = unpack([raw.as_py()])
+                seeks = seeking(rows, 0)
+                some = np.isin(rows["token"], rows["token"][seeks])
+                if some.any():
+                    rows, a, b, full = candidates({c: v[some] for c, v in rows.items()}, percent, None, seeks[some])
+                    yield from _pairs(rows, a, b, full)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for token, raw, total in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                rows, cells = unpack([raw.as_py()]), -(-total // (size * RECORD.itemsize))
+                cell = (mix64(rows["key"]) % np.uint64(cells)).astype(np.int64)
+                seeks = seeking(rows, 1)
+                asked = pack(rows, seeks)
+                for k in range(cells):
+                    mine = [(0, pack(rows, cell == k))] + ([(1, asked)] if asked else [])
+                    yield pa.RecordBatch.from_arrays([pa.array([token] * len(mine), pa.int64()), pa.array([k] * len(mine), pa.int64()), pa.array([m[0] for m in mine], pa.int32()), pa.array([m[1] for m in mine], pa.binary())], ["token", "cell", "kind", "postings"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sorted by cell and kind: one part of a list is held, and one run of seeking lines
+        part: list[bytes] = []
+        now = None
+        for batch in batches:
+            for token, cell, kind, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (token, cell) != now:
+                    part, now = [], (token, cell)
+                if kind == 0:
+                    part.append(raw)
+                    continue
+                rows = unpack([*part, raw])
+                seeks = np.zeros(len(rows["token"]), bool)
+                seeks[len(seeks) - len(raw) // RECORD.itemsize :] = True
+                rows, a, b, full = candidates(rows, percent, None, seeks)
+                yield from _pairs(rows, a, b, full)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    few = lists.where("token is null").mapInArrow(whole, PAIR)
+    split = lists.where("token is not null")
+    totals = split.groupBy("token").agg(F.sum(F.length("postings")).alias("total"))
+    cells = split.join(totals, "token").select("token", "postings", "total").mapInArrow(deal, "token long, cell long, kind int, postings binary")
+    met = cells.repartition(partitions(lists), "token", "cell").sortWithinPartitions("token", "cell", "kind").mapInArrow(meet, PAIR)
+    return _nodes(few.unionByName(met))
 
 
 def _line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix64(doc.astype(np.uint64)) + line.astype(np.uint64)
 
 
-def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PERCENT, few: int = FEW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, thash, lines): numbers, from 0, of the lines to remove from the text with that xxhash64."""
-    own = documents(docs, id_col, text_col).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("thash"), "text")
-    rarity = counted(own, lambda b: Lines(b.column(2), least).token, RARITY_BITS)
+def keys_and_counts(own: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, thash, line, one, two, n) of all lines, stored, and how often each word occurs, by its hash: one pass over the texts.
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The counts are a table of fixed size; a task's counts are rows beside its keys, and summed by part.
+    """
+    slots, parts = 1 << RARITY_BITS, 16
+    names = ["doc_id", "thash", "line", "one", "two", "n", "part", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int32)
         for b in batches:
             found = Lines(b.column(2), least)
+            np.add.at(total, (found.token & np.uint64(slots - 1)).astype(np.int64), 1)
             sets = setjoin.OrderedSets(found.owner, found.token, found.n, None)
             take = pa.array(found.doc)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(found.line), *(pa.array(x.view(np.int64)) for x in sets.keys), pa.array(sets.size)], ["doc_id", "thash", "line", "one", "two", "n"])
+            columns = [b.column(0).take(take), b.column(1).take(take), pa.array(found.line), *(pa.array(x.view(np.int64)) for x in sets.keys), pa.array(sets.size)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(found.n, t) for t in kinds[6:])], names)
+        # byte by byte, which compresses better
+        planes = [np.ascontiguousarray(p.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for p in total.reshape(parts, -1)]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(parts, t) for t in kinds[:6]), pa.array(range(parts), pa.int32()), pa.array(planes, pa.binary())], names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, planes in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                now = np.ascontiguousarray(np.frombuffer(planes.as_py(), np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+                out[part] = out.get(part, np.zeros(len(now), np.int64)) + now
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in out.values()], pa.binary())], ["part", "counts"])
 
-    every = settle(map_arrow(own, keys, "doc_id long, thash long, line int, one long, two long, n long"), "line-keys")
+    found = settle(map_arrow(own, read, "doc_id long, thash long, line int, one long, two long, n long, part int, counts binary"), "line-keys")
+    counts = np.zeros((parts, slots // parts), np.int64)
+    own.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    for r in found.where("part is not null").select("part", "counts").repartition(parts, "part").mapInArrow(add, "part int, counts binary").collect():
+        counts[r.part] += np.frombuffer(bytes(r.counts), "<i8")
+    return found.where("part is null").select(*names[:6]), counts.reshape(-1)
+
+
+def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PERCENT, few: int = FEW, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
+    """(doc_id, thash, lines): numbers, from 0, of the lines to remove from the text with that xxhash64."""
+    own = documents(docs, id_col, text_col).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("thash"), "text")
+    every, rarity = keys_and_counts(own, least)
     postings = every.where(joins(F.col("n"), percent)).agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
 
     def matched(pairs: DataFrame) -> DataFrame:
@@ -255,21 +386,22 @@ def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PE
         similar = setjoin.verified(pairs, settle(texts.distinct(), "line-texts"), _line_sets, percent)
         return similar.select("a.*").distinct()
 
-    pairs = settle(candidate_pairs(own, least, percent, rarity, postings, few), "line-pairs")
+    pairs, lists = candidate_pairs(own, least, percent, rarity, postings, few, size)
+    pairs = settle(pairs, "line-pairs")
     hits = settle(matched(pairs), "line-matched")
     rest = settle(pairs.where("more").select("a.*").distinct().join(hits, ["doc_id", "line", "thash"], "left_anti"), "line-rest")
-    if rest.limit(1).count():
-        filled = line_bits(rest)
-        wanted = rest.select(F.struct("doc_id", "line", "thash").alias("a"))
-        others = candidate_pairs(own, least, percent, rarity, postings, None, filled).join(wanted, "a", "left_semi").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    # in split lists every line without a match seeks, whether it met a partner in its own part or not
+    split = every.where(joins(F.col("n"), percent)).select("doc_id", "line", "thash").distinct().join(hits, ["doc_id", "line", "thash"], "left_anti") if lists.where("token is not null").limit(1).count() else rest.limit(0)
+    if not lists.isEmpty():
+        done = hits.select(F.struct("doc_id", "line", "thash").alias("a"))
+        others = further_pairs(lists, rest, split, percent, size).select("a", "b").join(done, "a", "left_anti").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         hits = hits.unionByName(matched(settle(others, "line-pairs")))
 
-    # Occurrences: every line that matched, and of equal sets all but the earliest.
-    spot = F.struct("doc_id", "line", "thash")
-    first = every.groupBy("one", "two").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("one", "two", "first")
-    copies = every.join(first, ["one", "two"]).where(spot != F.col("first")).select("doc_id", "thash", "line")
-    near = every.select("doc_id", "thash", "line").join(hits, ["doc_id", "line", "thash"], "left_semi")
-    return copies.unionByName(near).groupBy("doc_id", "thash").agg(F.collect_set("line").alias("lines"))
+    # Every line that matched, and of equal sets all but the earliest. Lines are told apart by place, so no set is a hot key.
+    place = ["doc_id", "line", "thash"]
+    first = every.groupBy("one", "two").agg(F.min(F.struct(*place)).alias("first")).select("first.*")
+    copies = every.select("doc_id", "thash", "line").join(first, place, "left_anti")
+    return copies.unionByName(hits.select("doc_id", "thash", "line")).groupBy("doc_id", "thash").agg(F.collect_set("line").alias("lines"))
 
 
 def _line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
