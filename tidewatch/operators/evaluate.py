@@ -23,7 +23,11 @@ KEY = ["institution", "slot_key", "business_date"]
 
 
 def attach_spec(occ: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Adds the rules in force on the business date: quality, learning, limits and watches."""
+    """Adds the rules in force on the business date: quality, learning, limits and watches.
+
+    A delivery that no version covers (a file that a later version's window pulled before its first day) stays, without
+    rules: no watches or limits, and null quality and learning.
+    """
     c = contract_validity(contracts).select(
         "institution",
         F.col("version").alias("contract_version"),
@@ -40,7 +44,8 @@ def attach_spec(occ: DataFrame, contracts: DataFrame) -> DataFrame:
         & (on >= F.col("c.valid_from"))
         & (F.col("c.valid_to").isNull() | (on < F.col("c.valid_to")))
     )
-    return occ.alias("o").join(c.alias("c"), cond).select("o.*", "c.contract_version", "c.quality", "c.learning", "c.limits", "c.watches")
+    rules = [F.coalesce(f"c.{x}", F.array().cast(c.schema[x].dataType)).alias(x) for x in ("limits", "watches")]
+    return occ.alias("o").join(c.alias("c"), cond, "left").select("o.*", "c.contract_version", "c.quality", "c.learning", *rules)
 
 
 def learn(occ: DataFrame, labels: DataFrame | None, depth: int = fixed.HISTORY_DAYS) -> DataFrame:

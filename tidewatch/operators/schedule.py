@@ -117,4 +117,6 @@ def expand_schedule(contracts: DataFrame, cal: DataFrame, start: date, end: date
     dim = broadcast_within(
         cal.select("calendar", F.col("day").alias("business_date"), "month_phase", "iso_weekday"), MAX_CALENDAR_ROWS
     )
-    return out.join(codes, ["institution", *keep]).join(dim, ["calendar", "business_date"])
+    out = out.join(codes, ["institution", *keep]).join(dim, ["calendar", "business_date"], "left")
+    gap = F.concat(F.lit("the calendar does not cover "), F.coalesce("calendar", F.lit("null")), F.lit(" on "), F.col("business_date").cast("string"))
+    return out.withColumn("month_phase", F.when(F.col("iso_weekday").isNull(), F.raise_error(gap).cast("string")).otherwise(F.col("month_phase")))

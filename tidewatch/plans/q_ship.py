@@ -216,10 +216,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "recent_level",
-    f"WITH RECURSIVE {S.SHIP_BASELINE} SELECT institution, bd AS business_date, metric, round(ln(1 + level), 6) AS level_log FROM bl WHERE metric = 'avg_amount'",
+    f"WITH RECURSIVE {S.SHIP_BASELINE} SELECT institution, bd AS business_date, metric, round(ln(1 + level), 6) AS level_log FROM bl",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return baselines(spark, sf).filter("metric = 'avg_amount'").select(*OCC, "metric", r6(F.log1p("level"), "level_log"))
+    return baselines(spark, sf).select(*OCC, "metric", r6(F.log1p("level"), "level_log"))
 
 
 @query(
