@@ -11,8 +11,10 @@ Of equal sets all but the earliest go, without a comparison. The others need one
 pairs, and lines without a match meet all the rest of them. The texts are read twice: once for keys and counts of words,
 once for postings.
 
-No word's list lies in one task: a word that occurs more than ``BLOCK`` times is split by the sets' keys. A split list is
-compared within its parts first; lines without a match are then sent to all parts, one part and one run of such lines at a time.
+No word's list lies in one task: a word that is in the prefixes of more than ``BLOCK`` lines is split by the sets' keys. How many
+those are is estimated from documents chosen by a hash (one in 32, so that a list of ``BLOCK`` shows ``SHOWN`` lines); the estimate
+decides where rows lie, never which rows meet. A split list is compared within its parts first; its lines without a match are
+then sent to all parts, one part and one run of such lines at a time.
 
 Lines end at line feeds. Lines of fewer than ``least`` words stay and match nothing, as do lines of rows with a null id; with
 ``least`` 1, as the query and the pipeline have it, that holds for blank lines only. Sets so small that only equal ones are
@@ -42,6 +44,7 @@ FEW = 16
 BITMAP = 128  # bits
 FLUSH = 250_000  # postings a task holds
 BLOCK = 200_000  # postings of a block, about
+SHOWN = 6_250  # postings by which the length of a list that needs a split is estimated
 PAIRS = 500_000  # pairs compared at once
 
 
@@ -171,6 +174,29 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("ad", "al", "ah", "bd", "bl", "bh").agg(F.max("more").alias("more")).select(node("a"), node("b"), "more")
 
 
+def list_parts(own: DataFrame, least: int, percent: int, rarity: np.ndarray, size: int) -> np.ndarray:
+    """Into how many parts the list of each slot of ``rarity`` is split, by its words in the prefixes of a share of the documents."""
+    share, slots = max(1, size // SHOWN), len(rarity)
+    shared = own.sparkSession.sparkContext.broadcast(rarity)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int32)
+        for b in batches:
+            found = Lines(b.column(2), least)
+            sets = setjoin.OrderedSets(found.owner, found.token, found.n, shared.value, percent)
+            there = sets.in_prefix & joins(sets.size, percent)[sets.owner]
+            np.add.at(total, (sets.token[there] & np.uint64(slots - 1)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some], pa.int64())], ["slot", "n"])
+
+    rows = own.where(F.pmod(F.xxhash64("thash", "doc_id"), F.lit(share)) == 0)
+    long = map_arrow(rows, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") * share > size).collect()
+    parts = np.ones(slots, np.int32)
+    for r in long:  # of fixed size: one number a slot at most
+        parts[r.slot] = -(-r.n * share // size)
+    return parts
+
+
 def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray, postings: int, few: int = FEW, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(pairs, lists). Pairs (a struct, b struct, more) of lines by (doc_id, line, thash), so that rows that share an id are told
     apart by their text; a is later. Lists (token, postings) hold the words at which a line may have more partners: many
@@ -180,6 +206,10 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
     """
     spark, n = own.sparkSession, max(partitions(own), postings // size + 1)
     shared = spark.sparkContext.broadcast(rarity)
+    dealt_in = spark.sparkContext.broadcast(list_parts(own, least, percent, rarity, size))
+
+    def parts_of(token: np.ndarray) -> np.ndarray:
+        return dealt_in.value[(token & np.uint64(len(dealt_in.value) - 1)).astype(np.int64)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -195,8 +225,7 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
             keep = np.zeros(len(order), bool)
             keep[order[fresh]] = True
             records = records[np.repeat(keep, length)]
-            parts = -(-shared.value[(records["token"] & np.uint64(len(shared.value) - 1)).astype(np.int64)] // size)
-            part = mix64(records["key"]) % np.maximum(parts, 1).astype(np.uint64)
+            part = mix64(records["key"]) % parts_of(records["token"]).astype(np.uint64)
             block = (((records["token"] >> np.uint64(20)) + part) % np.uint64(n)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
@@ -226,7 +255,7 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
     def answer(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows, a, b, full = candidates(unpack(held), percent, few)
         token = rows["token"]
-        split = shared.value[(token & np.uint64(len(shared.value) - 1)).astype(np.int64)] > size
+        split = parts_of(token) > 1
         yield from _pairs(rows, a, b, full | split, 2)
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         length = np.diff(np.concatenate([starts, [len(token)]]))
@@ -256,6 +285,19 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
     return _nodes(found.where("postings is null")), found.where("postings is not null").select("token", "postings")
 
 
+def list_members(lists: DataFrame) -> DataFrame:
+    """(doc_id, line, thash) of the lines in stored lists; rows may repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                rows = unpack([raw.as_py()])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c]) for c in ("doc", "line", "hash")], ["doc_id", "line", "thash"])
+
+    lists.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    return lists.select("postings").mapInArrow(run, "doc_id long, line int, thash long")
+
+
 def further_pairs(lists: DataFrame, rest: DataFrame, split_more: DataFrame, percent: int, size: int = BLOCK) -> DataFrame:
     """All pairs (a, b, more) of the stored lists whose a is one of the lines ``rest`` (or, rarely, another line), which seek.
 
@@ -391,7 +433,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PE
     hits = settle(matched(pairs), "line-matched")
     rest = settle(pairs.where("more").select("a.*").distinct().join(hits, ["doc_id", "line", "thash"], "left_anti"), "line-rest")
     # in split lists every line without a match seeks, whether it met a partner in its own part or not
-    split = every.where(joins(F.col("n"), percent)).select("doc_id", "line", "thash").distinct().join(hits, ["doc_id", "line", "thash"], "left_anti") if lists.where("token is not null").limit(1).count() else rest.limit(0)
+    split = settle(list_members(lists.where("token is not null")).distinct().join(hits, ["doc_id", "line", "thash"], "left_anti"), "line-split")
     if not lists.isEmpty():
         done = hits.select(F.struct("doc_id", "line", "thash").alias("a"))
         others = further_pairs(lists, rest, split, percent, size).select("a", "b").join(done, "a", "left_anti").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
