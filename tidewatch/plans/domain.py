@@ -17,12 +17,14 @@ from pyspark.sql import Window as W
 
 from tidewatch import fixed, schemas
 from tidewatch.operators.calendar import calendar_dim
+from tidewatch.session import broadcast_within
 from tidewatch.sources.holidays import build_holidays, fixed_holidays, movable_holidays
 from tidewatch.sources.records import summarize_records
 
 FIRST_DAY, START, END = date(1995, 1, 1), date(1995, 3, 1), date(2001, 11, 12)
 NOW = datetime(2001, 12, 1, 12, 0, tzinfo=UTC)
 SHIP_SLOT = "twice"
+MAX_SENDER_ROWS = 1_000_000  # suppliers with their nations (two short columns) that still travel to every executor
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,7 +61,10 @@ def next_delivery_day(day: Column) -> Column:
 
 
 def ship_records(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per debt record with sender, delivery day, file part, amount and customer."""
+    """One row per debt record with sender, delivery day, file part, amount and customer.
+
+    Line items travel once, to their orders; nations are joined last, so that their names do not travel.
+    """
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
@@ -71,9 +76,10 @@ def ship_records(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(price)
     )
     return (
-        li.join(s, li.l_suppkey == s.s_suppkey)
-        .join(n, F.col("s_nationkey") == n.n_nationkey)
+        li.join(broadcast_within(s, MAX_SENDER_ROWS), li.l_suppkey == s.s_suppkey)
+        .drop("l_suppkey", "s_suppkey")
         .join(o, li.l_orderkey == o.o_orderkey)
+        .join(n, F.col("s_nationkey") == n.n_nationkey)
         .select(
             F.col("n_nationkey").alias("nk"),
             F.col("n_name").alias("institution"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def _joined(*values: Column) -> Column:
@@ -24,12 +25,31 @@ def summarize_records(
 
     A first pass groups by (file, customer, record key): a file that holds a third of all records is
     spread over every task there, and the later passes combine partial sums. Distinct customers and
-    distinct record keys are counted on the smaller rows.
+    distinct record keys are counted on the smaller rows. Where the customer is the record key, few records
+    share a group and the records themselves are shorter than partial sums: they travel once, to their (file,
+    customer), where one of each is marked; files are then summed and their marks counted on the map side.
     """
     amt = F.col(amount).cast("decimal(20,2)")
     text = _joined(*[F.col(c) for c in [customer, *record_key]], amt)
     digest = F.md5((F.col(row_hash) if row_hash else text).cast("binary"))
     half = lambda start: F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)")
+    if record_key == [customer]:
+        group = list(dict.fromkeys([*keys, customer]))
+        same = W.partitionBy(*group).orderBy(customer)
+        short = records.select(*list(dict.fromkeys([*group, amount, *([row_hash] if row_hash else [])])))
+        marked = short.repartition(*group).withColumn("_first", F.row_number().over(same) == 1).withColumns({"_amt": amt, "_h1": half(1), "_h2": half(17)})
+        files = marked.groupBy(*keys).agg(
+            F.count("*").alias("record_count"),
+            F.sum("_amt").cast("decimal(20,2)").alias("total_amount"),
+            F.count_if(F.col("_first") & F.col(customer).isNotNull()).alias("customer_count"),
+            F.count_if(F.col("_amt") == 0).alias("zero_amount_count"),
+            F.count_if(F.col("_amt") < 0).alias("negative_amount_count"),
+            F.max("_amt").cast("decimal(20,2)").alias("max_amount"),
+            F.sum("_h1").alias("_h1"),
+            F.sum("_h2").alias("_h2"),
+            F.count_if("_first").alias("_distinct"),
+        )
+        return _described(files, keys)
     rec = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(record_key)])
     pre = (
         records.withColumns({"_amt": amt, "_rec": rec, "_h1": half(1), "_h2": half(17)})
@@ -66,6 +86,10 @@ def summarize_records(
         files = pre.groupBy(*keys).agg(
             *[c.alias(n) for n, c in sums.items()], F.count_distinct("_cust").alias("customer_count"), F.count_distinct("_rec").alias("_distinct")
         )
+    return _described(files, keys)
+
+
+def _described(files: DataFrame, keys: list[str]) -> DataFrame:
     digest_all = F.concat_ws("|", F.col("record_count").cast("string"), F.col("_h1").cast("string"), F.col("_h2").cast("string"))
     return files.select(
         *keys,
