@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from tidewatch import fixed
 from tidewatch.functions.scalar import demote, lookup, money, num, priority, severity_name, severity_rank
 from tidewatch.operators.evaluate import KEY
-from tidewatch.session import settle
+from tidewatch.session import settle, spread
 
 CASE = [*KEY, "category"]
 WHOLE_DELIVERY = ["UNIT_SCALE_SUSPECT", "DUPLICATE_FILE", "NEGATIVE_AMOUNTS", "STALE_DATA", "LATE_DELIVERY"]
@@ -190,8 +190,10 @@ def apply_verdicts(incidents: DataFrame, verdicts: DataFrame) -> tuple[DataFrame
     """(incidents after the verdicts, labels for learning, refused verdicts).
 
     ``verdicts``: incident_id, actor, resolution, note, at. A verdict on a systemic parent closes its
-    open children with the same resolution.
+    open children with the same resolution. Incidents without a parent are dealt by their ids in the join
+    with parents, as all nulls would meet in one task, and no small shuffles are merged before they are sorted.
     """
+    incidents = spread(incidents, "incident_id")
     v = verdicts.join(incidents.select("incident_id", "status", "kind"), "incident_id", "left")
     noted = F.length(F.trim(F.coalesce("note", F.lit("")))) > 0
     problem = (
@@ -212,7 +214,12 @@ def apply_verdicts(incidents: DataFrame, verdicts: DataFrame) -> tuple[DataFrame
     parents = one.filter("kind = 'SYSTEMIC'").select(
         F.col("incident_id").alias("parent_id"), F.col("resolution").alias("p_res"), F.col("actor").alias("p_by"), F.col("at").alias("p_at")
     )
-    joined = incidents.join(own, "incident_id", "left").join(parents, "parent_id", "left")
+    place = lambda key: F.xxhash64(key.cast("string"))
+    joined = (
+        incidents.join(own, "incident_id", "left")
+        .withColumn("_place", place(F.coalesce("parent_id", "incident_id")))
+        .join(parents.withColumn("_place", place(F.col("parent_id"))), ["parent_id", "_place"], "left")
+    )
     live = F.col("status") != "RESOLVED"
     res = F.when(live, F.coalesce("v_res", "p_res"))
     out = joined.withColumn("_res", res).withColumns(
