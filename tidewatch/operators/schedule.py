@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch import fixed
 from tidewatch.functions.scalar import local_to_utc
 from tidewatch.operators.calendar import MAX_CALENDAR_ROWS
-from tidewatch.session import broadcast_within
+from tidewatch.session import broadcast_within, spread
 
 PAD = timedelta(days=fixed.SHIFT_PAD_DAYS)
 DAILY = ["BUSINESS_DAYS", "EVERY_DAY"]
@@ -71,8 +71,11 @@ def expand_schedule(contracts: DataFrame, cal: DataFrame, start: date, end: date
 
     ``contracts`` may carry valid_from / valid_to (see ``contract_validity``); a version then yields
     only dates inside its validity, widened by ``spill_days`` (days before, days after) for matching.
+
+    Contracts are few bytes that grow into many days, so they are dealt to all tasks by institution first; the
+    days of a slot then stay together, and collapsing them needs no further shuffle.
     """
-    shifted = shift_holidays(nominal_dates(contracts, cal, start, end)).filter(
+    shifted = shift_holidays(nominal_dates(spread(contracts, "institution"), cal, start, end)).filter(
         F.col("business_date").between(F.lit(start), F.lit(end))
     )
     if "valid_from" in contracts.columns:
