@@ -1,8 +1,43 @@
-"""Gradient-boosted trees for small bounded tables: logistic loss, depth-limited trees, thresholds at quantiles."""
+"""Gradient-boosted trees: logistic loss, depth-limited trees, thresholds at quantiles.
+
+``fit`` takes small bounded tables, ``fit_blocks`` rows of any number that lie with the tasks.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
+from pyspark import RDD
+
+UNIT = 1 << 20  # gradients are summed as whole numbers of this part, so that sums don't depend on their order
+
+# Rows of a distributed fit: (bin of each feature, label, how often the row occurs).
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def leaves(bins: np.ndarray, feature: np.ndarray, bound: np.ndarray, levels: int) -> np.ndarray:
+    """The node each row reaches after so many levels; rows of bins up to a node's bound go left."""
+    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    for _ in range(levels):
+        node = np.where(bins[rows, feature[node]] <= bound[node], 2 * node + 1, 2 * node + 2)
+    return node
+
+
+def histogram(block: Block, trees: list, base: float, feature: np.ndarray, bound: np.ndarray, level: int, size: int) -> np.ndarray:
+    """Gradients and weights by (node of the level, feature, bin), as whole numbers of 1 / UNIT."""
+    bins, y, n = block
+    score = np.full(len(y), base)
+    for f, b, value in trees:
+        score += value[leaves(bins, f, b, len(value).bit_length() - 1) - len(f)]
+    p = 1 / (1 + np.exp(-score))
+    node = leaves(bins, feature, bound, level) - (2**level - 1)
+    out = np.zeros((2, 2**level, bins.shape[1], size), np.int64)
+    for k, v in enumerate((y - p, p * (1 - p))):
+        whole = np.rint(v * UNIT) * n
+        for j in range(bins.shape[1]):
+            out[k, :, j] = np.bincount(node * size + bins[:, j], whole, minlength=2**level * size).reshape(-1, size).astype(np.int64)
+    return out
 
 
 class BoostedTrees:
@@ -47,6 +82,35 @@ class BoostedTrees:
             score = score + value[leaf]
         return self
 
+    def fit_blocks(self, blocks: RDD, cuts: list[np.ndarray]) -> BoostedTrees:
+        """The fit of ``fit`` on blocks of binned rows (bin i: above i of the feature's cuts); the driver sees histograms only."""
+        ones, total = blocks.map(lambda b: np.array([b[2] @ b[1], b[2].sum()], float)).treeReduce(np.add)
+        share = np.clip(ones / total, 1e-3, 1 - 1e-3)
+        self.base = float(np.log(share / (1 - share)))
+        size = max(map(len, cuts)) + 1
+        real = np.array([[i < len(c) for i in range(size)] for c in cuts])  # the bins that end at a cut
+        inner, binned = 2**self.depth - 1, []
+        for _ in range(self.rounds):
+            feature, bound, threshold = np.zeros(inner, np.int64), np.full(inner, size), np.full(inner, np.inf)
+            value = np.zeros(inner + 1)
+            for level in range(self.depth):
+                whole = blocks.map(partial(histogram, trees=binned, base=self.base, feature=feature, bound=bound, level=level, size=size)).treeReduce(np.add)
+                for at, (g_bins, h_bins) in enumerate(zip(*(whole / UNIT), strict=True)):
+                    k, g, h = 2**level - 1 + at, g_bins[0].sum(), h_bins[0].sum()
+                    gl, hl = g_bins.cumsum(1), h_bins.cumsum(1)
+                    gain = np.where(real, gl**2 / (hl + self.least) + (g - gl) ** 2 / (h - hl + self.least) - g**2 / (h + self.least), -np.inf)
+                    j, i = np.unravel_index(int(np.argmax(gain)), gain.shape)
+                    left = (g, h)
+                    if gain[j, i] > 1e-9:
+                        feature[k], bound[k], threshold[k] = j, i, cuts[j][i]
+                        left = (gl[j, i], hl[j, i])
+                    if level == self.depth - 1:
+                        for side, (a, b) in enumerate((left, (g - left[0], h - left[1]))):
+                            value[2 * k + 1 + side - inner] = self.rate * a / (b + self.least)
+            binned.append((feature, bound, value))
+            self.trees.append((feature, threshold, value))
+        return self
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log odds of each row."""
         out = np.full(len(x), self.base)

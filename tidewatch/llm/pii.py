@@ -5,7 +5,7 @@ spans: spelled-out addresses and groups of digits in other formats. Boosted tree
 context; a proposal is taken if its kind's calibrated threshold is met and no base span overlaps it; of proposals that
 overlap, the best one stays.
 
-The trees are trained here on a sample of at most about ``SAMPLE`` documents, chosen by a hash of their ids: proposals
+The trees are trained here on all documents: proposals
 that a rule confirms are positive, the others negative; confirmed spans rewritten in other formats are more
 positives; their digits as plain numbers, dates or cards with a changed digit are more negatives. Thresholds are set on the documents not used for training so that
 ``PRECISION`` is kept; a kind for which that is impossible adds nothing.
@@ -23,6 +23,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,8 @@ from tidewatch.llm.common import documents, map_arrow
 from tidewatch.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000  # documents
-CANDIDATES = 50_000  # training rows brought to the driver, at most about so many
 PRECISION = 0.98
+GRID, GRID_END = 256, 16  # thresholds lie on a grid of log odds: so many steps a unit, from -16 to 16
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -185,10 +185,27 @@ class SpanModel:
         return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> SpanModel:
+def _steps(scores: np.ndarray) -> np.ndarray:
+    """The step of the grid of log odds that each score lies on."""
+    return np.clip(np.floor((scores + GRID_END) * GRID), 0, 2 * GRID_END * GRID - 1).astype(np.int64)
+
+
+def _counted(rows: Iterator, cuts: list[np.ndarray]) -> Iterator[tuple]:
+    """One block of a task's vectors: bins, label, count."""
+    x, y, n = [], [], []
+    for r in rows:
+        x.append(r.x)
+        y.append(r.label)
+        n.append(r.n)
+    if x:
+        whole = np.array(x)
+        bins = np.column_stack([np.searchsorted(c, whole[:, j], "left") for j, c in enumerate(cuts)]).astype(np.uint8)
+        yield bins, np.array(y), np.array(n, float)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SpanModel:
+    """Trees and thresholds from every row of training: equal rows are counted, and tasks add up histograms of them."""
     own = documents(docs, id_col, text_col)
-    share = 1 << 20
-    bound = -(-share * sample // max(own.count(), 1))
     schema = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("label", pa.float64()), ("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,26 +213,40 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
             rows = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in training_rows(t or "")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema.types, strict=True)], schema=schema)
 
-    picked = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < bound)
-    rows = settle(map_arrow(picked, run, "doc_id long, kind string, label double, x array<double>"), "pii-sample")
-    part = -(-share * CANDIDATES // max(rows.count(), 1))
-    got = rows.where(F.pmod(F.xxhash64("doc_id", "x"), F.lit(share)) < part).orderBy("doc_id", "kind", "label", "x").collect()
-    if not got or len({r.label for r in got}) < 2:
+    rows = map_arrow(own, run, "doc_id long, kind string, label double, x array<double>")
+    by_id = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(10)) >= 7
+    vectors = settle(rows.groupBy(by_id.alias("fold"), "kind", "label", "x").agg(F.count("*").alias("n")), "pii-vectors")
+    there = {(r.fold, r.label) for r in vectors.select("fold", "label").distinct().collect()}
+    if len({y for _, y in there}) < 2:
+        return SpanModel(BoostedTrees(), {})
+    if len({y for fold, y in there if not fold}) < 2 or not any(fold for fold, _ in there):
+        vectors = vectors.withColumn("fold", F.pmod(F.xxhash64("x"), F.lit(10)) >= 7)
+    fitted = vectors.where(~F.col("fold"))
+    marks = [k / 32 for k in range(33)]
+    spots = fitted.select(F.posexplode("x").alias("j", "v"), "n").groupBy("j", "v").agg(F.sum("n").alias("n")).groupBy("j").agg(F.percentile("v", marks, F.col("n")).alias("q"))
+    cuts = [np.unique(r.q)[:-1] for r in sorted(spots.collect())]
+    if not cuts:
         return SpanModel(BoostedTrees(), {})
-    x, y = np.array([r.x for r in got]), np.array([r.label for r in got])
-    kind, fold = np.array([r.kind for r in got]), np.array([(r.doc_id or 0) % 10 >= 7 for r in got])
-    if fold.all() or not fold.any() or len(set(y[~fold])) < 2:
-        fold = np.arange(len(y)) % 10 >= 7
-    trees = BoostedTrees().fit(x[~fold], y[~fold])
-    score = trees.score(x)
+    blocks = fitted.select("x", "label", "n").rdd.mapPartitions(lambda rows: _counted(rows, cuts)).persist(StorageLevel.MEMORY_AND_DISK)
+    trees = BoostedTrees().fit_blocks(blocks, cuts)
+    blocks.unpersist()
+
+    def curves(rows: Iterator) -> Iterator[np.ndarray]:
+        """How many held-out rows of each kind and label have a score on each step."""
+        out = np.zeros((len(KINDS), 2, 2 * GRID_END * GRID))
+        todo = list(rows)
+        if todo:
+            step = _steps(trees.score(np.array([r.x for r in todo])))
+            np.add.at(out, ([KINDS.index(r.kind) for r in todo], [int(r.label) for r in todo], step), [r.n for r in todo])
+        yield out
+
+    held = vectors.where("fold").select("kind", "label", "x", "n").rdd.mapPartitions(curves).treeReduce(np.add)
     thresholds = {}
-    for k in KINDS:
-        s, t = score[fold & (kind == k)], y[fold & (kind == k)]
-        order = np.argsort(-s, kind="stable")
-        right = np.cumsum(t[order]) / np.arange(1, len(t) + 1)
-        good = np.flatnonzero(right >= PRECISION)
-        if len(good) and t[order][: good[-1] + 1].sum() >= 3:
-            thresholds[k] = max(float(s[order][good[-1]]), 0.0)
+    for kind, (no, yes) in zip(KINDS, held, strict=True):
+        right, taken = yes[::-1].cumsum()[::-1], (no + yes)[::-1].cumsum()[::-1]  # at or above each step
+        good = np.flatnonzero((taken > 0) & (right >= PRECISION * taken) & (no + yes > 0))
+        if len(good) and right[good[0]] >= 3:
+            thresholds[kind] = max(float(good[0] / GRID - GRID_END), 0.0)
     return SpanModel(trees, thresholds)
 
 
