@@ -35,3 +35,30 @@ def test_every_document_is_learned_from(spark, monkeypatch):
     model = pii.train(docs)
     assert seen["n"] == sum(len(pii.training_rows(t)) for i, t in texts if i % 10 < 7)
     assert model.trees.trees and "email" in model.thresholds
+
+
+def test_tasks_of_the_fit_follow_the_vectors(spark, monkeypatch):
+    """Not the files and shuffle partitions that the vectors come from: the fit runs 120 jobs over them."""
+    texts = [(i, f"call +1 (212) 555-{1000 + i} or mail a{i}@example.org now") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id LONG, text STRING").repartition(40)
+    seen = []
+    real = pii.BoostedTrees.fit_blocks
+
+    def spy(self, blocks, cuts):
+        seen.append(blocks.getNumPartitions())
+        return real(self, blocks, cuts)
+
+    monkeypatch.setattr(pii.BoostedTrees, "fit_blocks", spy)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        one = pii.train(docs)
+        monkeypatch.setattr(pii, "BLOCK", 8)
+        many = pii.train(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert seen[0] == 1 < seen[1]
+    assert one.thresholds == many.thresholds
+    assert all((x == y).all() for a, b in zip(one.trees.trees, many.trees.trees, strict=True) for x, y in zip(a, b, strict=True))

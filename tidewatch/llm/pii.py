@@ -34,6 +34,7 @@ from tidewatch.session import settle
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
 GRID, GRID_END = 256, 16  # thresholds lie on a grid of log odds: so many steps a unit, from -16 to 16
+BLOCK = 32_768  # distinct vectors a task of the fit holds, about
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -227,7 +228,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sp
     cuts = [np.unique(r.q)[:-1] for r in sorted(spots.collect())]
     if not cuts:
         return SpanModel(BoostedTrees(), {})
-    blocks = fitted.select("x", "label", "n").rdd.mapPartitions(lambda rows: _counted(rows, cuts)).persist(StorageLevel.MEMORY_AND_DISK)
+    # The fit runs a job for each level of each tree: its tasks are as many as the vectors need, not as their files are.
+    sizes = {r.fold: r["count"] for r in vectors.groupBy("fold").count().collect()}
+    blocks = fitted.select("x", "label", "n").coalesce(sizes[False] // BLOCK + 1).rdd.mapPartitions(lambda rows: _counted(rows, cuts)).persist(StorageLevel.MEMORY_AND_DISK)
     trees = BoostedTrees().fit_blocks(blocks, cuts)
     blocks.unpersist()
 
@@ -240,7 +243,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sp
             np.add.at(out, ([KINDS.index(r.kind) for r in todo], [int(r.label) for r in todo], step), [r.n for r in todo])
         yield out
 
-    held = vectors.where("fold").select("kind", "label", "x", "n").rdd.mapPartitions(curves).treeReduce(np.add)
+    held = vectors.where("fold").select("kind", "label", "x", "n").coalesce(sizes.get(True, 0) // BLOCK + 1).rdd.mapPartitions(curves).treeReduce(np.add)
     thresholds = {}
     for kind, (no, yes) in zip(KINDS, held, strict=True):
         right, taken = yes[::-1].cumsum()[::-1], (no + yes)[::-1].cumsum()[::-1]  # at or above each step
