@@ -7,6 +7,7 @@ import functools
 import sys
 import types
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +48,20 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(small(batches))
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns the worker's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def process_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, for results that depend on their key alone.
 
@@ -65,6 +71,24 @@ def process_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def unknown(keys: set, held: dict, limit: int) -> set:
+    """The keys that ``held["known"]`` lacks; of more entries than ``limit`` it first forgets some."""
+    if len(held["known"]) > limit:
+        forget(held, limit // 2)
+    there = keys & held["known"].keys()
+    held["again"] |= there
+    return keys - there
+
+
+def forget(held: dict, keep: int) -> None:
+    """Leaves at most ``keep`` entries of ``held["known"]``: such as were asked for again since the last time."""
+    known, again = held["known"], held["again"]
+    kept = {k: known[k] for k in islice(again, keep)}
+    known.clear()
+    known.update(kept)
+    again.clear()
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of ``df`` has, however the case is written."""
     there, out = {c.lower() for c in df.columns}, []

@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import documents, map_arrow, process_cache
+from tidewatch.llm.common import documents, forget, map_arrow, process_cache, unknown
 from tidewatch.session import settle
 
 CAPACITY = 2048
 GROUP = 8192
-CACHE_WORDS = 500_000  # ids of words are remembered up to this number, then forgotten
+CACHE_WORDS = 300_000  # ids of so many words are remembered, then half or more are forgotten
+IDLE_WORDS = 100_000  # words that a worker remembers between tasks, when several may idle beside a busy one
+SIGNS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
 class RoomTree:
@@ -125,7 +127,7 @@ class WordEncoder:
     """Ids of single words by the tokenizers library, remembered by the Python worker.
 
     Words of letters only are one word to the tokenizer, so many are encoded as one text and parted at the
-    tokens that end a word; a comma or full stop after an ASCII letter is a word of its own. All else is encoded alone.
+    tokens that end a word; ASCII signs after letters are words of their own. All else is encoded alone.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -138,8 +140,9 @@ class WordEncoder:
             vocab = held["tokenizer"].get_vocab()
             held["ends"] = np.zeros(max(vocab.values()) + 1, bool)
             held["ends"][[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-            held["known"] = {}
-        self.tokenizer, self.ends, self.known = held["tokenizer"], held["ends"], held["known"]
+        self.tokenizer, self.ends = held["tokenizer"], held["ends"]
+        self.held, self.known = held, held.setdefault("known", {})
+        held.setdefault("again", set())
 
     def words(self, text: str) -> list[bytes]:
         """Words between ASCII white space, ASCII letters in lower case (the tokenizer does so itself)."""
@@ -148,32 +151,41 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = words - known.keys()
-        marked = [w for w in new if w[-1:] in b",." and w[-2:-1].isalpha()]
-        plain = (new.difference(marked) | {w[:-1] for w in marked} | {b",", b"."}) - known.keys() if marked else new
-        letters, rest = [], []
-        for w in plain:
-            text = w.decode()
-            (letters if text.isalpha() and text.lower().isalpha() else rest).append((w, text))
+        new = unknown(words, self.held, CACHE_WORDS)
+        # letters before ASCII signs: the tokenizer parts there
+        bodies = [(w, w.rstrip(SIGNS)) for w in new if w[-1] in SIGNS]
+        letters, rest, marked = [], [], []
+        if bodies:
+            texts = b" ".join([b for _, b in bodies]).decode().split(" ")
+            marked = [(w, b) for (w, b), t in zip(bodies, texts, strict=True) if t.isalpha() and t.lower().isalpha()]
+        plain = list(new)
+        if marked:
+            parts = new.difference([w for w, _ in marked]).union([b for _, b in marked], [w[len(b) :] for w, b in marked])
+            plain = [w for w in parts if w not in known]
+        texts = b" ".join(plain).decode().split(" ") if plain else []
+        for w, text in zip(plain, texts, strict=True):
+            (letters if text.isalpha() and (text.isascii() or text.lower().isalpha()) else rest).append((w, text))
         for at in range(0, len(letters), 2000):
             part = letters[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) != len(part):
                 rest += part
                 continue
-            raw, begin = ids.tobytes(), 0
-            for (w, _), stop in zip(part, stops, strict=True):
-                known[w] = raw[4 * begin : 4 * stop]
-                begin = stop
+            raw = ids.tobytes()
+            for (w, _), begin, stop in zip(part, [0, *stops[:-1]], stops, strict=True):
+                known[w] = raw[begin:stop]
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
             for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
-        for w in marked:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+        for w, b in marked:
+            known[w] = known[b] + known[w[len(b) :]]
+
+    def rest(self) -> None:
+        """Called at a task's end."""
+        if len(self.known) > IDLE_WORDS:
+            forget(self.held, IDLE_WORDS)
 
 
 def pieces_of(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
@@ -190,7 +202,7 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
         known = encoder.known
         for batch in batches:
             texts = [encoder.words(t or "") for t in batch.column(1).to_pylist()]
-            encoder.learn({w for words in texts for w in words})
+            encoder.learn(set().union(*texts))
             out: list[list] = [[], [], [], [], []]
             size = 0
             for doc_id, words in zip(batch.column(0).to_pylist(), texts, strict=True):
@@ -204,6 +216,7 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
                     out, size = [[], [], [], [], []], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
+        encoder.rest()
 
     return map_arrow(documents(docs, id_col, text_col), cut, "doc_id long, piece int, start long, length long, ids binary")
 
