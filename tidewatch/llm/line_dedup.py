@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import setjoin
-from tidewatch.llm.common import BLOOM_BITS, BLOOM_PARTS, bits_hold, bits_set, documents, either_bits, key_filter, map_arrow, mix64, partitions, unused
+from tidewatch.llm.common import BLOOM_BITS, BLOOM_PARTS, bits_hold, bits_set, documents, either_bits, give_back, key_filter, map_arrow, mix64, partitions, unused
 from tidewatch.llm.words import Words
 from tidewatch.session import settle
 
@@ -470,15 +470,17 @@ def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text
     removed = settle(removed, "line-removed").select(F.col("doc_id").alias(i), F.col("thash").alias(h), F.col("lines").alias(gone_lines))
     may = key_filter(removed, h)
 
+    def one(text: str | None, gone) -> str | None:  # type: ignore[no-untyped-def]
+        if text is None or gone is None:
+            return text
+        drop = set(map(int, gone))
+        return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
+
     @F.pandas_udf("string")
-    def rest(texts: pd.Series, lines: pd.Series) -> pd.Series:
-        def one(text: str | None, gone) -> str | None:  # type: ignore[no-untyped-def]
-            if text is None or gone is None:
-                return text
-            drop = set(map(int, gone))
-            return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
-
-        return pd.Series([one(t, g) for t, g in zip(texts, lines, strict=True)], dtype=object)
+    def rest(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, lines in parts:
+            yield pd.Series([one(t, g) for t, g in zip(texts, lines, strict=True)], dtype=object)
+        give_back()
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     text, empty = F.col(text_col).cast("string"), F.lit(None).cast("array<int>")

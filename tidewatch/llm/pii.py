@@ -22,13 +22,14 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.boosting import BoostedTrees
-from tidewatch.llm.common import documents, map_arrow
+from tidewatch.llm.common import documents, give_back, map_arrow
 from tidewatch.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -295,14 +296,16 @@ def redact(docs: DataFrame, model: SpanModel | None = None, text_col: str = "tex
     """``docs`` with personal data replaced in ``text_col``; all other columns stay as they are."""
     found = model or train(docs, id_col=id_col, text_col=text_col)
 
-    @F.pandas_udf("string")
-    def clean(texts):  # type: ignore[no-untyped-def]
-        def one(text: str | None) -> str | None:
-            base = base_spans(text or "")
-            spans = [{"kind": k, "start": s, "end": e} for k, s, e in base]
-            return redacted(text, spans + [{"kind": k, "start": s, "end": e} for k, s, e, _ in found.added(text or "", base)])
+    def one(text: str | None) -> str | None:
+        base = base_spans(text or "")
+        spans = [{"kind": k, "start": s, "end": e} for k, s, e in base]
+        return redacted(text, spans + [{"kind": k, "start": s, "end": e} for k, s, e, _ in found.added(text or "", base)])
 
-        return texts.map(one)
+    @F.pandas_udf("string")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield texts.map(one)
+        give_back()
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
