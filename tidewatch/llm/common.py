@@ -120,10 +120,14 @@ def _bits_of(keys: np.ndarray, size: int = BLOOM_BITS) -> list[np.ndarray]:
 
 def bits_set(keys: np.ndarray, size: int) -> np.ndarray:
     """A packed bit set of ``size`` bits that holds the keys."""
-    bits = np.zeros(size, bool)
-    for at in _bits_of(keys, size):
-        bits[at] = True
-    return np.packbits(bits)
+    return bits_add(np.zeros(size // 8, np.uint8), keys)
+
+
+def bits_add(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``bits``, a packed bit set, which holds the keys from now on."""
+    for at in _bits_of(keys, 8 * len(bits)):
+        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+    return bits
 
 
 def bits_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

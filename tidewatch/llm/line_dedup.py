@@ -9,7 +9,7 @@ on the input, not on what is left.
 Of equal sets all but the earliest go, without a comparison. The others need one similar earlier set each, so at most
 ``FEW`` candidates of a shared word are verified first; the lists of words at which a line had more are stored beside the
 pairs, and lines without a match meet all the rest of them. The texts are read twice: once for keys and counts of words,
-once for postings.
+once for postings; and again for the lines of pairs, which a bit set of lines finds without a join.
 
 No word's list lies in one task: a word that is in the prefixes of more than ``BLOCK`` lines is split by the sets' keys. How many
 those are is estimated from documents chosen by a hash (one in 32, so that a list of ``BLOCK`` shows ``SHOWN`` lines); the estimate
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import setjoin
-from tidewatch.llm.common import BLOOM_BITS, BLOOM_PARTS, bits_hold, bits_set, documents, either_bits, give_back, key_filter, map_arrow, mix64, partitions, unused
+from tidewatch.llm.common import BLOOM_BITS, BLOOM_PARTS, bits_add, bits_hold, documents, either_bits, give_back, key_filter, map_arrow, mix64, partitions, unused
 from tidewatch.llm.words import Words
 from tidewatch.session import settle
 
@@ -46,6 +46,7 @@ FLUSH = 250_000  # postings a task holds
 BLOCK = 200_000  # postings of a block, about
 SHOWN = 6_250  # postings by which the length of a list that needs a split is estimated
 PAIRS = 500_000  # pairs compared at once
+MOST_BITS = 1 << 26  # of the bit set of lines whose texts are fetched
 
 
 def joins(n, percent: int):  # type: ignore[no-untyped-def]
@@ -72,6 +73,11 @@ class Lines:
 
 
 RECORD = np.dtype([("token", "<u8"), ("key", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("hash", "<i8"), ("line", "<i4"), ("n", "<i4"), ("p", "<i4")])
+#: Of words and keys 40 bits travel. Words that agree in them share a list, which only adds candidates; equal sets are told by
+#: key, size, place and bitmap together.
+SHORT = 40
+WIRE = [(name, shift, kind) for name in ("token", "key") for shift, kind in ((0, "<u4"), (32, "u1"))] + [(name, 0, RECORD[name].str) for name in RECORD.names[2:]]
+WIDTH = sum(np.dtype(kind).itemsize for *_, kind in WIRE)
 
 
 def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, seekers: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -82,14 +88,19 @@ def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, s
     its sets share: nothing before it is common, so the rest of either set holds the whole intersection.
     """
     wanted = np.ones(len(postings["token"]), bool) if seekers is None else seekers
+    by = [postings[c] for c in ("line", "doc", "token")]
+    by = [postings["hash"], *by] if postings["hash"].any() else by
+    order = np.lexsort(by if seekers is None else [~wanted, *by])
     # copies of a set that other tasks sent: the earliest stays, and of a row that comes twice the one that seeks
-    order = np.lexsort([~wanted, *(postings[c] for c in ("hash", "line", "doc", "key", "token"))])
+    alike = np.argsort(mix64(postings["token"][order]) ^ postings["key"][order], kind="stable")
+    copies = order[alike]
     same = np.ones(len(order), bool)
-    for c in ("token", "key"):
-        same[1:] &= postings[c][order[1:]] == postings[c][order[:-1]]
+    for c in ("token", "key", "n", "p", "x", "y"):
+        same[1:] &= postings[c][copies[1:]] == postings[c][copies[:-1]]
     same[:1] = False
-    order = order[~same]
-    order = order[np.lexsort([postings[c][order] for c in ("hash", "line", "doc", "token")])]
+    stays = np.ones(len(order), bool)
+    stays[alike[same]] = False
+    order = order[stays]
     postings, wanted = {c: v[order] for c, v in postings.items()}, wanted[order]
     token, n, x, y, doc, line, text = (postings[c] for c in ("token", "n", "x", "y", "doc", "line", "hash"))
     left = n - postings["p"]
@@ -137,18 +148,30 @@ def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, s
 
 
 def pack(rows: dict[str, np.ndarray] | np.ndarray, at: np.ndarray | slice = slice(None)) -> bytes:
-    """Postings column by column, which compresses better."""
-    return b"".join(np.ascontiguousarray(rows[name][at], RECORD[name]).tobytes() for name in RECORD.names)
+    """Postings column by column, which compresses better: WIDTH bytes each."""
+    return b"".join((rows[name][at] >> shift if shift else rows[name][at]).astype(kind).tobytes() for name, shift, kind in WIRE)
 
 
 def unpack(held: list[bytes]) -> dict[str, np.ndarray]:
-    columns: dict[str, list[np.ndarray]] = {c: [] for c in RECORD.names}
+    columns = {c: np.zeros(sum(map(len, held)) // WIDTH, RECORD[c]) for c in RECORD.names}
+    begin = 0
     for raw in held:
-        rows, at = len(raw) // RECORD.itemsize, 0
-        for name in RECORD.names:
-            columns[name].append(np.frombuffer(raw, RECORD[name], rows, at))
-            at += RECORD[name].itemsize * rows
-    return {c: np.concatenate(v) for c, v in columns.items()}
+        rows, at = len(raw) // WIDTH, 0
+        for name, shift, kind in WIRE:
+            part = np.frombuffer(raw, kind, rows, at)
+            columns[name][begin : begin + rows] |= part.astype(RECORD[name]) << shift if shift else part
+            at += part.nbytes
+        begin += rows
+    return columns
+
+
+def squeeze(raw: bytes) -> bytes:
+    """Compressed, behind the length: a codec of Spark's shuffle that looks for repeats only leaves much of the small numbers."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(raw: bytes) -> bytes:
+    return pa.decompress(memoryview(raw)[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
 
 
 PAIR = "ad long, al int, ah long, bd long, bl int, bh long, more boolean"
@@ -185,7 +208,7 @@ def list_parts(own: DataFrame, least: int, percent: int, rarity: np.ndarray, siz
             found = Lines(b.column(2), least)
             sets = setjoin.OrderedSets(found.owner, found.token, found.n, shared.value, percent)
             there = sets.in_prefix & joins(sets.size, percent)[sets.owner]
-            np.add.at(total, (sets.token[there] & np.uint64(slots - 1)).astype(np.int64), 1)
+            total += np.bincount((sets.token[there] & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some], pa.int64())], ["slot", "n"])
 
@@ -230,7 +253,7 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
             ends = np.append(cuts[1:], len(order))[: len(cuts)]
-            packed = [pack(records, order[x:y]) for x, y in zip(cuts, ends, strict=True)]
+            packed = [squeeze(pack(records, order[x:y])) for x, y in zip(cuts, ends, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(block[order[cuts]]), pa.array(packed, pa.binary())], ["block", "postings"])
 
         for b in batches:
@@ -242,7 +265,8 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
             o = sets.owner[i]
             records = np.zeros(len(i), RECORD)
             maps = setjoin.bitmaps(sets, BITMAP).view("<u8")
-            for name, value in (("token", sets.token[i]), ("key", sets.keys[0][o]), ("x", maps[o, 0]), ("y", maps[o, 1]), ("doc", doc[o]), ("hash", text[o]), ("line", found.line[o]), ("n", sets.size[o]), ("p", sets.place[i])):
+            short = np.uint64((1 << SHORT) - 1)
+            for name, value in (("token", sets.token[i] & short), ("key", sets.keys[0][o] & short), ("x", maps[o, 0]), ("y", maps[o, 1]), ("doc", doc[o]), ("hash", text[o]), ("line", found.line[o]), ("n", sets.size[o]), ("p", sets.place[i])):
                 records[name] = value
             held.append((sets.keys[0], sets.keys[1], doc, found.line, records, np.bincount(o, minlength=found.n)))
             count += len(i)
@@ -275,7 +299,7 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
                     yield from answer(held)
                     held = []
                 now = block
-                held.append(raw.as_py())
+                held.append(expand(raw.as_py()))
         if held:
             yield from answer(held)
 
@@ -322,7 +346,7 @@ def further_pairs(lists: DataFrame, rest: DataFrame, split_more: DataFrame, perc
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for token, raw, total in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                rows, cells = unpack([raw.as_py()]), -(-total // (size * RECORD.itemsize))
+                rows, cells = unpack([raw.as_py()]), -(-total // (size * WIDTH))
                 cell = (mix64(rows["key"]) % np.uint64(cells)).astype(np.int64)
                 seeks = seeking(rows, 1)
                 asked = pack(rows, seeks)
@@ -343,7 +367,7 @@ def further_pairs(lists: DataFrame, rest: DataFrame, split_more: DataFrame, perc
                     continue
                 rows = unpack([*part, raw])
                 seeks = np.zeros(len(rows["token"]), bool)
-                seeks[len(seeks) - len(raw) // RECORD.itemsize :] = True
+                seeks[len(seeks) - len(raw) // WIDTH :] = True
                 rows, a, b, full = candidates(rows, percent, None, seeks)
                 yield from _pairs(rows, a, b, full)
 
@@ -361,26 +385,26 @@ def _line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def keys_and_counts(own: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, thash, line, one, two, n) of all lines, stored, and how often each word occurs, by its hash: one pass over the texts.
+    """(doc_id, thash, line, one, two, n, whole) of all lines, stored, and how often each word occurs, by its hash: one pass over the texts.
 
     The counts are a table of fixed size; a task's counts are rows beside its keys, and summed by part.
     """
     slots, parts = 1 << RARITY_BITS, 16
-    names = ["doc_id", "thash", "line", "one", "two", "n", "part", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["doc_id", "thash", "line", "one", "two", "n", "whole", "part", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int32)
         for b in batches:
             found = Lines(b.column(2), least)
-            np.add.at(total, (found.token & np.uint64(slots - 1)).astype(np.int64), 1)
+            total += np.bincount((found.token & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
             sets = setjoin.OrderedSets(found.owner, found.token, found.n, None)
             take = pa.array(found.doc)
-            columns = [b.column(0).take(take), b.column(1).take(take), pa.array(found.line), *(pa.array(x.view(np.int64)) for x in sets.keys), pa.array(sets.size)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(found.n, t) for t in kinds[6:])], names)
+            columns = [b.column(0).take(take), b.column(1).take(take), pa.array(found.line), *(pa.array(x.view(np.int64)) for x in sets.keys), pa.array(sets.size), b.column(3).take(take)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(found.n, t) for t in kinds[7:])], names)
         # byte by byte, which compresses better
         planes = [np.ascontiguousarray(p.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for p in total.reshape(parts, -1)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(parts, t) for t in kinds[:6]), pa.array(range(parts), pa.int32()), pa.array(planes, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(parts, t) for t in kinds[:7]), pa.array(range(parts), pa.int32()), pa.array(planes, pa.binary())], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, np.ndarray] = {}
@@ -391,41 +415,55 @@ def keys_and_counts(own: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in out.values()], pa.binary())], ["part", "counts"])
 
-    found = settle(map_arrow(own, read, "doc_id long, thash long, line int, one long, two long, n long, part int, counts binary"), "line-keys")
+    found = settle(map_arrow(own, read, "doc_id long, thash long, line int, one long, two long, n long, whole long, part int, counts binary"), "line-keys")
     counts = np.zeros((parts, slots // parts), np.int64)
     own.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     for r in found.where("part is not null").select("part", "counts").repartition(parts, "part").mapInArrow(add, "part int, counts binary").collect():
         counts[r.part] += np.frombuffer(bytes(r.counts), "<i8")
-    return found.where("part is null").select(*names[:6]), counts.reshape(-1)
+    return found.where("part is null").select(*names[:7]), counts.reshape(-1)
+
+
+def told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, thash, text, whole) of the rows with an id and a text, and whether no id repeats. whole is the text's hash, and
+    so is thash where another row may have the same id; it is 0 where the id suffices, which spares eight bytes a posting."""
+    # the ids alone: rows without a text count too
+    again = settle(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "line-again")
+    own = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("whole"))
+    unique = again.isEmpty()
+    tag = F.lit(0) if unique else F.when(key_filter(again, "doc_id")(F.col("doc_id")), F.col("whole")).otherwise(F.lit(0))
+    return own.select("doc_id", tag.cast("long").alias("thash"), "text", "whole"), unique
 
 
 def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PERCENT, few: int = FEW, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
     """(doc_id, thash, lines): numbers, from 0, of the lines to remove from the text with that xxhash64."""
-    own = documents(docs, id_col, text_col).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("thash"), "text")
+    own, unique = told_apart(documents(docs, id_col, text_col))
     every, rarity = keys_and_counts(own, least)
+    own = own.drop("whole")
     postings = every.where(joins(F.col("n"), percent)).agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
 
     def matched(pairs: DataFrame) -> DataFrame:
         """(doc_id, line, thash) of the pairs' later lines that are similar to the earlier one."""
-        places = pairs.select("a.*").union(pairs.select("b.*")).distinct().groupBy("doc_id", "thash").agg(F.collect_list("line").alias("wanted"))
-        places = settle(places, "line-places")
-        may = key_filter(places, "doc_id")
+        lines = pairs.select("a.*").union(pairs.select("b.*"))
+        size = min(max(1 << (8 * pairs.count()).bit_length(), BLOOM_BITS), MOST_BITS)
+        wanted = own.sparkSession.sparkContext.broadcast(line_bits(lines, size))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # the set may hold other lines too, which meet no pair
+            bits = np.frombuffer(wanted.value, np.uint8)
             for b in batches:
-                ids, hashes, lines, texts = [], [], [], []
-                for i, thash, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    parts = text.split("\n")
-                    good = [w for w in wanted if w < len(parts)]
-                    ids += [i] * len(good)
-                    hashes += [thash] * len(good)
-                    lines += good
-                    texts += [parts[w] for w in good]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lines, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "thash", "line", "text"])
-
-        whole = own.where(may(F.col("doc_id"))).join(places, ["doc_id", "thash"]).select("doc_id", "thash", "text", "wanted")
-        texts = map_arrow(whole, cut, "doc_id long, thash long, line int, text string").select(F.struct("doc_id", "line", "thash").alias("node"), "text")
-        similar = setjoin.verified(pairs, settle(texts.distinct(), "line-texts"), _line_sets, percent)
+                parts = [text.split("\n") for text in b.column(2).to_pylist()]
+                count = np.array([len(x) for x in parts], np.int64)
+                doc = np.repeat(np.arange(len(parts)), count)
+                line = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+                hit = bits_hold(bits, _line_key(b.column(0).to_numpy()[doc], line))
+                doc, line = doc[hit], line[hit]
+                texts = [parts[d][k] for d, k in zip(doc.tolist(), line.tolist(), strict=True)]
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(line), pa.array(texts, pa.string())], ["doc_id", "thash", "line", "text"])
+
+        texts = map_arrow(own, cut, "doc_id long, thash long, line int, text string").select(F.struct("doc_id", "line", "thash").alias("node"), "text")
+        texts = settle(texts if unique else texts.distinct(), "line-texts")
+        similar = setjoin.verified(pairs, texts, _line_sets, percent)
         return similar.select("a.*").distinct()
 
     pairs, lists = candidate_pairs(own, least, percent, rarity, postings, few, size)
@@ -443,7 +481,8 @@ def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PE
     place = ["doc_id", "line", "thash"]
     first = every.groupBy("one", "two").agg(F.min(F.struct(*place)).alias("first")).select("first.*")
     copies = every.select("doc_id", "thash", "line").join(first, place, "left_anti")
-    return copies.unionByName(hits.select("doc_id", "thash", "line")).groupBy("doc_id", "thash").agg(F.collect_set("line").alias("lines"))
+    gone = copies.unionByName(hits.select("doc_id", "thash", "line")).groupBy("doc_id", "thash").agg(F.collect_set("line").alias("lines"))
+    return gone.join(every.select("doc_id", "thash", "whole").distinct(), ["doc_id", "thash"]).select("doc_id", F.col("whole").alias("thash"), "lines")
 
 
 def _line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -452,16 +491,17 @@ def _line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return np.repeat(np.arange(len(texts)), words.counts()), words.hashes(), len(texts)
 
 
-def line_bits(lines: DataFrame) -> bytes:
-    """A bit set of lines, for candidate_pairs."""
+def line_bits(lines: DataFrame, size: int = BLOOM_BITS) -> bytes:
+    """A bit set of lines."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for b in batches:
-            bits |= bits_set(_line_key(b.column(0).to_numpy(), b.column(1).to_numpy()), BLOOM_BITS)
+            bits_add(bits, _line_key(b.column(0).to_numpy(), b.column(1).to_numpy()))
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOOM_PARTS), pa.int32()), pa.array([p.tobytes() for p in bits.reshape(BLOOM_PARTS, -1)], pa.binary())], ["part", "bits"])
 
-    return either_bits(lines.select("doc_id", "line").mapInArrow(build, "part int, bits binary"), BLOOM_BITS).tobytes()
+    lines.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    return either_bits(lines.select("doc_id", "line").mapInArrow(build, "part int, bits binary"), size).tobytes()
 
 
 def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", number_col: str | None = None) -> DataFrame:
