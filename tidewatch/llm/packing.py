@@ -27,7 +27,8 @@ from tidewatch.session import settle
 CAPACITY = 2048
 GROUP = 8192
 CACHE_WORDS = 300_000  # ids of so many words are remembered, then half or more are forgotten
-IDLE_WORDS = 100_000  # words that a worker remembers between tasks, when several may idle beside a busy one
+IDLE_WORDS = 50_000  # words that a worker remembers between tasks, when several may idle beside a busy one
+TEXTS = 64  # texts that are parted into words at once
 SIGNS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
@@ -175,8 +176,8 @@ class WordEncoder:
             raw = ids.tobytes()
             for (w, _), begin, stop in zip(part, [0, *stops[:-1]], stops, strict=True):
                 known[w] = raw[begin:stop]
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
+        for at in range(0, len(rest), 2000):
+            part = rest[at : at + 2000]
             for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
         for w, b in marked:
@@ -201,20 +202,23 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
         encoder = WordEncoder(tokenizer_file)
         known = encoder.known
         for batch in batches:
-            texts = [encoder.words(t or "") for t in batch.column(1).to_pylist()]
-            encoder.learn(set().union(*texts))
             out: list[list] = [[], [], [], [], []]
             size = 0
-            for doc_id, words in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = b"".join([*map(known.__getitem__, words), end])
-                for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[start : start + 4 * capacity]
-                    for column, value in zip(out, (doc_id, k, start // 4, len(piece) // 4, piece), strict=True):
-                        column.append(value)
-                size += len(ids)
-                if size > 32_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
-                    out, size = [[], [], [], [], []], 0
+            # few texts at a time: what stays of their words would else lie scattered among very many that go
+            for at in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(at, TEXTS)
+                texts = [encoder.words(t or "") for t in few.column(1).to_pylist()]
+                encoder.learn(set().union(*texts))
+                for doc_id, words in zip(few.column(0).to_pylist(), texts, strict=True):
+                    ids = b"".join([*map(known.__getitem__, words), end])
+                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[start : start + 4 * capacity]
+                        for column, value in zip(out, (doc_id, k, start // 4, len(piece) // 4, piece), strict=True):
+                            column.append(value)
+                    size += len(ids)
+                    if size > 32_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
+                        out, size = [[], [], [], [], []], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
         encoder.rest()
 
