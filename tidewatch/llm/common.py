@@ -157,11 +157,12 @@ def either_bits(rows: DataFrame, size: int) -> np.ndarray:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (xor-shift-multiply)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))  # a new array, which the rest may change
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def key_filter(keys: DataFrame, col: str) -> Callable[[F.Column], F.Column]:

@@ -54,22 +54,34 @@ def joins(n, percent: int):  # type: ignore[no-untyped-def]
     return n * 100 >= (n + 1) * percent
 
 
+def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, line, begin) of all lines of the texts data[offsets[d]:offsets[d + 1]]."""
+    feeds = np.flatnonzero(data == 10)
+    count = np.diff(np.searchsorted(feeds, offsets)) + 1  # lines of each text
+    first = np.cumsum(count) - count
+    doc = np.repeat(np.arange(len(count)), count)
+    begin = np.zeros(len(doc), np.int64)
+    begin[first] = offsets[:-1]
+    later = np.ones(len(doc), bool)
+    later[first] = False
+    begin[later] = feeds + 1
+    return doc, (np.arange(len(doc)) - first[doc]).astype(np.int32), begin
+
+
 class Lines:
     """The lines of a batch that have ``least`` words or more."""
 
     def __init__(self, texts: pa.Array, least: int):
         words = Words(texts, lower=True)
-        doc = np.repeat(np.arange(len(texts)), words.counts())
-        feeds = np.concatenate([[0], np.cumsum(words.data == 10)])
-        line = feeds[words.starts] + doc  # numbers of all lines of the batch ascend
-        count = np.bincount(line, minlength=feeds[-1] + len(texts) + 1)
-        number = np.cumsum(count >= least) - 1
-        long = count[line] >= least
-        self.owner, self.token = number[line[long]], words.hashes()[long]
-        begin = np.flatnonzero(np.diff(self.owner, prepend=-1))
-        self.n = len(begin)
-        self.doc = doc[long][begin]
-        self.line = (line[long][begin] - feeds[words.offsets[:-1]][self.doc] - self.doc).astype(np.int32)
+        doc, line, begin = line_starts(words.data, words.offsets)
+        length = np.diff(np.append(np.searchsorted(words.starts, begin), len(words)))
+        long = length >= max(least, 1)
+        self.owner, self.token = np.repeat(np.arange(int(long.sum())), length[long]), words.hashes()
+        if len(self.owner) < len(self.token):
+            self.token = self.token[np.repeat(long, length)]
+        self.n = int(long.sum())
+        self.doc = doc[long]
+        self.line = line[long]
 
 
 RECORD = np.dtype([("token", "<u8"), ("key", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("hash", "<i8"), ("line", "<i4"), ("n", "<i4"), ("p", "<i4")])
@@ -80,6 +92,20 @@ WIRE = [(name, shift, kind) for name in ("token", "key") for shift, kind in ((0,
 WIDTH = sum(np.dtype(kind).itemsize for *_, kind in WIRE)
 
 
+def in_order(postings: dict[str, np.ndarray], last: np.ndarray | None = None) -> np.ndarray:
+    """Places of the postings in order of token, id, line and text, at last by ``last``."""
+    token, place = postings["token"], [postings[c] for c in (["doc", "line", "hash"] if postings["hash"].any() else ["doc", "line"])]
+    bits = len(token).bit_length()
+    if last is None and len(token) and int(token.max()) >> (64 - bits) == 0:
+        # tasks send lines in their order, and mostly that of the ids
+        order = np.argsort(place[0], kind="stable")
+        sorted_by = [v[order] for v in place]
+        if len(place) > 2 or ((sorted_by[0][1:] == sorted_by[0][:-1]) & (sorted_by[1][1:] < sorted_by[1][:-1])).any():
+            order = np.lexsort(place[::-1])
+        return order[(np.sort(token[order] << np.uint64(bits) | np.arange(len(token), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)]
+    return np.lexsort([*([] if last is None else [last]), *place[::-1], token])
+
+
 def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, seekers: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """(postings in order, later, earlier, full): rows of sets that pass the filters at a token, and the rows that have more.
 
@@ -88,22 +114,22 @@ def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, s
     its sets share: nothing before it is common, so the rest of either set holds the whole intersection.
     """
     wanted = np.ones(len(postings["token"]), bool) if seekers is None else seekers
-    by = [postings[c] for c in ("line", "doc", "token")]
-    by = [postings["hash"], *by] if postings["hash"].any() else by
-    order = np.lexsort(by if seekers is None else [~wanted, *by])
+    order = in_order(postings, None if seekers is None else ~wanted)
     # copies of a set that other tasks sent: the earliest stays, and of a row that comes twice the one that seeks
-    alike = np.argsort(mix64(postings["token"][order]) ^ postings["key"][order], kind="stable")
-    copies = order[alike]
-    same = np.ones(len(order), bool)
+    bits = len(order).bit_length()
+    low = np.uint64((1 << bits) - 1)
+    alike = np.sort(((mix64(postings["token"]) ^ postings["key"])[order] & ~low) | np.arange(len(order), dtype=np.uint64))
+    same = np.flatnonzero(alike[1:] >> np.uint64(bits) == alike[:-1] >> np.uint64(bits))
+    before, after = ((alike[same + k] & low).astype(np.int64) for k in range(2))
+    equal = np.ones(len(same), bool)
     for c in ("token", "key", "n", "p", "x", "y"):
-        same[1:] &= postings[c][copies[1:]] == postings[c][copies[:-1]]
-    same[:1] = False
+        equal &= postings[c][order[after]] == postings[c][order[before]]
     stays = np.ones(len(order), bool)
-    stays[alike[same]] = False
+    stays[after[equal]] = False
     order = order[stays]
     postings, wanted = {c: v[order] for c, v in postings.items()}, wanted[order]
     token, n, x, y, doc, line, text = (postings[c] for c in ("token", "n", "x", "y", "doc", "line", "hash"))
-    left = n - postings["p"]
+    left = n - postings["p"]  # 32 bits, as n
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     length = np.diff(np.concatenate([starts, [len(token)]]))
     start = np.repeat(starts, length)
@@ -123,7 +149,7 @@ def candidates(postings: dict[str, np.ndarray], percent: int, few: int | None, s
             b = np.arange(int(w.sum())) + np.repeat(start[rows] + at - np.cumsum(w) + w, w)
             # the intersection must reach this, and both sets must still have as much
             both = np.repeat(n[rows], w) + n[b]
-            needed = -(-both * percent // (100 + percent))
+            needed = -(both * -percent // (100 + percent))
             good = np.flatnonzero(np.minimum(np.repeat(left[rows], w), left[b]) >= needed)
             a, b, spare = np.repeat(rows, w)[good], b[good], (both - 2 * needed)[good]
             good = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
@@ -197,30 +223,33 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("ad", "al", "ah", "bd", "bl", "bh").agg(F.max("more").alias("more")).select(node("a"), node("b"), "more")
 
 
-def list_parts(own: DataFrame, least: int, percent: int, rarity: np.ndarray, size: int) -> np.ndarray:
-    """Into how many parts the list of each slot of ``rarity`` is split, by its words in the prefixes of a share of the documents."""
-    share, slots = max(1, size // SHOWN), len(rarity)
-    shared = own.sparkSession.sparkContext.broadcast(rarity)
+def share_of(size: int) -> int:
+    return max(1, size // SHOWN)
+
+
+def list_parts(some: DataFrame, least: int, percent: int, rarity: np.ndarray, size: int) -> np.ndarray:
+    """Into how many parts the list of each slot of ``rarity`` is split, by its words in the prefixes of ``some`` texts: one in ``share_of(size)``."""
+    share, slots = share_of(size), len(rarity)
+    shared = some.sparkSession.sparkContext.broadcast(rarity)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int32)
+        total, level = np.zeros(slots, np.int32), setjoin.levels(shared.value)
         for b in batches:
-            found = Lines(b.column(2), least)
-            sets = setjoin.OrderedSets(found.owner, found.token, found.n, shared.value, percent)
+            found = Lines(b.column(0), least)
+            sets = setjoin.OrderedSets(found.owner, found.token, found.n, shared.value, percent, level)
             there = sets.in_prefix & joins(sets.size, percent)[sets.owner]
             total += np.bincount((sets.token[there] & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some], pa.int64())], ["slot", "n"])
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there], pa.int64())], ["slot", "n"])
 
-    rows = own.where(F.pmod(F.xxhash64("thash", "doc_id"), F.lit(share)) == 0)
-    long = map_arrow(rows, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") * share > size).collect()
+    long = map_arrow(some, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") * share > size).collect()
     parts = np.ones(slots, np.int32)
     for r in long:  # of fixed size: one number a slot at most
         parts[r.slot] = -(-r.n * share // size)
     return parts
 
 
-def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray, postings: int, few: int = FEW, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(own: DataFrame, some: DataFrame, least: int, percent: int, rarity: np.ndarray, postings: int, few: int = FEW, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(pairs, lists). Pairs (a struct, b struct, more) of lines by (doc_id, line, thash), so that rows that share an id are told
     apart by their text; a is later. Lists (token, postings) hold the words at which a line may have more partners: many
     whole lists a row where token is null, else a part of the split list of that word.
@@ -229,7 +258,7 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
     """
     spark, n = own.sparkSession, max(partitions(own), postings // size + 1)
     shared = spark.sparkContext.broadcast(rarity)
-    dealt_in = spark.sparkContext.broadcast(list_parts(own, least, percent, rarity, size))
+    dealt_in = spark.sparkContext.broadcast(list_parts(some, least, percent, rarity, size))
 
     def parts_of(token: np.ndarray) -> np.ndarray:
         return dealt_in.value[(token & np.uint64(len(dealt_in.value) - 1)).astype(np.int64)]
@@ -247,21 +276,28 @@ def candidate_pairs(own: DataFrame, least: int, percent: int, rarity: np.ndarray
             fresh[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
             keep = np.zeros(len(order), bool)
             keep[order[fresh]] = True
-            records = records[np.repeat(keep, length)]
-            part = mix64(records["key"]) % parts_of(records["token"]).astype(np.uint64)
-            block = (((records["token"] >> np.uint64(20)) + part) % np.uint64(n)).astype(np.int64)
+            which = np.flatnonzero(np.repeat(keep, length))
+            token, parts = records["token"][which], parts_of(records["token"][which])
+            block = ((token >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+            split = np.flatnonzero(parts > 1)
+            part = mix64(records["key"][which[split]]) % parts[split].astype(np.uint64)
+            block[split] = (((token[split] >> np.uint64(20)) + part) % np.uint64(n)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+            # as rows of numbers, which numpy moves much faster than records
+            block, records = block[order], np.take(records.view("<i4").reshape(-1, RECORD.itemsize // 4), which[order], 0).reshape(-1).view(RECORD)
+            cuts = np.flatnonzero(np.diff(block, prepend=-1))
             ends = np.append(cuts[1:], len(order))[: len(cuts)]
-            packed = [squeeze(pack(records, order[x:y])) for x, y in zip(cuts, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(block[order[cuts]]), pa.array(packed, pa.binary())], ["block", "postings"])
+            packed = [squeeze(pack(records, slice(x, y))) for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(packed, pa.binary())], ["block", "postings"])
 
+        level = setjoin.levels(shared.value)
         for b in batches:
             found = Lines(b.column(2), least)
-            sets = setjoin.OrderedSets(found.owner, found.token, found.n, shared.value, percent)
+            sets = setjoin.OrderedSets(found.owner, found.token, found.n, shared.value, percent, level)
             doc, text = (b.column(k).take(pa.array(found.doc)).to_numpy() for k in range(2))
             # a count of one means that no other line holds the token
-            i = np.flatnonzero(sets.in_prefix & (sets.count > 1) & joins(sets.size, percent)[sets.owner])
+            i = np.flatnonzero(sets.in_prefix & np.repeat(joins(sets.size, percent), sets.size))
+            i = i[sets.counts(i) > 1]
             o = sets.owner[i]
             records = np.zeros(len(i), RECORD)
             maps = setjoin.bitmaps(sets, BITMAP).view("<u8")
@@ -384,27 +420,74 @@ def _line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix64(doc.astype(np.uint64)) + line.astype(np.uint64)
 
 
-def keys_and_counts(own: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, thash, line, one, two, n, whole) of all lines, stored, and how often each word occurs, by its hash: one pass over the texts.
+SET = [("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("hash", "<i8")]
+BLOCKS = 1024  # of sets, at least
+
+
+def repeated(sets: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(the earliest line of each set, the other lines). Lines at the earliest one's place are in neither: their rows are equal."""
+    order = np.lexsort([sets[c] for c in (["hash"] if sets["hash"].any() else []) + ["line", "doc", "two", "one"]])
+    sets = {c: v[order] for c, v in sets.items()}
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (sets["one"][1:] != sets["one"][:-1]) | (sets["two"][1:] != sets["two"][:-1])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    later = np.zeros(len(order), bool)
+    for c in ("doc", "line", "hash"):
+        later |= sets[c] != sets[c][first]
+    return {c: v[fresh] for c, v in sets.items()}, {c: v[later] for c, v in sets.items()}
 
-    The counts are a table of fixed size; a task's counts are rows beside its keys, and summed by part.
+
+def first_pass(own: DataFrame, least: int, percent: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray, int]:
+    """(copies, texts, some, counts, postings): one pass over the texts.
+
+    Copies (doc_id, thash, line) are the lines whose set an earlier line has. Each task finds its own and sends every set once, in
+    blocks by key, so no block grows with a set that many lines have. Texts are (doc_id, thash, whole), some (text) those that a hash chooses, one in ``share``. The counts tell how often
+    each word occurs, by its hash: a table of fixed size, summed by part. The prefixes of all lines hold ``postings`` words.
     """
-    slots, parts = 1 << RARITY_BITS, 16
-    names = ["doc_id", "thash", "line", "one", "two", "n", "whole", "part", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    slots, parts, blocks = 1 << RARITY_BITS, 16, max(BLOCKS, partitions(own))
+    kinds = {"doc_id": pa.int64(), "thash": pa.int64(), "line": pa.int32(), "whole": pa.int64(), "part": pa.int32(), "counts": pa.binary(), "postings": pa.int64(), "block": pa.int32(), "sets": pa.binary(), "text": pa.string()}
+
+    def rows(n: int, **columns) -> pa.RecordBatch:  # type: ignore[no-untyped-def]
+        given = {c: v if isinstance(v, pa.Array) else pa.array(v, kinds[c]) for c, v in columns.items()}
+        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int32)
+        total, postings = np.zeros(slots, np.int32), 0
+        held: list[list[np.ndarray]] = []
+        count = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            sets, later = repeated({name: np.concatenate([h[k] for h in held]) for k, (name, _) in enumerate(SET)})
+            held.clear()
+            yield rows(len(later["doc"]), doc_id=later["doc"], thash=later["hash"], line=later["line"])
+            block = (sets["one"] % np.uint64(blocks)).astype(np.int32)
+            order = np.argsort(block, kind="stable")
+            block, sets = block[order], {name: sets[name][order] for name, _ in SET}
+            cuts = np.flatnonzero(np.diff(block, prepend=-1))
+            ends = np.append(cuts[1:], len(block))[: len(cuts)]
+            packed = [b"".join(sets[name][x:y].tobytes() for name, _ in SET) for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)]
+            yield rows(len(cuts), block=block[cuts], sets=packed)
+
         for b in batches:
             found = Lines(b.column(2), least)
             total += np.bincount((found.token & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
             sets = setjoin.OrderedSets(found.owner, found.token, found.n, None)
-            take = pa.array(found.doc)
-            columns = [b.column(0).take(take), b.column(1).take(take), pa.array(found.line), *(pa.array(x.view(np.int64)) for x in sets.keys), pa.array(sets.size), b.column(3).take(take)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(found.n, t) for t in kinds[7:])], names)
+            n = sets.size[joins(sets.size, percent)]
+            postings += int((n - -(-n * percent // 100) + 1).sum())
+            held.append([*sets.keys, b.column(0).to_numpy()[found.doc], found.line, b.column(1).to_numpy()[found.doc]])
+            count += found.n
+            yield rows(b.num_rows, doc_id=b.column(0), thash=b.column(1), whole=b.column(3))
+            some = b.column(2).filter(b.column(4))
+            yield rows(len(some), text=some)
+            if count > FLUSH:
+                yield from out()
+                count = 0
+        if held:
+            yield from out()
         # byte by byte, which compresses better
         planes = [np.ascontiguousarray(p.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for p in total.reshape(parts, -1)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(parts, t) for t in kinds[:7]), pa.array(range(parts), pa.int32()), pa.array(planes, pa.binary())], names)
+        yield rows(parts, part=range(parts), counts=planes)
+        yield rows(1, postings=[postings])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, np.ndarray] = {}
@@ -415,12 +498,44 @@ def keys_and_counts(own: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in out.values()], pa.binary())], ["part", "counts"])
 
-    found = settle(map_arrow(own, read, "doc_id long, thash long, line int, one long, two long, n long, whole long, part int, counts binary"), "line-keys")
+    def answer(held: list[bytes]) -> pa.RecordBatch:
+        columns: dict[str, list[np.ndarray]] = {name: [] for name, _ in SET}
+        for raw in held:
+            n, at = len(raw) // sum(np.dtype(kind).itemsize for _, kind in SET), 0
+            for name, kind in SET:
+                columns[name].append(np.frombuffer(raw, kind, n, at))
+                at += columns[name][-1].nbytes
+        later = repeated({name: np.concatenate(v) for name, v in columns.items()})[1]
+        return pa.RecordBatch.from_arrays([pa.array(later[c]) for c in ("doc", "hash", "line")], ["doc_id", "thash", "line"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sorted by block: one block is held at a time
+        held: list[bytes] = []
+        now = None
+        for batch in batches:
+            for block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now and held:
+                    yield answer(held)
+                    held = []
+                now = block
+                held.append(raw)
+        if held:
+            yield answer(held)
+
+    spark = own.sparkSession
+    own = own.select("doc_id", "thash", "text", "whole", (F.pmod(F.xxhash64("thash", "doc_id"), F.lit(share)) == 0).alias("some"))
+    found = settle(map_arrow(own, read, "doc_id long, thash long, line int, whole long, part int, counts binary, postings long, block int, sets binary, text string"), "line-keys")
     counts = np.zeros((parts, slots // parts), np.int64)
-    own.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     for r in found.where("part is not null").select("part", "counts").repartition(parts, "part").mapInArrow(add, "part int, counts binary").collect():
         counts[r.part] += np.frombuffer(bytes(r.counts), "<i8")
-    return found.where("part is null").select(*names[:7]), counts.reshape(-1)
+    postings = found.agg(F.sum("postings")).first()[0] or 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    dealt = found.where("block is not null").select("block", "sets").repartition(partitions(own), "block").sortWithinPartitions("block")
+    place = ["doc_id", "thash", "line"]
+    met = settle(dealt.mapInArrow(meet, "doc_id long, thash long, line int"), "line-copies")
+    copies = found.where("line is not null").select(place).unionByName(met)
+    return copies, found.where("whole is not null").select("doc_id", "thash", "whole"), found.where("text is not null").select("text"), counts.reshape(-1), postings
 
 
 def told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -437,9 +552,8 @@ def told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
 def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PERCENT, few: int = FEW, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
     """(doc_id, thash, lines): numbers, from 0, of the lines to remove from the text with that xxhash64."""
     own, unique = told_apart(documents(docs, id_col, text_col))
-    every, rarity = keys_and_counts(own, least)
+    copies, whole, some, rarity, postings = first_pass(own, least, percent, share_of(size))
     own = own.drop("whole")
-    postings = every.where(joins(F.col("n"), percent)).agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
 
     def matched(pairs: DataFrame) -> DataFrame:
         """(doc_id, line, thash) of the pairs' later lines that are similar to the earlier one."""
@@ -451,22 +565,19 @@ def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PE
             # the set may hold other lines too, which meet no pair
             bits = np.frombuffer(wanted.value, np.uint8)
             for b in batches:
-                parts = [text.split("\n") for text in b.column(2).to_pylist()]
-                count = np.array([len(x) for x in parts], np.int64)
-                doc = np.repeat(np.arange(len(parts)), count)
-                line = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+                raw, doc, line, begin, end = line_places(b.column(2))
                 hit = bits_hold(bits, _line_key(b.column(0).to_numpy()[doc], line))
                 doc, line = doc[hit], line[hit]
-                texts = [parts[d][k] for d, k in zip(doc.tolist(), line.tolist(), strict=True)]
+                texts = [raw[x:y] for x, y in zip(begin[hit].tolist(), end[hit].tolist(), strict=True)]
                 take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(line), pa.array(texts, pa.string())], ["doc_id", "thash", "line", "text"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(line), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "thash", "line", "text"])
 
         texts = map_arrow(own, cut, "doc_id long, thash long, line int, text string").select(F.struct("doc_id", "line", "thash").alias("node"), "text")
         texts = settle(texts if unique else texts.distinct(), "line-texts")
         similar = setjoin.verified(pairs, texts, _line_sets, percent)
         return similar.select("a.*").distinct()
 
-    pairs, lists = candidate_pairs(own, least, percent, rarity, postings, few, size)
+    pairs, lists = candidate_pairs(own, some, least, percent, rarity, postings, few, size)
     pairs = settle(pairs, "line-pairs")
     hits = settle(matched(pairs), "line-matched")
     rest = settle(pairs.where("more").select("a.*").distinct().join(hits, ["doc_id", "line", "thash"], "left_anti"), "line-rest")
@@ -477,12 +588,22 @@ def removed_lines(docs: DataFrame, least: int = LEAST, percent: int = setjoin.PE
         others = further_pairs(lists, rest, split, percent, size).select("a", "b").join(done, "a", "left_anti").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         hits = hits.unionByName(matched(settle(others, "line-pairs")))
 
-    # Every line that matched, and of equal sets all but the earliest. Lines are told apart by place, so no set is a hot key.
-    place = ["doc_id", "line", "thash"]
-    first = every.groupBy("one", "two").agg(F.min(F.struct(*place)).alias("first")).select("first.*")
-    copies = every.select("doc_id", "thash", "line").join(first, place, "left_anti")
+    # Every line that matched, and of equal sets all but the earliest.
     gone = copies.unionByName(hits.select("doc_id", "thash", "line")).groupBy("doc_id", "thash").agg(F.collect_set("line").alias("lines"))
-    return gone.join(every.select("doc_id", "thash", "whole").distinct(), ["doc_id", "thash"]).select("doc_id", F.col("whole").alias("thash"), "lines")
+    return gone.join(whole.distinct(), ["doc_id", "thash"]).select("doc_id", F.col("whole").alias("thash"), "lines")
+
+
+def line_places(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, doc, line, begin, end) of all lines of texts."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = texts.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else b""
+    doc, line, begin = line_starts(np.frombuffer(raw, np.uint8), offsets - offsets[0])
+    # a line ends before the feed in front of the next one, or with its text
+    end = np.append(begin[1:] - 1, 0)
+    last = np.append(doc[1:] != doc[:-1], True)[: len(doc)]
+    end[: len(doc)][last] = (offsets - offsets[0])[1:]
+    return raw, doc, line, begin, end[: len(doc)]
 
 
 def _line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -526,7 +647,8 @@ def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text
     text, empty = F.col(text_col).cast("string"), F.lit(None).cast("array<int>")
     marked = docs.withColumn(maybe, text.isNotNull() & may(F.xxhash64(text)))
     alone = marked.where(~F.col(maybe)).withColumn(gone_lines, empty)
-    met = marked.where(F.col(maybe)).join(removed, (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(h)), "left").drop(i, h)
+    # the lines are the small side: hashed by part, they spare a sort of the texts
+    met = marked.where(F.col(maybe)).join(removed.hint("shuffle_hash"), (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(h)), "left").drop(i, h)
     met = met.withColumn(text_col, F.when(F.col(gone_lines).isNull(), text).otherwise(rest(text, F.col(gone_lines))))
     out = alone.unionByName(met)
     if number_col:

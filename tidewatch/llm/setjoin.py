@@ -7,6 +7,7 @@ counts in a table of fixed size; it decides how much is filtered, not the result
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,21 +19,35 @@ from tidewatch.llm.common import map_arrow, mix64, partitions
 from tidewatch.session import settle
 
 PERCENT = 75
+LEVEL_BITS = 10
 PROFILE_BITS = 512  # of a set's parity bitmap
 #: Takes a batch and gives the owner (ascending, from 0) and the hash of each token, and the number of owners.
 Tokens = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, int]]
 
 
-class OrderedSets:
-    """Distinct tokens of each owner in rarity order."""
+def levels(rarity: np.ndarray) -> np.ndarray:
+    """The place of each slot's tokens in the order by rarity, from its count."""
+    return np.minimum(np.log2(np.maximum(rarity, 1)) * 40, (1 << LEVEL_BITS) - 1).astype(np.uint16)
+
 
-    def __init__(self, owner: np.ndarray, token: np.ndarray, owners: int, rarity: np.ndarray | None, percent: int = PERCENT):
-        high = owner.astype(np.uint64) << np.uint64(42)
-        order = np.argsort(high | (token >> np.uint64(22)), kind="stable")
-        owner, token = owner[order], token[order]
+class OrderedSets:
+    """Distinct tokens of each owner in rarity order. ``level``, if it is at hand, is that of ``rarity``."""
+
+    def __init__(self, owner: np.ndarray, token: np.ndarray, owners: int, rarity: np.ndarray | None, percent: int = PERCENT, level: np.ndarray | None = None):
+        # owners ascend, so that only tokens move; sorting numbers that hold their place is much faster than argsort
+        at, who = len(token).bit_length(), max(owners, 1).bit_length()
+        free, mask = 64 - at - who, np.uint64((1 << at) - 1)
+        high, place = owner.astype(np.uint64) << np.uint64(64 - who), np.arange(len(token), dtype=np.uint64)
+        order = np.zeros(0, np.uint64)
+        if free > 0:
+            order = np.sort(high | (token >> np.uint64(64 - free) << np.uint64(at)) | place)
+            same = order[1:] >> np.uint64(at) == order[:-1] >> np.uint64(at)
+            after = token[(order & mask).astype(np.int64)]
+        if free <= 0 or (same & (after[1:] != after[:-1])).any():  # tokens that the bits left for them don't tell apart
+            after = token[np.lexsort((token, owner))]
         fresh = np.ones(len(token), bool)
-        fresh[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
-        owner, token = owner[fresh], token[fresh]
+        fresh[1:] = (owner[1:] != owner[:-1]) | (after[1:] != after[:-1])
+        owner, token = owner[fresh], after[fresh]
         self.size = np.bincount(owner, minlength=owners).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(token ^ np.uint64(s)))]) for s in (0x8CB92BA72F3D8DD7, 0xD1B54A32D192ED03)]
@@ -40,16 +55,26 @@ class OrderedSets:
         self.keys = [mix64(x[self.first[1:]] - x[self.first[:-1]] + self.size.astype(np.uint64)) for x in sums]
         self.sorted = token
         if rarity is not None:
-            count = rarity[(token & np.uint64(len(rarity) - 1)).astype(np.int64)]
-            level = np.minimum(np.log2(np.maximum(count, 1)) * 40, 1023).astype(np.uint64)
-            order = np.argsort((owner.astype(np.uint64) << np.uint64(42)) | (level << np.uint64(32)) | (token >> np.uint64(32)), kind="stable")
-            self.owner, self.token, self.count = owner[order], token[order], count[order]
-            self.place = np.arange(len(token)) - self.first[self.owner]
+            self.rarity = rarity
+            level = (levels(rarity) if level is None else level)[(token & np.uint64(len(rarity) - 1)).astype(np.int64)]
+            if free >= LEVEL_BITS:
+                order = (np.sort(high[fresh] | (level.astype(np.uint64) << np.uint64(at)) | place[: len(token)]) & mask).astype(np.int64)
+            else:
+                order = np.lexsort((level, owner))
+            self.owner, self.token = owner, token[order]
+            self.place = np.arange(len(token)) - np.repeat(self.first[:-1], self.size)
             length = self.size - -(-self.size * percent // 100) + 1
-            self.in_prefix = self.place < length[self.owner]
-            #: Key of prefix and size, by which sets are grouped.
-            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(self.in_prefix, mix64(self.token), np.uint64(0)), dtype=np.uint64)])
-            self.group = mix64(prefix[self.first[1:]] - prefix[self.first[:-1]] + mix64(self.size.astype(np.uint64)))
+            self.in_prefix = self.place < np.repeat(length, self.size)
+
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        """How often the tokens at these places occur."""
+        return self.rarity[(self.token[at] & np.uint64(len(self.rarity) - 1)).astype(np.int64)]
+
+    @functools.cached_property
+    def group(self) -> np.ndarray:
+        """Key of prefix and size, by which sets are grouped."""
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(self.in_prefix, mix64(self.token), np.uint64(0)), dtype=np.uint64)])
+        return mix64(prefix[self.first[1:]] - prefix[self.first[:-1]] + mix64(self.size.astype(np.uint64)))
 
 
 def bitmaps(sets: OrderedSets, bits: int) -> np.ndarray:
@@ -76,8 +101,9 @@ def profiles(own: DataFrame, tokens: Tokens, rarity: np.ndarray, head: str, name
     names = [x.split()[0] for x in head.split(", ")] + ["n", "one", "two", "gid", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = levels(shared.value)
         for b in batches:
-            sets = OrderedSets(*tokens(b), shared.value, percent)
+            sets = OrderedSets(*tokens(b), shared.value, percent, level)
             signed = [pa.array(x.view(np.int64)) for x in (*sets.keys, sets.group)]
             maps = pa.array(list(bitmaps(sets, PROFILE_BITS).view("<i8")), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*named(b), pa.array(sets.size), *signed, maps], names)
@@ -120,8 +146,9 @@ def shared_lists(own: DataFrame, tokens: Tokens, rarity: np.ndarray, postings: i
             first = place[order[cuts]]
             return pa.RecordBatch.from_arrays([pa.array(first // 2), pa.array(first % 2 == 1), pa.array(packed, pa.binary())], ["block", "sure", "postings"])
 
+        level = levels(shared.value)
         for b in batches:
-            sets = OrderedSets(*tokens(b), shared.value, percent)
+            sets = OrderedSets(*tokens(b), shared.value, percent, level)
             group = sets.group.view(np.int64)
             new = np.zeros(len(group), bool)
             for i, g in enumerate(group.tolist()):
@@ -129,7 +156,8 @@ def shared_lists(own: DataFrame, tokens: Tokens, rarity: np.ndarray, postings: i
                     seen.add(g)
                     new[i] = True
             # a count of one means that no other set holds the token
-            i = np.flatnonzero(sets.in_prefix & (sets.count > 1) & new[sets.owner])
+            i = np.flatnonzero(sets.in_prefix & new[sets.owner])
+            i = i[sets.counts(i) > 1]
             rows = np.zeros(len(i), POSTING)
             for name, value in (("token", sets.token[i]), ("gid", group[sets.owner[i]]), ("n", sets.size[sets.owner[i]]), ("place", sets.place[i])):
                 rows[name] = value
@@ -218,12 +246,14 @@ def stars(lists: DataFrame, order: list[str], k: int) -> DataFrame:
     return lists.withColumn("__rank", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("__rank") <= k).drop("__rank")
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sorted arrays of distinct tokens are similar."""
-    if len(x) > len(y):
-        x, y = y, x
-    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+def similar(x: OrderedSets, y: OrderedSets, percent: int = PERCENT) -> np.ndarray:
+    """Of each owner, whether its set in ``x`` and that in ``y`` are similar."""
+    n = len(x.size)
+    owner, token = np.concatenate([np.repeat(np.arange(n), s.size) for s in (x, y)]), np.concatenate([x.sorted, y.sorted])
+    order = np.argsort(owner, kind="stable")
+    union = OrderedSets(owner[order], token[order], n, None).size
+    both = x.size + y.size - union
+    return (both > 0) & (100 * both >= percent * union)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, int]], percent: int = PERCENT) -> DataFrame:
@@ -237,9 +267,7 @@ def verified(pairs: DataFrame, texts: DataFrame, tokens: Callable[[pa.Array], tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (OrderedSets(*tokens(batch.column(c)), None) for c in (2, 3))
-            cuts = zip(x.first[:-1].tolist(), x.first[1:].tolist(), y.first[:-1].tolist(), y.first[1:].tolist(), strict=True)
-            good = [similar(np.sort(x.sorted[a:b]), np.sort(y.sorted[c:d]), percent) for a, b, c, d in cuts]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array(similar(x, y, percent)))
 
     met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select("a", "b").schema.fields)

@@ -24,18 +24,18 @@ class Words:
         data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(texts) and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
         if lower:
-            data = np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
+            data = data | ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
         self.data, self.offsets = data, offsets
-        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:]
-        at = offsets[(offsets > 0) & (offsets < len(data))]  # a text's last word ends with it
-        begins[at] |= inside[at]
-        ends[at - 1] |= inside[at - 1]
-        self.starts = np.flatnonzero(begins)
-        self.ends = np.flatnonzero(ends) + 1
+        inside = (data != 32) & (data - np.uint8(9) > 4)
+        # words begin and end by turns
+        turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        turns = np.concatenate([np.zeros(int(inside[:1].sum()), np.int64), turns, np.full(int(inside[-1:].sum()), len(data))])
+        self.starts, self.ends = turns[0::2], turns[1::2]
+        at = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+        at = at[inside[at] & inside[at - 1]]  # a text's last word ends with it
+        if len(at):
+            self.starts = np.insert(self.starts, np.searchsorted(self.starts, at), at)
+            self.ends = np.insert(self.ends, np.searchsorted(self.ends, at), at)
         self.first = np.searchsorted(self.starts, offsets)
 
     def __len__(self) -> int:
@@ -51,7 +51,8 @@ class Words:
         windows = np.ndarray((len(self.data) + 1,), np.dtype("<u8"), padded, 0, (1,))
         out = mix64(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         if len(size):
-            which, step = np.flatnonzero(size <= LONG), 0
+            out = mix64(out ^ (windows[self.starts] & _MASKS[np.minimum(size, 8)]))
+            which, step = np.flatnonzero((size > 8) & (size <= LONG)), 8
             while len(which):
                 left = size[which] - step
                 out[which] = mix64(out[which] ^ (windows[self.starts[which] + step] & _MASKS[np.minimum(left, 8)]))
