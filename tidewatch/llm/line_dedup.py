@@ -8,8 +8,8 @@ on the input, not on what is left.
 
 Of equal sets all but the earliest go, without a comparison. The others need one similar earlier set each, so at most
 ``FEW`` candidates of a shared word are verified first; the lists of words at which a line had more are stored beside the
-pairs, and lines without a match meet all the rest of them. The texts are read twice: once for keys and counts of words,
-once for postings; and again for the lines of pairs, which a bit set of lines finds without a join.
+pairs, and lines without a match meet all the rest of them. The texts are read twice: once for copies of sets and counts of
+words, once for postings; and again for the lines of pairs, which a bit set of lines finds without a join.
 
 No word's list lies in one task: a word that is in the prefixes of more than ``BLOCK`` lines is split by the sets' keys. How many
 those are is estimated from documents chosen by a hash (one in 32, so that a list of ``BLOCK`` shows ``SHOWN`` lines); the estimate
@@ -647,8 +647,7 @@ def drop_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text
     text, empty = F.col(text_col).cast("string"), F.lit(None).cast("array<int>")
     marked = docs.withColumn(maybe, text.isNotNull() & may(F.xxhash64(text)))
     alone = marked.where(~F.col(maybe)).withColumn(gone_lines, empty)
-    # the lines are the small side: hashed by part, they spare a sort of the texts
-    met = marked.where(F.col(maybe)).join(removed.hint("shuffle_hash"), (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(h)), "left").drop(i, h)
+    met = marked.where(F.col(maybe)).join(removed, (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(h)), "left").drop(i, h)
     met = met.withColumn(text_col, F.when(F.col(gone_lines).isNull(), text).otherwise(rest(text, F.col(gone_lines))))
     out = alone.unionByName(met)
     if number_col:
